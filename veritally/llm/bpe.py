@@ -21,7 +21,7 @@ from functools import lru_cache
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .common import map_texts
+from .common import map_arrow, map_texts
 from .tokencount import SENTINEL, byte_letters, piece_starts, split_short
 
 #: Mean bytes of a chunk: a power of two. Bytes that the rolling hash covers.
@@ -267,4 +267,4 @@ def decode(df: DataFrame, tokenizer_path: str, key: str = "doc_id", ids: str = "
             texts = [own.decode(x or []) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=[key, "text"])
 
-    return df.select(key, ids).mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, text string")
+    return map_arrow(df.select(key, ids), run, f"`{key}` {df.schema[key].dataType.simpleString()}, text string")

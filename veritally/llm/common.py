@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Callable, Iterable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -64,6 +65,12 @@ def text_groups(batches: Iterable[pa.RecordBatch], chars: int = GROUP_CHARS) ->
             yield keys, group
 
 
+def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``mapInArrow``, with this package on the workers' path wherever they start; on a cluster it is installed there."""
+    df.sparkSession.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
+    return df.mapInArrow(run, schema)
+
+
 def map_texts(df: DataFrame, work: Callable[[list, list[str | None]], dict[str, list]], schema: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Run ``work(keys, texts) -> columns`` over groups of whole texts, in Arrow batches and without a shuffle."""
     arrow = arrow_schema(df.sparkSession, schema)
@@ -73,7 +80,7 @@ def map_texts(df: DataFrame, work: Callable[[list, list[str | None]], dict[str,
             columns = work(keys, texts)
             yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in arrow], schema=arrow)
 
-    return df.select(key, text).mapInArrow(run, schema)
+    return map_arrow(df.select(key, text), run, schema)
 
 
 def arrow_schema(spark: SparkSession, ddl: str) -> pa.Schema:

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blank_words, cut_lineage, map_texts
+from .common import blank_words, cut_lineage, map_arrow, map_texts
 
 SEED = 42
 BITS = 64
@@ -219,13 +219,14 @@ def links(distinct: DataFrame, max_bits: int = 4) -> DataFrame:
     masks, _ = _masks(max_bits)
     deleted = F.array(*[F.lit(_signed(m & ~(1 << bit))) for bit, m in enumerate(masks)])
     variants = distinct.select("fp", F.explode(F.sequence(F.lit(0), F.lit(BITS - 1))).alias("bit")).select("bit", F.col("fp").bitwiseAND(F.get(deleted, F.col("bit"))).alias("part"), "fp")
-    found = cut_lineage(variants.repartition("bit", "part").sortWithinPartitions("bit", "part").mapInArrow(_bucket_links(max_bits), "a long, b long, bit int, part long, block int"))
+    found = cut_lineage(map_arrow(variants.repartition("bit", "part").sortWithinPartitions("bit", "part"), _bucket_links(max_bits), "a long, b long, bit int, part long, block int"))
     plain = found.where("block is null").select("a", "b")
     large = found.where("block is not null").select("bit", "part", "block", F.col("a").alias("fp"))
     last = large.groupBy("bit", "part").agg(F.max("block").alias("last"))
     units = large.join(last, ["bit", "part"]).select("bit", "part", "block", "fp", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("other"))
     units = units.select("bit", "part", F.least("block", "other").alias("lower"), F.greatest("block", "other").alias("upper"), "block", "fp")
-    across = units.repartition("bit", "part", "lower", "upper").sortWithinPartitions("bit", "part", "lower", "upper", "block").mapInArrow(_block_links(max_bits), "a long, b long")
+    sorted_units = units.repartition("bit", "part", "lower", "upper").sortWithinPartitions("bit", "part", "lower", "upper", "block")
+    across = map_arrow(sorted_units, _block_links(max_bits), "a long, b long")
     return plain.unionByName(across).distinct()
 
 
