@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 GRAM = 2
 #: Words by which neighbouring diagonals may differ.
 DRIFT = 3
-#: Least share of a template's grams in a span.
+#: Least share of a template's grams in a span; one of fewer words than SHORT needs all of them.
 COVERED = 0.6
+SHORT = 10
 
 #: The base phrases and their labels.
 PHRASES = {
@@ -77,7 +78,7 @@ def scan(df: DataFrame, key: str = "doc_id", text: str = "text", phrases: dict[s
     votes = votes.withColumn("island", F.sum(F.when(F.col("base") | (F.col("diagonal") - F.lag("diagonal").over(own) > DRIFT), 1).otherwise(0)).over(own))
     spans = votes.groupBy("row", "template", "label", "base", "size", "island").agg(F.sum("votes").alias("votes"), F.min("first").alias("first"), F.max("last").alias("last"), F.min("diagonal").alias("start"))
     share = F.col("votes") / (F.col("size") - (GRAM - 1))
-    sound = F.when(F.col("base"), share == 1).otherwise((share >= COVERED) & (F.col("last") - F.col("first") + GRAM <= 1.5 * F.col("size")) & (F.col("last") - F.col("first") + GRAM >= COVERED * F.col("size")))
+    sound = F.when(F.col("base"), share == 1).otherwise((share >= F.when(F.col("size") < SHORT, 1.0).otherwise(COVERED)) & (F.col("last") - F.col("first") + GRAM <= 1.5 * F.col("size")) & (F.col("last") - F.col("first") + GRAM >= COVERED * F.col("size")))
     found = spans.where(sound).groupBy("row").agg(
         F.count_if("base").alias("n_base"),
         F.min(F.when(F.col("base"), F.col("start").cast("long"))).alias("first_word"),

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, langid, license, simhash, tokencount, toxicity
+from . import bpe, chat, decontam, langid, license, rules, simhash, tokencount, toxicity
 from .common import documents, held_out
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -43,6 +43,11 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = chat.with_probe(spark, spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return chat.digests(chat.format_paths(chat.linear(rows)))
+
+
 def op7_license(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license.scan(documents(spark, sf_dir))
 
@@ -51,6 +56,11 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.digests(decontam.contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
 
 
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = rules.apply(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
@@ -58,10 +68,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_bpe": op3_bpe,
         "op4_language": op4_language,
         "op5_simhash": op5_simhash,
+        "op6_chat": op6_chat,
         "op7_license": op7_license,
         "op8_decontamination": op8_decontamination,
+        "op10_quality_rules": op10_quality_rules,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_decontamination": decontam.ORACLE_SQL}
+    return {"op6_chat": chat.ORACLE_SQL, "op8_decontamination": decontam.ORACLE_SQL}
