@@ -90,12 +90,20 @@ def arrow_schema(spark: SparkSession, ddl: str) -> pa.Schema:
     return to_arrow_schema(StructType.fromDDL(ddl))
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise in the folder of spark.checkpoint.dir, which all executors share; own folder only where it is unset."""
-    context = df.sparkSession.sparkContext
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which all executors share; a folder of our own only where it is unset."""
+    context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
+        configured = spark.conf.get("spark.checkpoint.dir", None)
+        if configured is None:
+            import tempfile
+
+            configured = tempfile.mkdtemp(prefix="veritally-")
+        context.setCheckpointDir(configured)
+    return context._jsc.sc().getCheckpointDir().get()
 
-        configured = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="veritally-"))
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Materialise in the checkpoint folder, so that lost executors cost nothing that came before."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, langid, license, rules, simhash, tokencount, toxicity
+from . import bpe, chat, decontam, langid, license, lm, rules, simhash, tokencount, toxicity
 from .common import documents, held_out
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -56,6 +56,12 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.digests(decontam.contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
 
 
+def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model, counts = lm.train(docs)
+    return lm.score(docs, model, counts).withColumn("held_out", held_out(F.col("doc_id"), 7, 2))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = rules.apply(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -71,6 +77,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_chat": op6_chat,
         "op7_license": op7_license,
         "op8_decontamination": op8_decontamination,
+        "op9_lm_scores": op9_lm_scores,
         "op10_quality_rules": op10_quality_rules,
     }
 
