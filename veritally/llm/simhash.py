@@ -218,7 +218,7 @@ def links(distinct: DataFrame, max_bits: int = 4) -> DataFrame:
     """(a, b) over distinct fingerprints ``fp``: links of at most ``max_bits`` bits that connect all that such links connect."""
     masks, _ = _masks(max_bits)
     deleted = F.array(*[F.lit(_signed(m & ~(1 << bit))) for bit, m in enumerate(masks)])
-    spread = distinct.repartition(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")  # few bytes here, many rows next
+    spread = distinct.repartition(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # few bytes here, many rows next
     variants = spread.select("fp", F.explode(F.sequence(F.lit(0), F.lit(BITS - 1))).alias("bit")).select("bit", F.col("fp").bitwiseAND(F.get(deleted, F.col("bit"))).alias("part"), "fp")
     found = cut_lineage(map_arrow(variants.repartition("bit", "part").sortWithinPartitions("bit", "part"), _bucket_links(max_bits), "a long, b long, bit int, part long, block int"))
     plain = found.where("block is null").select("a", "b")
