@@ -1 +1,19 @@
+"""Queries of the engine over the driver's tables, with their twins in SQL."""
 
+from __future__ import annotations
+
+from .registry import Query
+
+
+def _modules() -> list:
+    from . import scalars
+
+    return [scalars]
+
+
+def queries() -> dict[str, Query]:
+    return {name: query for m in _modules() for name, query in m.R.queries.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {name: sql for m in _modules() for name, sql in m.R.sql.items()}
