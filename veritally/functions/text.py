@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Words that name a company's type, not the company.
 COMPANY_TYPES = ["llc", "ltd", "limited", "inc", "co", "company", "corp", "corporation", "gmbh", "plc", "wll", "fze", "fzco", "sa", "srl"]
@@ -37,7 +38,7 @@ def blank_to_null(value: Column) -> Column:
     return F.nullif(F.trim(value), F.lit(""))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def fold_unicode(values: pd.Series) -> pd.Series:
     """Case-folded, decomposed (NFKD), without combining marks; null stays null."""
 

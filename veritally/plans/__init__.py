@@ -6,9 +6,9 @@ from .registry import Query
 
 
 def _modules() -> list:
-    from . import scalars
+    from . import relational, scalars
 
-    return [scalars]
+    return [scalars, relational]
 
 
 def queries() -> dict[str, Query]:
