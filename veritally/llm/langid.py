@@ -2,9 +2,10 @@
 
 A word's script, from fixed ranges of code points, leaves the languages that were seen in that script. Among these a
 word scores by its character n-grams, with the log-probabilities of a naive Bayes model. The best labelling of all
-words pays ``SWITCH`` for each change of language. Where no stretch of words speaks for another language by more
-than half that price, one label is the best labelling, and this is found with vector operations alone; the other
-texts go through the full recursion.
+words pays ``SWITCH`` for each change of language. Where no stretch of words gains more than that price by another
+language, and no beginning and end together do, one label is a best labelling: an inner stretch of k runs costs k + 1
+changes, one at an end k, and a labelling without that label at all one less than its runs. This is found with vector
+operations alone; the other texts go through the full recursion.
 """
 
 from __future__ import annotations
@@ -42,12 +43,15 @@ _SCRIPT_STARTS = [a for a, _ in SCRIPTS]
 
 def script(letters: str) -> str:
     """The script of a word's first letter outside ASCII, else of its first letter."""
+    if letters.isascii():
+        return "latin"
     c = next((c for c in letters if c > "\x7f"), letters[0])
     return SCRIPTS[bisect_right(_SCRIPT_STARTS, ord(c)) - 1][1]
 
 
 def letters_of(word: bytes) -> str:
-    return "".join(c for c in word.decode() if c.isalpha()).lower()
+    text = word.decode().lower()
+    return text if text.isalpha() else "".join(c for c in text if c.isalpha())
 
 
 def ngrams(letters: str) -> list[str]:
@@ -77,7 +81,7 @@ class Model:
         self.scripts = dict(self.scripts)
         totals = [max(1, g.total()) for g in grams]
         self.table = {g: i for i, g in enumerate(sorted(set().union(*grams)))}
-        logs = np.log(np.array([[own[g] + 0.5 for g in self.table] for own in grams]).reshape(len(grams), -1).T / (np.array(totals) + 0.5))
+        logs = np.log(np.array([[own[g] + 0.5 for g in self.table] for own in grams]).reshape(len(grams), len(self.table)).T / (np.array(totals) + 0.5))
         self.logs = (logs - logs.max(axis=1, initial=-np.inf, keepdims=True)).astype(np.float32)
         self.words: dict[bytes, int] = {}
         self._clear()
@@ -87,32 +91,38 @@ class Model:
         self.scores = np.zeros((1024, len(self.languages)), np.float32)
         self.weights = np.zeros(1024, np.float32)
 
-    def _word(self, word: bytes) -> int:
-        number = len(self.words)
-        if number == len(self.scores):
+    def _learn(self, words: list[bytes]) -> None:
+        """Score new words."""
+        first, n = len(self.words), len(words)
+        while first + n > len(self.scores):
             self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
             self.weights = np.concatenate([self.weights, np.zeros_like(self.weights)])
-        letters = letters_of(word)
-        if letters and self.languages:
-            rows = [i for g in ngrams(letters[:40]) if (i := self.table.get(g)) is not None]
-            score = self.logs[rows].sum(axis=0)
-            allowed = self.scripts.get(script(letters))
-            score = np.maximum(score - score.max(), -WORD_CAP)
-            self.scores[number] = score if allowed is None else np.where(allowed, score, -WORD_CAP)
-        self.weights[number] = len(letters)
-        self.words[word] = number
-        return number
+        letters = [letters_of(w) for w in words]
+        self.words.update(zip(words, range(first, first + n), strict=True))
+        self.weights[first : first + n] = list(map(len, letters))
+        if not self.languages:
+            return
+        get = self.table.get
+        rows = [[i for i in map(get, ngrams(x[:40])) if i is not None] if x else [] for x in letters]
+        sizes = np.array(list(map(len, rows)))
+        sums = np.zeros((n, len(self.languages)), np.float64)
+        if sizes.any():
+            at = np.concatenate([[0], np.cumsum(sizes[sizes > 0])[:-1]])
+            sums[sizes > 0] = np.add.reduceat(self.logs[[i for r in rows for i in r]], at, axis=0)
+        sums = np.maximum(sums - sums.max(axis=1, keepdims=True), -WORD_CAP)
+        scripts = {k: np.where(v, 0.0, -np.inf) for k, v in self.scripts.items()}
+        for i, x in enumerate(letters):
+            if x and (allowed := scripts.get(script(x))) is not None:
+                sums[i] = np.maximum(sums[i] + allowed, -WORD_CAP)
+        self.scores[first : first + n] = sums
 
     def numbered(self, words: list[bytes]) -> np.ndarray:
         known = list(map(self.words.get, words))
         if None in known:
-            known = [self._number(w) if n is None else n for w, n in zip(words, known, strict=True)]
+            self._learn(list(dict.fromkeys(w for w, n in zip(words, known, strict=True) if n is None)))
+            known = list(map(self.words.__getitem__, words))
         return np.array(known, np.int64)
 
-    def _number(self, word: bytes) -> int:
-        number = self.words.get(word)
-        return self._word(word) if number is None else number
-
     def label(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The language number of each word in the best labelling, and the words' letters."""
         if len(self.words) > MAX_WORDS:
@@ -124,7 +134,8 @@ class Model:
         sums = scores.cumsum(axis=0, dtype=np.float64)
         best = int(sums[-1].argmax())
         gains = np.vstack([np.zeros(len(self.languages)), sums - sums[:, best : best + 1]])
-        if (gains - np.minimum.accumulate(gains, axis=0)).max() <= SWITCH / 2:
+        inner = (gains - np.minimum.accumulate(gains, axis=0)).max()
+        if inner <= SWITCH and gains.max() + (gains[-1] - gains).max() <= SWITCH:
             return np.full(len(words), best), weights
         return viterbi(scores.astype(np.float64), SWITCH), weights
 
@@ -155,7 +166,8 @@ def train(df: DataFrame, training_docs: int = TRAINING_DOCS, key: str = "doc_id"
 
     Rows whose crc32 leaves the remainder, and rows without language or text, are never learned from.
     """
-    usable = df.where(~held_out(F.col(key), modulus, remainder) & F.col(lang).isNotNull() & F.col(text).isNotNull())
+    own = df.select(F.col(key), F.col(text), F.col(lang))
+    usable = own.where(~held_out(F.col(key), modulus, remainder) & F.col(lang).isNotNull() & F.col(text).isNotNull())
     sizes = usable.groupBy(lang).agg(F.count("*").alias("rows"))
     drawn = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(1 << 20)) / (1 << 20)
     sample = usable.join(F.broadcast(sizes), lang).where(drawn < F.lit(float(training_docs)) / F.col("rows")).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
