@@ -9,6 +9,7 @@ from pathlib import Path
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Characters that a worker handles at once; a longer text is a group of its own.
 GROUP_CHARS = 1 << 20
@@ -65,7 +66,7 @@ def text_groups(batches: Iterable[pa.RecordBatch], chars: int = GROUP_CHARS) ->
             yield keys, group
 
 
-def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     """``mapInArrow``, with this package on the workers' path wherever they start; on a cluster it is installed there."""
     df.sparkSession.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
     return df.mapInArrow(run, schema)
@@ -83,9 +84,25 @@ def map_texts(df: DataFrame, work: Callable[[list, list[str | None]], dict[str,
     return map_arrow(df.select(key, text), run, schema)
 
 
+#: Rows whose texts are judged at once when rows are filtered.
+FILTERED_ROWS = 256
+
+
+def filter_texts(df: DataFrame, keep: Callable[[list[str | None]], list[bool]], text: str = "text") -> DataFrame:
+    """The rows, with all their columns, whose texts are kept: a map, so that no text goes through a shuffle."""
+    place = df.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, FILTERED_ROWS):
+                part = batch.slice(i, FILTERED_ROWS)
+                yield part.filter(pa.array(keep(part.column(place).to_pylist()), pa.bool_()))
+
+    return map_arrow(df, run, df.schema)
+
+
 def arrow_schema(spark: SparkSession, ddl: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
 
     return to_arrow_schema(StructType.fromDDL(ddl))
 

@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM_BYTES, arrow_schema, cut_lineage, map_arrow, text_groups
+from .common import ALNUM_BYTES, arrow_schema, cut_lineage, filter_texts, map_arrow, text_groups
 
 NGRAM, WINDOW = 5, 6
 #: Words of a whole window.
@@ -207,14 +207,29 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     Null and empty texts have no words; items without words and repeated items add nothing; an item with a null
     name is called ''. Repeated documents give a row each. Empty tables give empty results.
     """
-    queries = benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit("")).alias("item"), F.col(item_text).alias("item_text")).where("item_text is not null").distinct()
-    size = queries.agg(F.sum(F.octet_length("item_text"))).first()[0] or 0
+    queries, size = _queries(benchmark, item, item_text)
     own = docs.select(F.col(key), F.col(text).alias("text"))
     if size <= broadcast_bytes:
         return _by_broadcast(own, queries, key)
     return _by_join(own, queries, key)
 
 
+def _queries(benchmark: DataFrame, item: str, item_text: str) -> tuple[DataFrame, int]:
+    """(item, item_text), each once, and the bytes of all texts."""
+    queries = benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit("")).alias("item"), F.col(item_text).alias("item_text")).where("item_text is not null").distinct()
+    return queries, queries.agg(F.sum(F.octet_length("item_text"))).first()[0] or 0
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """The documents without any hit; beyond the broadcast bound those without a key stay, as nothing can name them."""
+    queries, size = _queries(benchmark, item, item_text)
+    if size > broadcast_bytes:
+        hit = contamination(docs, benchmark, key, text, item, item_text, broadcast_bytes).where(F.size("spans") > 0)
+        return docs.join(hit.select(key).distinct(), key, "left_anti")
+    index = docs.sparkSession.sparkContext.broadcast(Index([(r.item, r.item_text) for r in queries.collect()]))
+    return filter_texts(docs, lambda texts: [not spans for spans in index.value.scan(texts)["spans"]], text)
+
+
 def _by_broadcast(docs: DataFrame, queries: DataFrame, key: str) -> DataFrame:
     import pyarrow as pa
 

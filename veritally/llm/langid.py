@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM_BYTES, arrow_schema, held_out, map_arrow, map_texts, text_groups
+from .common import ALNUM_BYTES, arrow_schema, filter_texts, held_out, map_arrow, map_texts, text_groups
 
 UNKNOWN = "und"
 #: Price of a change of language, in nats.
@@ -140,6 +140,16 @@ class Model:
         return viterbi(scores.astype(np.float64), SWITCH), weights
 
 
+    def predict(self, text: str | None) -> tuple[str, float]:
+        """The language with most letters in the labelled spans, and its share of all letters."""
+        labels, weights = self.label((text or "").encode().translate(ALNUM_BYTES).split())
+        total = float(weights.sum())
+        if not total or not self.languages:
+            return UNKNOWN, 0.0
+        shares = np.bincount(labels, weights, len(self.languages))
+        return self.languages[int(shares.argmax())], min(1.0, float(shares.max()) / total)
+
+
 def viterbi(scores: np.ndarray, switch: float) -> np.ndarray:
     """The labels with the greatest sum of scores less ``switch`` for each change."""
     n, k = scores.shape
@@ -200,23 +210,18 @@ def identify(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def work(keys: list, texts: list[str | None]) -> dict[str, list]:
-        own = shared.value
-        langs, scores = [], []
-        for t in texts:
-            labels, weights = own.label((t or "").encode().translate(ALNUM_BYTES).split())
-            total = float(weights.sum())
-            if not total or not own.languages:
-                langs.append(UNKNOWN)
-                scores.append(0.0)
-                continue
-            shares = np.bincount(labels, weights, len(own.languages))
-            langs.append(own.languages[int(shares.argmax())])
-            scores.append(min(1.0, float(shares.max()) / total))
-        return {key: keys, "lang_pred": langs, "score": scores}
+        found = [shared.value.predict(t) for t in texts]
+        return {key: keys, "lang_pred": [lang for lang, _ in found], "score": [share for _, share in found]}
 
     return map_texts(df, work, f"`{key}` {df.schema[key].dataType.simpleString()}, lang_pred string, score double", key, text)
 
 
+def known(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """The rows whose text has a language."""
+    shared = df.sparkSession.sparkContext.broadcast(model)
+    return filter_texts(df, lambda texts: [shared.value.predict(t)[0] != UNKNOWN for t in texts], text)
+
+
 def spans(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, spans) with spans of (first word, word after, language) of every text; none without letters."""
     import pyarrow as pa

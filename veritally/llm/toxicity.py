@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import alnum_words, cut_lineage, held_out, map_arrow, map_texts, text_groups
+from .common import alnum_words, cut_lineage, filter_texts, held_out, map_arrow, map_texts, text_groups
 
 #: Labelled rows that the model is fitted on, at most.
 TRAINING_ROWS = 20_000
@@ -236,3 +236,9 @@ def score(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text")
         return {key: keys, "score": scores, "predicted": [int(s >= DECISION) for s in scores]}
 
     return map_texts(df, work, f"`{key}` {df.schema[key].dataType.simpleString()}, score double, predicted int", key, text)
+
+
+def clean(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """The rows whose text isn't predicted to be toxic."""
+    shared = df.sparkSession.sparkContext.broadcast(model)
+    return filter_texts(df, lambda texts: [shared.value.score(t) < DECISION for t in texts], text)
