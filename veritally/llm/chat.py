@@ -37,20 +37,22 @@ def unescape(text: Column) -> Column:
 def paths(nodes: DataFrame) -> DataFrame:
     """(tree, leaf, node, up) over (tree, id, parent): every node on the way from each leaf, ``up`` steps above it.
 
-    A parent that isn't in the tree counts as none. Messages in a cycle have no leaf above them and give no path.
+    A parent that isn't in the tree counts as none. Messages in a cycle, and leaves under one, have no root and give no
+    path; the rounds end when the reach is over the largest tree's size.
     """
     known = nodes.select("tree", "id", "parent")
     parents = known.join(known.select("tree", F.col("id").alias("parent")), ["tree", "parent"], "left_semi")
     leaves = known.join(parents.select("tree", F.col("parent").alias("id")), ["tree", "id"], "left_anti")
     found = cut_lineage(leaves.select("tree", F.col("id").alias("leaf"), F.col("id").alias("node"), F.lit(0).alias("up")))
     jumps = cut_lineage(parents.select("tree", F.col("id").alias("node"), F.col("parent").alias("above")))
-    reach = 1
-    while reach <= 1 << 30 and not jumps.isEmpty():
+    reach, largest = 1, known.groupBy("tree").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    while reach <= largest and not jumps.isEmpty():
         found = cut_lineage(found.unionByName(found.join(jumps, ["tree", "node"]).select("tree", "leaf", F.col("above").alias("node"), (F.col("up") + reach).alias("up"))))
         far = jumps.select("tree", F.col("node").alias("above"), F.col("above").alias("further"))
         jumps = cut_lineage(jumps.join(far, ["tree", "above"]).select("tree", "node", F.col("further").alias("above")))
         reach *= 2
-    return found
+    roots = known.join(parents.select("tree", "id"), ["tree", "id"], "left_anti").select("tree", F.col("id").alias("node"))
+    return found.join(found.join(roots, ["tree", "node"], "left_semi").select("tree", "leaf").distinct(), ["tree", "leaf"], "left_semi")
 
 
 def linear(rows: DataFrame, tree: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
