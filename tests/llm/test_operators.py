@@ -125,15 +125,14 @@ def brute_components(values: dict, most: int) -> dict:
     return {i: find(i) for i in ids}
 
 
-def test_components_are_those_of_all_pairs(spark, docs, texts, monkeypatch):
+def test_components_are_those_of_all_pairs(spark, docs, texts):
     got = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).collect()}
     assert got == brute_components({i: simhash.fingerprint(t) for i, t in texts.items()}, 4)
 
 
 @pytest.mark.parametrize("bucket", [16_384, 16])
-def test_links_of_clusters_lose_nothing(spark, bucket, monkeypatch):
-    """Clusters around centres, with buckets so large that they are dealt out in blocks in the second case."""
-    monkeypatch.setattr(simhash, "BUCKET", bucket)
+def test_links_of_clusters_lose_nothing(spark, bucket):
+    """Clusters around centres; in the second case their buckets are dealt out in blocks."""
     rng = np.random.default_rng(3)
     values = set()
     for _ in range(6):
@@ -146,7 +145,7 @@ def test_links_of_clusters_lose_nothing(spark, bucket, monkeypatch):
     values = {i: v for i, v in enumerate(sorted(values))}
     df = spark.createDataFrame([(v - (1 << 64) if v >> 63 else v,) for v in values.values()], "fp long")
     signed = {v - (1 << 64) if v >> 63 else v: i for i, v in values.items()}
-    found = simhash.components(simhash.links(df)).collect()
+    found = simhash.components(simhash.links(df, bucket=bucket)).collect()
     groups = defaultdict(set)
     for r in found:
         groups[r.root].add(signed[r.node])
@@ -346,7 +345,7 @@ def test_scores_of_a_model(spark, docs, texts, odd, none):
     assert lm.score(none, model, counts).count() == 0
 
 
-def test_rare_words_meet_their_counts_in_the_join(spark, docs, monkeypatch):
+def test_rare_words_meet_their_counts_in_the_join(spark, docs):
     model, counts = lm.train(docs)
     whole = {r.doc_id: (r.n_known, round(r.base_score, 6)) for r in lm.score(docs, model, counts).collect()}
     few = lm.Model(model.tokens, model.types, dict(list(model.frequent.items())[:50]), model.ends, np.zeros((lm.SLOTS, 2), np.float32), model.weights)

@@ -112,7 +112,7 @@ def connecting_links(values: np.ndarray, max_bits: int, bit: int, first: bool, m
     return found
 
 
-def _bucket_links(max_bits: int):
+def _bucket_links(max_bits: int, bucket: int):
     """Over rows (bit, part, fp) sorted by bucket: links, or for a large bucket its members with block numbers."""
     masks, firsts = _masks(max_bits)
     mask_of, first_of = np.array(masks, np.uint64), np.array(firsts, np.int64)
@@ -145,8 +145,8 @@ def _bucket_links(max_bits: int):
 
         def close() -> Iterator[pa.RecordBatch]:
             nonlocal held, streamed
-            if streamed and len(held):
-                yield out(held, held, held_bit, held_part, (streamed + np.arange(len(held))) // BUCKET)
+            if len(held) and (streamed or len(held) > bucket):
+                yield out(held, held, held_bit, held_part, (streamed + np.arange(len(held))) // bucket)
             elif len(held) > 1:
                 links = connecting_links(held, max_bits, held_bit, firsts[held_bit] == held_bit, masks[held_bit])
                 if links:
@@ -163,8 +163,8 @@ def _bucket_links(max_bits: int):
             sizes = np.diff(np.concatenate([starts, [len(values)]]))
             if held_bit is not None and (bits[0], parts[0]) == (held_bit, held_part):
                 held = np.concatenate([held, values[: sizes[0]]])
-                if len(held) > BUCKET:
-                    yield out(held, held, held_bit, held_part, (streamed + np.arange(len(held))) // BUCKET)
+                if len(held) > bucket:
+                    yield out(held, held, held_bit, held_part, (streamed + np.arange(len(held))) // bucket)
                     streamed += len(held)
                     held = np.empty(0, np.uint64)
                 if len(sizes) == 1:
@@ -214,13 +214,13 @@ def _block_links(max_bits: int):
     return run
 
 
-def links(distinct: DataFrame, max_bits: int = 4) -> DataFrame:
+def links(distinct: DataFrame, max_bits: int = 4, bucket: int = BUCKET) -> DataFrame:
     """(a, b) over distinct fingerprints ``fp``: links of at most ``max_bits`` bits that connect all that such links connect."""
     masks, _ = _masks(max_bits)
     deleted = F.array(*[F.lit(_signed(m & ~(1 << bit))) for bit, m in enumerate(masks)])
     spread = distinct.repartition(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # few bytes here, many rows next
     variants = spread.select("fp", F.explode(F.sequence(F.lit(0), F.lit(BITS - 1))).alias("bit")).select("bit", F.col("fp").bitwiseAND(F.get(deleted, F.col("bit"))).alias("part"), "fp")
-    found = cut_lineage(map_arrow(variants.repartition("bit", "part").sortWithinPartitions("bit", "part"), _bucket_links(max_bits), "a long, b long, bit int, part long, block int"))
+    found = cut_lineage(map_arrow(variants.repartition("bit", "part").sortWithinPartitions("bit", "part"), _bucket_links(max_bits, bucket), "a long, b long, bit int, part long, block int"))
     plain = found.where("block is null").select("a", "b")
     large = found.where("block is not null").select("bit", "part", "block", F.col("a").alias("fp"))
     last = large.groupBy("bit", "part").agg(F.max("block").alias("last"))
