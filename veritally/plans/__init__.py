@@ -6,9 +6,9 @@ from .registry import Query
 
 
 def _modules() -> list:
-    from . import relational, scalars
+    from . import reading, relational, scalars
 
-    return [scalars, relational]
+    return [scalars, relational, reading]
 
 
 def queries() -> dict[str, Query]:
