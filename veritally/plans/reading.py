@@ -101,7 +101,7 @@ def missing_line_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 @R.add("j31_printed_locations", """WITH t AS (SELECT conv_id AS doc, turn AS row, unnest(regexp_split_to_array(trim(text), '\\s+')) AS text, generate_subscripts(regexp_split_to_array(trim(text), '\\s+'), 1) AS place FROM conversations WHERE role = 'system' AND trim(text) <> ''),
   v AS (SELECT doc, row, a.text || ' ' || b.text AS value, a.place AS first, b.place AS last FROM t a JOIN t b USING (doc, row) WHERE a.place = 1 AND b.place = 2),
   f AS (SELECT doc, row, place, lower(regexp_replace(text, '[^0-9A-Za-z]', '', 'g')) AS t FROM t)
-  SELECT doc, value, row, CAST(first AS INT) AS first, CAST(last AS INT) AS last FROM v WHERE lower(regexp_replace(value, '[^0-9A-Za-z]', '', 'g')) <> ''""")
+  SELECT doc, value, row, CAST(first AS INT) AS first, CAST(CASE WHEN lower(regexp_replace(value, '[^0-9A-Za-z]', '', 'g')) = (SELECT f.t FROM f WHERE f.doc = v.doc AND f.row = v.row AND f.place = 1) THEN 1 ELSE last END AS INT) AS last FROM v WHERE lower(regexp_replace(value, '[^0-9A-Za-z]', '', 'g')) <> ''""")
 def printed_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = read(spark, sf_dir, "conversations").where("role = 'system' and trim(text) <> ''")
     tokens = own.select(F.col("conv_id").alias("doc"), F.col("turn").alias("row"), F.posexplode(F.split(F.trim("text"), r"\s+")).alias("place", "text")).withColumn("place", F.col("place") + 1)
