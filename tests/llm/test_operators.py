@@ -359,6 +359,6 @@ def test_a_bit_distribution_adds_up():
     model = lm.Model(1, 1, {}, 1, table, rng.random((len(lm.GATES), 8, lm.K)))
     words = [bytes([b]) for b in range(256)]
     data, slots, _ = lm.slots_of(words)
-    model.data, model.inputs, model.gates = data, model.logits[slots], model.seen[slots[:, 0, lm.K - 1]]
+    model._keep(data, slots)
     total = sum(10 ** model._lockstep(np.array([i]), np.array([0]), np.array([1]))[0] for i in range(256))
     assert math.isclose(total, 1, rel_tol=1e-4)
