@@ -6,9 +6,9 @@ from .registry import Query
 
 
 def _modules() -> list:
-    from . import reading, relational, scalars
+    from . import lookups, reading, relational, scalars
 
-    return [scalars, relational, reading]
+    return [scalars, relational, reading, lookups]
 
 
 def queries() -> dict[str, Query]:
