@@ -1,6 +1,7 @@
 """Languages of mixed texts: script ranges narrow the candidates, Viterbi over per-word scores labels spans.
 
-A word's script, from fixed ranges of code points, leaves the languages that were seen in that script. Among these a
+Words end at blanks and marks of any script and where the script changes; runs without blanks are cut in stretches that
+share their n-grams (``pieces``). A word's script, from fixed ranges of code points, leaves the languages that were seen in that script. Among these a
 word scores by its character n-grams, with the log-probabilities of a naive Bayes model. The best labelling of all
 words pays ``SWITCH`` for each change of language. Where no stretch of words gains more than that price by another
 language, and no beginning and end together do, one label is a best labelling: an inner stretch of k runs costs k + 1
@@ -10,8 +11,10 @@ operations alone; the other texts go through the full recursion.
 
 from __future__ import annotations
 
+import unicodedata
 from bisect import bisect_right
 from collections import Counter, defaultdict
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -28,6 +31,9 @@ KEPT_NGRAMS = 60_000
 NGRAM_SIZES = (2, 3, 4)
 #: Most that one word may say for a language over another.
 WORD_CAP = 8.0
+#: Letters of a stretch, and up to how many letters a word stays whole; in scripts written without blanks, those of a stretch.
+STRETCH, WHOLE = 16, 40
+UNSPACED = {"han", "kana", "thai", "other"}
 MAX_WORDS = 500_000
 
 #: First code points of script ranges, by Unicode blocks.
@@ -54,7 +60,63 @@ def letters_of(word: bytes) -> str:
     return text if text.isalpha() else "".join(c for c in text if c.isalpha())
 
 
+@lru_cache(maxsize=1 << 16)
+def _kind(c: str) -> str:
+    """Of a character: '' for a blank or mark, ' ' for what belongs to any script, else its script."""
+    if c.isalpha():
+        return SCRIPTS[bisect_right(_SCRIPT_STARTS, ord(c)) - 1][1]
+    category = unicodedata.category(c)
+    return "" if category[0] in "ZPS" or category == "Cc" else " "
+
+
+def pieces(word: bytes) -> list[bytes]:
+    """A word split at blanks and marks outside ASCII and at changes of script; long runs in stretches of ``STRETCH`` letters.
+
+    A stretch is its letters, a null byte and the next letters, so that every n-gram of the run begins in one stretch.
+    """
+    if word.isascii() and len(word) <= WHOLE:
+        return [word]
+    runs: list[list[str]] = [[]]
+    current = ""
+    for c in word.decode():
+        kind = _kind(c)
+        if not kind or current and kind != " " and kind != current:
+            runs.append([])
+            current = ""
+        if kind:
+            runs[-1].append(c)
+            current = kind if kind != " " else current
+    out = []
+    for run in filter(None, map("".join, runs)):
+        letters = letters_of(run.encode())
+        if len(letters) <= (STRETCH if script(letters or run) in UNSPACED else WHOLE):
+            out.append(run.encode())
+            continue
+        padded = f" {letters} "
+        edges = [0, *range(STRETCH, len(letters) - STRETCH // 2, STRETCH), len(padded)]
+        out += [f"{padded[a:b]}\0{padded[b : b + max(NGRAM_SIZES) - 1]}".encode() for a, b in zip(edges, edges[1:], strict=False)]
+    return out
+
+
+def words_of(text: str | None) -> list[bytes]:
+    """The words that are labelled: runs of ASCII letters, digits and characters outside ASCII, in their pieces."""
+    return [p for w in (text or "").encode().translate(ALNUM_BYTES).split() for p in pieces(w)]
+
+
+def features_of(piece: bytes) -> str:
+    """What a piece is counted and scored by: its letters, or a stretch as it is, in lower case."""
+    return piece.decode() if b"\0" in piece else letters_of(piece)
+
+
+def weight_of(features: str) -> int:
+    return len(features.partition("\0")[0].strip(" "))
+
+
 def ngrams(letters: str) -> list[str]:
+    core, cut, after = letters.partition("\0")
+    if cut:
+        padded = core + after
+        return [padded[i : i + n] for n in NGRAM_SIZES for i in range(min(len(core), len(padded) - n + 1))]
     padded = f" {letters} "
     return [padded[i : i + n] for n in NGRAM_SIZES for i in range(len(padded) - n + 1)] + [f"={letters}"]
 
@@ -71,7 +133,7 @@ class Model:
             own: Counter = Counter()
             seen: Counter = Counter()
             for letters, n in counts[language].items():
-                seen[script(letters)] += n
+                seen[script(letters.partition("\0")[0].strip(" ") or letters)] += n
                 for g in ngrams(letters):
                     own[g] += n
             for s, n in seen.items():
@@ -83,27 +145,38 @@ class Model:
         self.table = {g: i for i, g in enumerate(sorted(set().union(*grams)))}
         logs = np.log(np.array([[own[g] + 0.5 for g in self.table] for own in grams]).reshape(len(grams), len(self.table)).T / (np.array(totals) + 0.5))
         self.logs = (logs - logs.max(axis=1, initial=-np.inf, keepdims=True)).astype(np.float32)
-        self.words: dict[bytes, int] = {}
+        self.words: dict[bytes, int] = {}  # -1: a word in pieces
+        self.pieces: dict[bytes, list[bytes]] = {}
         self._clear()
 
     def _clear(self) -> None:
         self.words.clear()
+        self.pieces.clear()
+        self.scored = 0
         self.scores = np.zeros((1024, len(self.languages)), np.float32)
         self.weights = np.zeros(1024, np.float32)
 
     def _learn(self, words: list[bytes]) -> None:
         """Score new words."""
-        first, n = len(self.words), len(words)
+        for w in words:
+            if b"\0" not in w and (own := pieces(w)) != [w]:
+                self.words[w] = -1
+                self.pieces[w] = own
+        words = [w for w in words if w not in self.pieces]
+        first, n = self.scored, len(words)
+        self.scored += n
+        if not n:
+            return
         while first + n > len(self.scores):
             self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
             self.weights = np.concatenate([self.weights, np.zeros_like(self.weights)])
-        letters = [letters_of(w) for w in words]
+        letters = [features_of(w) for w in words]
         self.words.update(zip(words, range(first, first + n), strict=True))
-        self.weights[first : first + n] = list(map(len, letters))
+        self.weights[first : first + n] = list(map(weight_of, letters))
         if not self.languages:
             return
         get = self.table.get
-        rows = [[i for i in map(get, ngrams(x[:40])) if i is not None] if x else [] for x in letters]
+        rows = [[i for i in map(get, ngrams(x)) if i is not None] if x else [] for x in letters]
         sizes = np.array(list(map(len, rows)))
         sums = np.zeros((n, len(self.languages)), np.float64)
         if sizes.any():
@@ -112,7 +185,7 @@ class Model:
         sums = np.maximum(sums - sums.max(axis=1, keepdims=True), -WORD_CAP)
         scripts = {k: np.where(v, 0.0, -np.inf) for k, v in self.scripts.items()}
         for i, x in enumerate(letters):
-            if x and (allowed := scripts.get(script(x))) is not None:
+            if x and (allowed := scripts.get(script(x.partition("\0")[0].strip(" ") or x))) is not None:
                 sums[i] = np.maximum(sums[i] + allowed, -WORD_CAP)
         self.scores[first : first + n] = sums
 
@@ -121,22 +194,25 @@ class Model:
         if None in known:
             self._learn(list(dict.fromkeys(w for w, n in zip(words, known, strict=True) if n is None)))
             known = list(map(self.words.__getitem__, words))
-        return np.array(known, np.int64)
+        numbers = np.array(known, np.int64)
+        if self.pieces and (numbers < 0).any():
+            return self.numbered([p for w in words for p in self.pieces.get(w, (w,))])
+        return numbers
 
     def label(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """The language number of each word in the best labelling, and the words' letters."""
+        """The language number of each word in the best labelling, and the words' letters; those of ``words_of`` where a word has pieces."""
         if len(self.words) > MAX_WORDS:
             self._clear()
         numbers = self.numbered(words)
         scores, weights = self.scores[numbers], self.weights[numbers]
-        if not len(words) or not self.languages:
-            return np.zeros(len(words), np.int64), weights
+        if not len(numbers) or not self.languages:
+            return np.zeros(len(numbers), np.int64), weights
         sums = scores.cumsum(axis=0, dtype=np.float64)
         best = int(sums[-1].argmax())
         gains = np.vstack([np.zeros(len(self.languages)), sums - sums[:, best : best + 1]])
         inner = (gains - np.minimum.accumulate(gains, axis=0)).max()
         if inner <= SWITCH and gains.max() + (gains[-1] - gains).max() <= SWITCH:
-            return np.full(len(words), best), weights
+            return np.full(len(numbers), best), weights
         return viterbi(scores.astype(np.float64), SWITCH), weights
 
 
@@ -190,14 +266,16 @@ def train(df: DataFrame, training_docs: int = TRAINING_DOCS, key: str = "doc_id"
                 found.update((lang, w) for w in text.encode().translate(ALNUM_BYTES).split())
         words: Counter = Counter()
         for (lang, word), n in found.items():
-            letters = letters_of(word)[:40]
-            if letters:
-                words[lang, letters] += n
+            for letters in map(features_of, pieces(word)):
+                if letters:
+                    words[lang, letters] += n
         yield pa.RecordBatch.from_pydict({"lang": [k for k, _ in words], "word": [w for _, w in words], "n": list(words.values())})
 
     counts: dict[str, Counter] = defaultdict(Counter)
-    for row in map_arrow(sample, count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).collect():
-        counts[row.lang][row.word] = row.n
+    summed = map_arrow(sample, count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).toArrow()
+    for batch in summed.to_batches(10_000):
+        for lang, word, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            counts[lang][word] = n
     return Model(dict(counts))
 
 
@@ -223,7 +301,7 @@ def known(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
 
 def spans(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, spans) with spans of (first word, word after, language) of every text; none without letters."""
+    """(key, spans) with spans of (first word, word after, language) over ``words_of`` every text; none without letters."""
     import pyarrow as pa
 
     shared = df.sparkSession.sparkContext.broadcast(model)
