@@ -345,20 +345,90 @@ def test_scores_of_a_model(spark, docs, texts, odd, none):
     assert lm.score(none, model, counts).count() == 0
 
 
-def test_rare_words_meet_their_counts_in_the_join(spark, docs):
+def test_rare_words_meet_their_counts_in_the_join(spark, docs, monkeypatch):
     model, counts = lm.train(docs)
     whole = {r.doc_id: (r.n_known, round(r.base_score, 6)) for r in lm.score(docs, model, counts).collect()}
-    few = lm.Model(model.tokens, model.types, dict(list(model.frequent.items())[:50]), model.ends, np.zeros((lm.SLOTS, 2), np.float32), model.weights)
-    assert {r.doc_id: (r.n_known, round(r.base_score, 6)) for r in lm.score(docs, few, counts).collect()} == whole
-
-
-def test_a_bit_distribution_adds_up():
-    """The probabilities of all bytes at a place add up to one, for any weights and tables."""
-    rng = np.random.default_rng(5)
-    table = rng.random((lm.SLOTS, 2)).astype(np.float32) * 9
-    model = lm.Model(1, 1, {}, 1, table, rng.random((len(lm.GATES), 8, lm.K)))
-    words = [bytes([b]) for b in range(256)]
-    data, slots, _ = lm.slots_of(words)
-    model._keep(data, slots)
-    total = sum(10 ** model._lockstep(np.array([i]), np.array([0]), np.array([1]))[0] for i in range(256))
-    assert math.isclose(total, 1, rel_tol=1e-4)
+    assert len(model.own.frequent) > 1000
+    monkeypatch.setattr(lm, "FREQUENT", 50)
+    few = lm.Vocabulary({r.word.encode(): r.n for r in lm.frequent_words(counts, 50).collect()}, model.own.ends, model.own.tokens, model.own.types)
+    assert 0 < len(few.frequent) <= 50 and min(few.frequent.values()) >= max([0, *(n for w, n in model.own.frequent.items() if w not in few.frequent)]) / 2
+    zeros = np.zeros(lm.Tables(14).slots, np.uint8)
+    small = lm.Model(few, zeros.view(np.int8), zeros, 14, lm.first_weights(zeros.view(np.int8), zeros, 14, few, []))
+    rows = lm.score(docs, small, counts).collect()
+    assert {r.doc_id: (r.n_known, round(r.base_score, 6)) for r in rows} == whole and all(math.isfinite(r.score) and r.score < 0 for r in rows)
+
+
+def toy_model(rng) -> lm.Model:
+    frequent = {f"w{i}".encode(): int(n) for i, n in enumerate(rng.integers(1, 500, 40))}
+    own = lm.Vocabulary(frequent, 30, sum(frequent.values()) + 30 + 100, 60)
+    slots = lm.Tables(14).slots
+    levels = rng.integers(0, 16, slots).astype(np.uint8)
+    return lm.Model(own, rng.integers(-90, 90, slots).astype(np.int8), levels, 14, rng.random((lm.GATES, lm.PLACES, lm.K + 1)))
+
+
+def test_a_distribution_adds_up():
+    """The probabilities of all symbols at a place add up to one, for any weights and tables."""
+    model = toy_model(np.random.default_rng(5))
+    first = [[w] for w in model.own.frequent] + [[], [b"unknown"]]
+    stream = lm.Stream(first, model.own)
+    assert math.isclose(sum(10 ** model.coded(stream)[stream.starts]), 1, rel_tol=1e-4)
+
+
+def plain_scores(model: lm.Model, words: list[bytes]) -> list[float]:
+    """log10 of each symbol's probability, one choice at a time."""
+    stream, where = lm.Stream([words], model.own), lm.Tables(model.bits)
+    weights = model.weights.reshape(lm.GATES, lm.PLACES, lm.K + 1).astype(float)
+    out = []
+    for b in range(0, len(stream.symbols), lm.BLOCK):
+        change = np.zeros_like(weights)
+        for i in range(b, min(b + lm.BLOCK, len(stream.symbols))):
+            symbol, total, gate = int(stream.symbols[i]), 0.0, None
+            first = int(model.own.code.first[symbol])
+            for j in range(first, first + int(model.own.code.lengths[symbol])):
+                slots = [((int(stream.bases[k][i]) + int(model.own.code.nodes[j])) % (1 << 32) >> int(where.shifts[k])) + int(where.firsts[k]) for k in range(lm.K)]
+                x = np.array([*(float(model.held[s]) for s in slots), 1.0])
+                if gate is None:
+                    gate = int(lm.GATE[16 * int(model.levels[slots[1] - model.first]) + int(model.levels[slots[2] - model.first])])
+                place, bit = int(model.own.code.places[j]), int(model.own.code.bits[j])
+                p = 1 / (1 + math.exp(-min(12.0, max(-12.0, float(weights[gate, place] @ x)))))
+                total += math.log10(p if bit else 1 - p)
+                change[gate, place] += np.array([lm.RATE / lm.STEP**2] * lm.K + [lm.BIAS_RATE]) * (bit - p) * x
+            out.append(total)
+        weights += change
+    return out
+
+
+def test_scores_are_those_of_one_choice_at_a_time_and_of_each_text_alone():
+    rng = np.random.default_rng(6)
+    model = toy_model(rng)
+    words = [*model.own.frequent, b"rare", "s\u00e9ldom".encode()]
+    texts = [[words[i] for i in rng.integers(0, len(words), n)] for n in (0, 1, 30, 33, 200)]
+    stream = lm.Stream(texts, model.own)
+    together = model.coded(stream)
+    for i, words in enumerate(texts):
+        own = together[stream.starts[i] : stream.starts[i] + stream.sizes[i]]
+        assert np.allclose(own, plain_scores(model, words), rtol=1e-3, atol=1e-4)
+        assert np.allclose(own, model.coded(lm.Stream([words], model.own)), rtol=1e-5)
+
+
+def test_tables_count_what_the_texts_hold(spark):
+    rng = np.random.default_rng(8)
+    texts = [" ".join(f"w{i}" for i in rng.integers(0, 60, n)) for n in (0, 5, 300, 40)] + [None]
+    own = toy_model(rng).own
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    held, levels, bits = lm.tables(df, spark.sparkContext.broadcast(own), 1 << 12)
+    where = lm.Tables(bits)
+    counts = np.zeros(2 * where.slots, np.uint32)
+    lm.count_into(counts, where, own, [blank_words(t) for t in texts])
+    pairs = counts.reshape(-1, 2)
+    assert counts.sum() > 0 and (levels[: where.slots] == lm.levels_of(pairs.sum(axis=1))).all() and (held[: where.slots] == lm.logits(pairs[:, 0], pairs[:, 1])).all()
+    assert lm.table_bits(1) == lm.LEAST_BITS < lm.table_bits(1 << 22) < lm.table_bits(1 << 40) == lm.MOST_BITS
+
+
+@pytest.mark.parametrize("weights", [[1], [5, 1], [1, 1, 1, 1, 1], list(range(1, 40)), [10**9, 1, 1, 2]])
+def test_codes_are_prefix_free_and_complete(weights):
+    lengths = lm.code_lengths(weights)
+    code = lm.Code([lengths, lm.code_lengths([1] * 256)])
+    words = ["".join(map(str, code.bits[f : f + n])) for f, n in zip(code.first[: len(weights)], lengths, strict=True)]
+    assert len(weights) == 1 or math.isclose(sum(0.5 ** len(w) for w in words), 1)
+    assert not any(a != b and b.startswith(a) for a in words for b in words) and len(set(words)) == len(words)
