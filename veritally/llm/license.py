@@ -1,11 +1,13 @@
 """License scans by diagonal voting, with DataFrame functions only.
 
 All rolling 2-word grams of a document are joined by hash to the places they have in license templates; a template
-set is a constant of this module or a list given by the caller, so that it is broadcast whatever the corpus. Hits are
-counted by template and diagonal, which is the document's place less the template's. A base phrase stands wherever
-one diagonal holds every gram of it. For the longer texts, diagonals up to ``DRIFT`` words apart are merged, so
-that an inserted or a lost word doesn't break a span, and a span counts if its votes cover enough of the template and
-it isn't much longer than that. The join compares the grams themselves besides their hashes.
+set is a constant of this module or a list given by the caller, so that it is broadcast whatever the corpus. Grams that no
+template has are passed over where they are made, so that a document is read once and only hits go on. Hits are
+gathered by template and diagonal, which is the document's place less the template's. A base phrase stands wherever
+one diagonal holds every gram of it. For the longer texts each diagonal is merged with those up to ``DRIFT`` words behind
+it, so that an inserted or a lost word doesn't break a span. A span is verified on its words: the join compares the
+grams themselves besides their hashes, each place of the template counts once however often it is met, and enough of
+them must be there; a diagonal's words lie within the template's length, so that they stand together and in order.
 """
 
 from __future__ import annotations
@@ -13,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import cut_lineage
+
 GRAM = 2
 #: Words by which neighbouring diagonals may differ.
 DRIFT = 3
@@ -49,17 +53,29 @@ TEMPLATES = [
 ]
 
 
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
 def words(text: Column) -> Column:
-    """Words ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` in lower case; only words of ASCII can equal a template's."""
-    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), "")
+    """Words ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after lower-casing A-Z."""
+    return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), "")
 
 
-def _templates(spark: SparkSession, phrases: dict[str, str], templates: list[tuple[str, str]]) -> DataFrame:
+def _templates(phrases: dict[str, str], templates: list[tuple[str, str]]) -> list[tuple[int, str, bool, int, int, str]]:
+    """(template, label, base, size, place, gram) of all grams."""
     rows = []
     for number, (label, text, base) in enumerate([(label, t, True) for t, label in phrases.items()] + [(label, t, False) for label, t in templates]):
         own = text.split()
         rows += [(number, label, base, len(own), place, " ".join(own[place : place + GRAM])) for place in range(len(own) - GRAM + 1)]
-    return spark.createDataFrame(rows, "template int, label string, base boolean, size int, place int, gram string").withColumn("h", F.xxhash64("gram"))
+    return rows
+
+
+def _values(spark: SparkSession, rows: list[tuple]) -> DataFrame:
+    def told(x: object) -> str:
+        return str(x).lower() if isinstance(x, bool | int) else "'" + str(x).replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+    listed = ", ".join(f"({', '.join(map(told, r))})" for r in rows)
+    return spark.sql(f"SELECT *, xxhash64(gram) AS h FROM VALUES {listed} AS t(template, label, base, size, place, gram)")
 
 
 def scan(df: DataFrame, key: str = "doc_id", text: str = "text", phrases: dict[str, str] | None = None, templates: list[tuple[str, str]] | None = None) -> DataFrame:
@@ -68,27 +84,29 @@ def scan(df: DataFrame, key: str = "doc_id", text: str = "text", phrases: dict[s
     Null and empty texts have no words, no labels (empty strings) and score 0; without a base phrase first_word and
     last_word are null. A repeated row is a row of its own. Score is the best span's share of a template's grams.
     """
-    numbered = df.select(F.col(key), F.monotonically_increasing_id().alias("row"), words(F.col(text)).alias("words"))
-    grams = F.transform(F.slice("words", 1, F.greatest(F.size("words") - (GRAM - 1), F.lit(0))), lambda w, i: F.concat_ws(" ", w, F.get(F.col("words"), i + 1)))
-    rolling = numbered.select("row", F.posexplode(grams).alias("at", "gram")).withColumn("h", F.xxhash64("gram"))
-    known = _templates(df.sparkSession, PHRASES if phrases is None else phrases, TEMPLATES if templates is None else templates)
-    hits = rolling.join(F.broadcast(known), ["h", "gram"]).select("row", "template", "label", "base", "size", "place", "at", (F.col("at") - F.col("place")).alias("diagonal"))
-    votes = hits.groupBy("row", "template", "label", "base", "size", "diagonal").agg(F.count("*").alias("votes"), F.min("at").alias("first"), F.max("at").alias("last"))
-    own = Window.partitionBy("row", "template").orderBy("diagonal")
-    votes = votes.withColumn("island", F.sum(F.when(F.col("base") | (F.col("diagonal") - F.lag("diagonal").over(own) > DRIFT), 1).otherwise(0)).over(own))
-    spans = votes.groupBy("row", "template", "label", "base", "size", "island").agg(F.sum("votes").alias("votes"), F.min("first").alias("first"), F.max("last").alias("last"), F.min("diagonal").alias("start"))
-    share = F.col("votes") / (F.col("size") - (GRAM - 1))
-    sound = F.when(F.col("base"), share == 1).otherwise((share >= F.when(F.col("size") < SHORT, 1.0).otherwise(COVERED)) & (F.col("last") - F.col("first") + GRAM <= 1.5 * F.col("size")) & (F.col("last") - F.col("first") + GRAM >= COVERED * F.col("size")))
+    rows = _templates(PHRASES if phrases is None else phrases, TEMPLATES if templates is None else templates)
+    grams = sorted({r[-1] for r in rows})
+    begins = sorted({g.split()[0] for g in grams})
+    own = df.select(F.col(key), words(F.col(text)).alias("words"))
+    rolling = F.transform("words", lambda w, i: F.when(w.isin(begins), F.struct(i.alias("at"), F.concat_ws(" ", w, F.get(F.col("words"), i + 1)).alias("gram"))))
+    read = own.select(key, F.size("words").cast("long").alias("n_words"), F.filter(rolling, lambda g: g["gram"].isin(grams)).alias("held"), F.monotonically_increasing_id().alias("row"))
+    read = cut_lineage(read)
+    hits = read.select("row", F.inline("held")).withColumn("h", F.xxhash64("gram")).join(F.broadcast(_values(df.sparkSession, rows)), ["h", "gram"])
+    votes = hits.groupBy("row", "template", "label", "base", "size", (F.col("at") - F.col("place")).alias("diagonal")).agg(F.collect_set("place").alias("places"))
+    near = Window.partitionBy("row", "template").orderBy("diagonal").rangeBetween(0, DRIFT)
+    merged = F.when(F.col("base"), F.col("places")).otherwise(F.array_distinct(F.flatten(F.collect_list("places").over(near))))
+    spans = votes.select("row", "label", "base", "size", "diagonal", (F.size(merged) / (F.col("size") - (GRAM - 1))).alias("share"))
+    sound = F.col("share") >= F.when(F.col("base") | (F.col("size") < SHORT), 1.0).otherwise(COVERED)
+    start = F.when(F.col("base"), F.col("diagonal").cast("long"))
     found = spans.where(sound).groupBy("row").agg(
         F.count_if("base").alias("n_base"),
-        F.min(F.when(F.col("base"), F.col("start").cast("long"))).alias("first_word"),
-        F.max(F.when(F.col("base"), F.col("start").cast("long"))).alias("last_word"),
+        F.min(start).alias("first_word"),
+        F.max(start).alias("last_word"),
         F.array_join(F.array_sort(F.collect_set(F.when(F.col("base"), F.col("label")))), ",").alias("base_labels"),
         F.array_join(F.array_sort(F.collect_set("label")), ",").alias("labels"),
-        F.max(F.least(share, F.lit(1.0))).alias("score"),
+        F.max("share").alias("score"),
     )
-    every = numbered.select(key, "row", F.size("words").cast("long").alias("n_words"))
-    return every.join(found, "row", "left").select(
+    return read.drop("held").join(found, "row", "left").select(
         key, "n_words", F.coalesce("n_base", F.lit(0)).cast("long").alias("n_base"), "first_word", "last_word",
         F.coalesce("base_labels", F.lit("")).alias("base_labels"), F.coalesce("labels", F.lit("")).alias("labels"), F.coalesce("score", F.lit(0.0)).alias("score"),
     )
