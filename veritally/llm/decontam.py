@@ -7,8 +7,10 @@ whole window. Items of fewer than ten words are one window of their own length a
 their words. All hits are verified on the words themselves.
 
 The benchmark is a stated query set. Up to ``BROADCAST_BYTES`` of text, measured before each run, its index is
-broadcast and joined inside the scan of the documents, without a shuffle. A larger one is joined by Spark on the
-fingerprints, and only documents that share one are verified. Both give the same rows.
+broadcast and joined inside the scan of the documents, without a shuffle. The index takes some 65 times the text, so
+that the bound stands for 130 MB in the driver and in each worker. A larger benchmark is joined by Spark on the
+fingerprints, of the sizes that its items have; documents are known by a row number of their own, and what one shares
+with many items is verified in blocks of items. Both give the same rows.
 """
 
 from __future__ import annotations
@@ -25,7 +27,9 @@ from .common import ALNUM_BYTES, arrow_schema, cut_lineage, filter_texts, map_ar
 NGRAM, WINDOW = 5, 6
 #: Words of a whole window.
 SPAN = NGRAM + WINDOW - 1
-BROADCAST_BYTES = 32 << 20
+BROADCAST_BYTES = 2 << 20
+#: Beyond that: items that a document is verified against at once, and parts that the rows of a fingerprint are dealt out to.
+ITEMS, SALTS = 64, 8
 #: Entries of the table that passes over most hashes before they are looked up.
 SIEVE = 1 << 20
 
@@ -211,7 +215,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     own = docs.select(F.col(key), F.col(text).alias("text"))
     if size <= broadcast_bytes:
         return _by_broadcast(own, queries, key)
-    return _by_join(own, queries, key)
+    rows = _numbered(own)
+    prints, hits = _by_join(rows, queries, ROW, "text")
+    none = [F.expr(f"cast(array() as {t})") for t in ("array<struct<first:int,after:int>>", "array<string>")]
+    full = rows.drop("text").join(prints.select(ROW, "n_words"), ROW).join(hits, ROW, "left")
+    return full.select(key, "n_words", F.coalesce("spans", none[0]).alias("spans"), F.coalesce("items", none[1]).alias("items"))
 
 
 def _queries(benchmark: DataFrame, item: str, item_text: str) -> tuple[DataFrame, int]:
@@ -221,15 +229,25 @@ def _queries(benchmark: DataFrame, item: str, item_text: str) -> tuple[DataFrame
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """The documents without any hit; beyond the broadcast bound those without a key stay, as nothing can name them."""
+    """The documents without any hit, with all their columns; null and repeated keys are as good as any other."""
     queries, size = _queries(benchmark, item, item_text)
     if size > broadcast_bytes:
-        hit = contamination(docs, benchmark, key, text, item, item_text, broadcast_bytes).where(F.size("spans") > 0)
-        return docs.join(hit.select(key).distinct(), key, "left_anti")
+        rows = _numbered(docs)
+        _, hits = _by_join(rows, queries, ROW, text)
+        return rows.join(hits.select(ROW), ROW, "left_anti").select(*docs.columns)
     index = docs.sparkSession.sparkContext.broadcast(Index([(r.item, r.item_text) for r in queries.collect()]))
     return filter_texts(docs, lambda texts: [not spans for spans in index.value.scan(texts)["spans"]], text)
 
 
+#: A column of our own.
+ROW = "_decontam_row"
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """The documents with a row number, written once, so that a lost executor can't number them anew."""
+    return cut_lineage(docs.withColumn(ROW, F.monotonically_increasing_id()))
+
+
 def _by_broadcast(docs: DataFrame, queries: DataFrame, key: str) -> DataFrame:
     import pyarrow as pa
 
@@ -245,11 +263,14 @@ def _by_broadcast(docs: DataFrame, queries: DataFrame, key: str) -> DataFrame:
     return map_arrow(docs, run, ddl)
 
 
-def _fingerprints(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, size, fp) of winnowed 5-grams (size 0), and of all grams of fewer words than a window."""
+def _fingerprints(df: DataFrame, key: str, text: str, sizes: list[int] | None = None) -> DataFrame:
+    """(key, n_words, prints) with the distinct prints (size, fp) of a text: winnowed 5-grams (size 0) and all grams of the sizes.
+
+    Without sizes those of an item: of its own length where that is shorter than a window.
+    """
     import pyarrow as pa
 
-    ddl = f"`{key}` {df.schema[key].dataType.simpleString()}, size int, fp long"
+    ddl = f"`{key}` {df.schema[key].dataType.simpleString()}, n_words long, prints array<struct<size:int,fp:long>>"
     arrow = arrow_schema(df.sparkSession, ddl)
 
     def run(batches):
@@ -257,40 +278,62 @@ def _fingerprints(df: DataFrame, key: str, text: str) -> DataFrame:
             words = Words(texts)
             grams, least, whole = words.winnowed()
             sets = [(0, words.kept(np.flatnonzero(whole), grams, least), grams)]
-            for n in range(1, SPAN):
+            for n in range(1, SPAN) if sizes is None else sizes:
                 hashes, whole = words.grams(n)
-                sets.append((n, np.flatnonzero(whole), hashes))
+                places = np.flatnonzero(whole)
+                if sizes is None:
+                    places = places[words.counts[np.searchsorted(words.begins, places, side="right") - 1] == n]
+                sets.append((n, places, hashes))
+            parts = []
             for n, places, hashes in sets:
                 owner = np.searchsorted(words.begins, places, side="right") - 1
-                pairs = np.unique(np.stack([owner.astype(np.uint64), hashes[places]]), axis=1) if len(places) else np.empty((2, 0), np.uint64)
-                names = pa.array([keys[i] for i in pairs[0].tolist()], arrow.field(0).type)
-                yield pa.RecordBatch.from_arrays([names, pa.array([n] * pairs.shape[1], pa.int32()), pa.array(pairs[1].view(np.int64))], schema=arrow)
+                if len(places):
+                    pairs = np.unique(np.stack([owner.astype(np.uint64), hashes[places]]), axis=1)
+                    parts.append((pairs[0].astype(np.int64), np.full(pairs.shape[1], n, np.int32), pairs[1].view(np.int64)))
+            owners, kinds, found = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.int64))
+            order = np.argsort(owners, kind="stable")
+            edges = np.searchsorted(owners[order], np.arange(len(texts) + 1))
+            prints = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.StructArray.from_arrays([pa.array(kinds[order], pa.int32()), pa.array(found[order], pa.int64())], ["size", "fp"]))
+            yield pa.RecordBatch.from_arrays([pa.array(keys, arrow.field(0).type), pa.array(words.counts, pa.int64()), prints.cast(arrow.field(2).type)], schema=arrow)
 
     return map_arrow(df.select(key, text), run, ddl)
 
 
-def _by_join(docs: DataFrame, queries: DataFrame, key: str) -> DataFrame:
-    """For a benchmark beyond the broadcast bound. Documents are written once with a row number of their own."""
+def _by_join(rows: DataFrame, queries: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """(key, n_words, prints) of all rows, and (key, spans, items) of those with a hit; for a benchmark beyond the broadcast bound."""
     import pyarrow as pa
 
-    rows = cut_lineage(docs.withColumn("row", F.monotonically_increasing_id()))
-    short = queries.withColumn("n", F.size(F.array_remove(F.split(F.lower("item_text"), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), "")))
-    named = cut_lineage(short.withColumn("number", F.monotonically_increasing_id()))
-    tests = _fingerprints(named, "number", "item_text").join(named.select("number", "n"), "number").where("size = 0 and n >= 10 or size = n").select("number", "size", "fp")
-    pairs = _fingerprints(rows, "row", "text").join(tests, ["size", "fp"]).select("row", "number").distinct()
-    chosen = pairs.join(named.select("number", "item", "item_text"), "number").groupBy("row").agg(F.collect_list(F.struct("item", "item_text")).alias("tests"))
-    ddl = f"`{key}` {docs.schema[key].dataType.simpleString()}, {COLUMNS}"
-    arrow = arrow_schema(docs.sparkSession, ddl)
+    named = cut_lineage(queries.withColumn("number", F.monotonically_increasing_id()))
+    tests = cut_lineage(_fingerprints(named, "number", "item_text").select("number", F.inline("prints")))
+    sizes = sorted(r["size"] for r in tests.where("size > 0").select("size").distinct().collect())
+    prints = cut_lineage(_fingerprints(rows, key, text, sizes))
+    dealt = prints.select(key, F.inline("prints")).withColumn("salt", F.pmod(F.col(key), F.lit(SALTS)))
+    pairs = cut_lineage(dealt.join(tests.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["size", "fp", "salt"]).select(key, "number").distinct())
+    blocks = pairs.groupBy(key).agg(F.ceil(F.count("*") / ITEMS).alias("blocks"))
+    placed = pairs.join(blocks, key).select(key, "number", F.pmod(F.xxhash64("number"), F.col("blocks")).alias("block"))
+    units = placed.join(named, "number").groupBy(key, "block").agg(F.collect_list(F.struct("item", "item_text")).alias("tests"))
+    ddl = f"`{key}` long, spans array<struct<first:int,after:int>>, items array<string>"
+    arrow = arrow_schema(rows.sparkSession, ddl)
 
     def run(batches):
-        empty = Index([])
         for batch in batches:
-            for name, text, tests in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                index = Index([(t["item"], t["item_text"]) for t in tests]) if tests else empty
-                columns = {key: [name]} | index.scan([text])
-                yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in arrow], schema=arrow)
-
-    return map_arrow(rows.join(chosen, "row", "left").select(key, "text", "tests"), run, ddl)
+            for name, value, tests in zip(*batch.columns, strict=True):
+                found = Index([(t["item"], t["item_text"]) for t in tests.as_py()]).scan([value.as_py()])
+                if found["spans"][0]:
+                    yield pa.RecordBatch.from_arrays([pa.array([name.as_py()], arrow.field(0).type), pa.array(found["spans"], arrow.field(1).type), pa.array(found["items"], arrow.field(2).type)], schema=arrow)
+
+    met = cut_lineage(map_arrow(units.join(rows.select(key, F.col(text).alias("_text")), key).select(key, "_text", "tests"), run, ddl))
+    spans = F.array_sort(F.flatten(F.collect_list("spans")))
+    gathered = met.groupBy(key).agg(spans.alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+
+    def merge(done, span):
+        last = F.element_at(done, -1)
+        apart = (F.size(done) == 0) | (F.get(done, F.size(done) - 1)["after"] < span["first"])
+        longer = F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(F.struct(last["first"].alias("first"), F.greatest(last["after"], span["after"]).alias("after"))))
+        return F.when(apart, F.concat(done, F.array(span))).otherwise(longer)
+
+    none = F.expr("cast(array() as array<struct<first:int,after:int>>)")
+    return prints, gathered.select(key, F.aggregate("spans", none, merge).alias("spans"), "items")
 
 
 def digests(found: DataFrame) -> DataFrame:
