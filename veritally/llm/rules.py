@@ -1,10 +1,12 @@
 """Quality rules as a learned decision list, with DataFrame functions only.
 
 Statistics of each text are computed by built-in functions in one pass and written once. Sequential covering then
-learns from the statistics of labelled rows: a rule starts empty and grows by the threshold condition that raises the
-information gain on a growing part of the rows most; it is pruned on the other part as long as that doesn't lower its
-worth; the rows that it covers are set aside, and the next rule is learned. The list is emitted as one ordered Spark
-conditional expression.
+learns from the statistics of labelled rows. In each step one rule is grown for either outcome, to reject and to keep: it
+starts empty and takes the threshold condition that raises the information gain on a growing part of the rows most; it
+is pruned on the other part as long as that doesn't lower its worth. Of the two the one that tells more about the rows
+that are left goes to the end of the list, the rows that it covers are set aside, and the next step begins. Rules that
+keep protect what they cover from later ones, so that their order matters. The list is emitted as one ordered Spark
+conditional expression; a text that no rule covers is kept.
 """
 
 from __future__ import annotations
@@ -27,8 +29,9 @@ LEAST_WORDS, MOST_REPEATED = 10, 20
 TRAINING_ROWS = 20_000
 THRESHOLDS = 40
 MAX_RULES, MAX_CONDITIONS = 12, 3
-#: A rule that rejects must be right this often on the pruning rows, and cover so many of them.
-PRECISION, SUPPORT = 0.9, 5
+#: A rule must be right this often on the pruning rows, and cover so many of them; one that keeps must besides be wrong on
+#: no more than this part of what is usual among the rows that are left.
+PRECISION, SUPPORT, USUAL = 0.9, 5, 0.25
 
 #: What rules may ask about: name, and its expression over the counted statistics.
 RATIOS = {
@@ -101,18 +104,24 @@ class Condition:
         return f"{RATIOS[self.name]} {'>=' if self.above else '<='} {self.threshold!r}D"
 
 
-Rule = tuple[Condition, ...]
+Conditions = tuple[Condition, ...]
 
 
-def _covered(rule: Rule, table: dict[str, np.ndarray], n: int) -> np.ndarray:
+@dataclass(frozen=True)
+class Rule:
+    conditions: Conditions
+    keep: bool
+
+
+def _covered(rule: Conditions, table: dict[str, np.ndarray], n: int) -> np.ndarray:
     inside = np.ones(n, bool)
     for c in rule:
         inside &= c.holds(table)
     return inside
 
 
-def _grow(table: dict[str, np.ndarray], bad: np.ndarray) -> Rule:
-    rule: Rule = ()
+def _grow(table: dict[str, np.ndarray], bad: np.ndarray) -> Conditions:
+    rule: Conditions = ()
     inside = np.ones(len(bad), bool)
     while len(rule) < MAX_CONDITIONS and (inside & ~bad).any():
         p, n = (inside & bad).sum(), (inside & ~bad).sum()
@@ -132,31 +141,54 @@ def _grow(table: dict[str, np.ndarray], bad: np.ndarray) -> Rule:
     return rule
 
 
-def _worth(rule: Rule, table: dict[str, np.ndarray], bad: np.ndarray) -> float:
+def _worth(rule: Conditions, table: dict[str, np.ndarray], bad: np.ndarray) -> float:
     inside = _covered(rule, table, len(bad))
     p, n = (inside & bad).sum(), (inside & ~bad).sum()
     return (p - n) / (p + n) if p + n else -1.0
 
 
+def _best(table: dict[str, np.ndarray], wanted: np.ndarray, grow: np.ndarray, prune: np.ndarray, precision: float) -> tuple[float, Conditions] | None:
+    """A rule for the wanted rows, grown on some of the rows and pruned on others; with the wanted rows of the latter that it
+    covers beyond their usual share. None if it isn't precise enough."""
+    if (grow & wanted).sum() < SUPPORT or not (prune & wanted).any():
+        return None
+    rule = _grow({k: v[grow] for k, v in table.items()}, wanted[grow])
+    held, right = {k: v[prune] for k, v in table.items()}, wanted[prune]
+    while len(rule) > 1:
+        shorter = max((rule[:i] for i in range(1, len(rule))), key=lambda r: _worth(r, held, right))
+        if _worth(shorter, held, right) < _worth(rule, held, right):
+            break
+        rule = shorter
+    inside = _covered(rule, held, len(right))
+    hit = int((inside & right).sum())
+    if not rule or inside.sum() < SUPPORT or hit < precision * inside.sum():
+        return None
+    return hit - float(right.mean()) * float(inside.sum()), rule
+
+
 def learn(table: dict[str, np.ndarray], bad: np.ndarray, draw: np.ndarray) -> list[Rule]:
-    """Rules that reject. ``draw`` in [0, 1) splits the rows: two thirds to grow rules on, one third to prune them."""
+    """Ordered rules. ``draw`` in [0, 1) splits the rows: two thirds to grow rules on, one third to prune them."""
     rules: list[Rule] = []
     grow, prune = draw < 2 / 3, draw >= 2 / 3
     left = np.ones(len(bad), bool)
     while len(rules) < MAX_RULES:
         g, p = left & grow, left & prune
-        if (g & bad).sum() < SUPPORT or not (p & bad).any():
+        if not p.any():
             break
-        rule = _grow({k: v[g] for k, v in table.items()}, bad[g])
-        held = {k: v[p] for k, v in table.items()}
-        while len(rule) > 1 and (shorter := max((rule[:i] for i in range(1, len(rule))), key=lambda r: _worth(r, held, bad[p]))) and _worth(shorter, held, bad[p]) >= _worth(rule, held, bad[p]):
-            rule = shorter
-        inside = _covered(rule, held, int(p.sum()))
-        hit = (inside & bad[p]).sum()
-        if not rule or inside.sum() < SUPPORT or hit < PRECISION * inside.sum():
+        found = []
+        for keep in (False, True):
+            wanted = ~bad if keep else bad
+            precision = max(PRECISION, 1 - USUAL * float(bad[p].mean())) if keep else PRECISION
+            best = _best(table, wanted, g, p, precision)
+            if best is not None and best[0] > 0:
+                found.append((best[0], not keep, Rule(best[1], keep)))
+        if not found:
             break
+        rule = max(found, key=lambda x: x[:2])[2]
         rules.append(rule)
-        left &= ~_covered(rule, table, len(bad))
+        left &= ~_covered(rule.conditions, table, len(bad))
+    while rules and rules[-1].keep:
+        rules.pop()
     return rules
 
 
@@ -164,7 +196,7 @@ def expression(rules: list[Rule]) -> Column:
     """True for a text that is kept: the first rule that holds decides, and without one the text stays."""
     decided = "true"
     for rule in reversed(rules):
-        decided = f"CASE WHEN {' AND '.join(c.sql() for c in rule)} THEN false ELSE {decided} END"
+        decided = f"CASE WHEN {' AND '.join(c.sql() for c in rule.conditions)} THEN {str(rule.keep).lower()} ELSE {decided} END"
     return F.expr(decided)
 
 
