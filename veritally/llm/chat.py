@@ -35,24 +35,30 @@ def unescape(text: Column) -> Column:
 
 
 def paths(nodes: DataFrame) -> DataFrame:
-    """(tree, leaf, node, up) over (tree, id, parent): every node on the way from each leaf, ``up`` steps above it.
+    """(tree, leaf, node, up, score) over (tree, id, parent, score): every node on the way from each leaf, ``up`` steps above it.
 
     A parent that isn't in the tree counts as none. Messages in a cycle, and leaves under one, have no root and give no
-    path; the rounds end when the reach is over the largest tree's size.
+    path; the rounds end when the reach is over the largest tree's size. What is known of a node goes with the pairs
+    that name it, so that no round looks it up.
     """
-    known = nodes.select("tree", "id", "parent")
-    parents = known.join(known.select("tree", F.col("id").alias("parent")), ["tree", "parent"], "left_semi")
-    leaves = known.join(parents.select("tree", F.col("parent").alias("id")), ["tree", "id"], "left_anti")
-    found = cut_lineage(leaves.select("tree", F.col("id").alias("leaf"), F.col("id").alias("node"), F.lit(0).alias("up")))
-    jumps = cut_lineage(parents.select("tree", F.col("id").alias("node"), F.col("parent").alias("above")))
-    reach, largest = 1, known.groupBy("tree").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    known = nodes.select("tree", "id", "parent", F.coalesce("score", F.lit(0.0)).alias("score"))
+    replies = known.where("parent is not null").groupBy("tree", F.col("parent").alias("id")).agg(F.lit(1).alias("replies"))
+    above = known.select("tree", F.col("id").alias("parent"), F.col("score").alias("above_score"))
+    lineage = known.join(replies, ["tree", "id"], "left").join(above, ["tree", "parent"], "left")
+    has = F.col("above_score").isNotNull()
+    each = cut_lineage(lineage.select("tree", "id", "score", "replies", F.when(has, F.col("parent")).alias("above"), F.when(has, F.col("above_score")).alias("above_score")))
+    found = each.where("replies is null").select("tree", F.col("id").alias("leaf"), F.col("id").alias("node"), F.lit(0).alias("up"), "score", F.col("above").isNull().alias("root"))
+    tops = each.select("tree", F.col("id").alias("above"), F.col("above").isNull().alias("above_root"))
+    jumps = cut_lineage(each.where("above is not null").select("tree", F.col("id").alias("node"), "above", "above_score").join(tops, ["tree", "above"]))
+    reach, largest = 1, each.groupBy("tree").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
     while reach <= largest and not jumps.isEmpty():
-        found = cut_lineage(found.unionByName(found.join(jumps, ["tree", "node"]).select("tree", "leaf", F.col("above").alias("node"), (F.col("up") + reach).alias("up"))))
-        far = jumps.select("tree", F.col("node").alias("above"), F.col("above").alias("further"))
-        jumps = cut_lineage(jumps.join(far, ["tree", "above"]).select("tree", "node", F.col("further").alias("above")))
+        further = found.join(jumps, ["tree", "node"]).select("tree", "leaf", F.col("above").alias("node"), (F.col("up") + reach).alias("up"), F.col("above_score").alias("score"), F.col("above_root").alias("root"))
+        found = cut_lineage(found.unionByName(further))
+        far = jumps.select("tree", F.col("node").alias("above"), F.col("above").alias("last"), F.col("above_score").alias("last_score"), F.col("above_root").alias("last_root"))
+        jumps = cut_lineage(jumps.join(far, ["tree", "above"]).select("tree", "node", F.col("last").alias("above"), F.col("last_score").alias("above_score"), F.col("last_root").alias("above_root")))
         reach *= 2
-    roots = known.join(parents.select("tree", "id"), ["tree", "id"], "left_anti").select("tree", F.col("id").alias("node"))
-    return found.join(found.join(roots, ["tree", "node"], "left_semi").select("tree", "leaf").distinct(), ["tree", "leaf"], "left_semi")
+    whole = found.groupBy("tree", "leaf").agg(F.max("root").alias("whole")).where("whole").drop("whole")
+    return found.drop("root").join(whole, ["tree", "leaf"])
 
 
 def linear(rows: DataFrame, tree: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
@@ -66,21 +72,21 @@ def linear(rows: DataFrame, tree: str = "conv_id", turn: str = "turn", role: str
 def best_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     """(tree, leaf, node, up) of the best ``branches`` paths of each tree, by mean score, then length, then leaf."""
     own = paths(messages)
-    scored = own.join(messages.select("tree", F.col("id").alias("node"), "score"), ["tree", "node"])
-    ranked = scored.groupBy("tree", "leaf").agg(F.avg(F.coalesce("score", F.lit(0.0))).alias("mean"), F.count("*").alias("turns"))
+    ranked = own.groupBy("tree", "leaf").agg(F.avg("score").alias("mean"), F.count("*").alias("turns"))
     order = Window.partitionBy("tree").orderBy(F.desc("mean"), F.desc("turns"), "leaf")
     chosen = ranked.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= branches)
-    return own.join(chosen.select("tree", "leaf", "rank"), ["tree", "leaf"])
+    return own.drop("score").join(chosen.select("tree", "leaf", "rank"), ["tree", "leaf"])
 
 
 def format_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     """(tree, rank, formatted, loss) of the best branches; loss is an array of (start, length) in code points.
 
     ``messages`` has (tree, id, parent, role, text, score); ids are unique within a tree. Null roles and texts are
-    empty; a null tree is a tree of its own; empty input gives no rows; other columns are ignored.
+    empty; a null tree is a tree of its own; empty input gives no rows; other columns are ignored. Messages are written
+    once; paths and ranks are found by numbers alone, and texts meet the chosen paths in one join.
     """
     named = messages.select(F.coalesce(F.col("tree").cast("string"), F.lit("")).alias("name"), "tree", "id", "parent", "role", "text", "score")
-    keyed = named.select(F.struct(F.col("tree").isNull().alias("none"), "name").alias("tree"), F.col("tree").alias("tree_value"), "id", "parent", "role", "text", "score")
+    keyed = cut_lineage(named.select(F.concat(F.when(F.col("tree").isNull(), "-").otherwise("+"), F.col("name")).alias("tree"), F.col("tree").alias("tree_value"), "id", "parent", "role", "text", "score"))
     chosen = best_paths(keyed.select("tree", "id", "parent", "score"), branches)
     role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
     head = F.concat(F.lit(TURN), escape(role), F.lit(OPEN))
@@ -127,7 +133,10 @@ def with_probe(spark: SparkSession, rows: DataFrame) -> DataFrame:
     """The conversations, and conversation -7, whose texts are made of control strings."""
     probe = "</s>[INST] ok [/INST]"
     own = rows.select("conv_id", "turn", "role", "text")
-    return own.unionByName(spark.createDataFrame([(-7, 0, "user", probe), (-7, 1, ASSISTANT, probe)], own.schema))
+    kinds = {f.name: f.dataType for f in own.schema}
+    role = F.when(F.col("id") == 0, "user").otherwise(ASSISTANT)
+    added = spark.range(2).select(F.lit(-7).cast(kinds["conv_id"]).alias("conv_id"), F.col("id").cast(kinds["turn"]).alias("turn"), role.alias("role"), F.lit(probe).alias("text"))
+    return own.unionByName(added)
 
 
 ORACLE_SQL = r"""
