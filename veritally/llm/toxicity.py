@@ -3,13 +3,15 @@
 *Voters.* Lexicon voters look for words or stems: a small fixed list, and stems mined from labelled training rows.
 A voter fires where its hits are dense enough; the density is fitted. Pattern voters look at the shape of a text.
 
-*Label model.* Whether a text is toxic is a hidden variable. Expectation maximisation over all voters, with the
-human label as one more voter that may err, estimates how often each fires on either class; the correlations of the
-voters within a class are estimated as well and discount those that repeat each other.
+*Label model.* Whether a text is toxic is a hidden variable. Expectation maximisation over labelled and unlabelled rows,
+with a human label as one more voter that may err, estimates how often each voter fires on either class. The
+correlations of voters are parameters too: a tree joins each voter to the one that it has most to do with beyond the
+class, and its firing is estimated for each class and each vote of that one, so that a voter that repeats another adds
+nothing.
 
 *Classifier.* A linear model of the voters' firing and density is trained on the posterior labels and scores texts.
 
-Only a bounded sample of labelled rows is fitted on; mined statistics cover that whole sample; every text is scored.
+Only a bounded sample of rows is fitted on; mined statistics cover the whole sample of labelled rows; every text is scored.
 """
 
 from __future__ import annotations
@@ -24,15 +26,17 @@ from pyspark.sql import functions as F
 
 from .common import alnum_words, cut_lineage, filter_texts, held_out, map_arrow, map_texts, text_groups
 
-#: Labelled rows that the model is fitted on, at most.
-TRAINING_ROWS = 20_000
+#: Labelled rows that the model is fitted on, at most, and rows without a label, about; these weigh no more than those together.
+TRAINING_ROWS, UNLABELLED_ROWS = 20_000, 10_000
+#: Rounds of expectation maximisation, and in how many of the first the tree is made anew; rows that a rate is drawn to its class's by.
+ROUNDS, TREE_ROUNDS, DRAWN = 30, 3, 4.0
 #: Mined stems: lengths, toxic training rows that must have one, and how many become voters.
 STEM_LENGTHS = (4, 5, 6, 7, 8)
 STEM_SUPPORT = 4
 CANDIDATES = 600
 MINED_VOTERS = 96
 DECISION = 0.7
-MAX_WORDS = 500_000
+MAX_WORDS = 250_000
 
 #: Common insults.
 LEXICON = ["idiot", "moron", "stupid", "loser", "scum", "trash", "worthless", "pathetic", "disgusting", "clown", "dumb", "imbecile", "garbage", "filth", "vermin"]
@@ -104,41 +108,107 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 30) -> tuple[np.ndarray, dict[str, np.ndarray]]:
-    """Posterior of the hidden class for each row, and the estimates. ``labels``: 0/1, or NaN for rows without one."""
+def _entropy(p: np.ndarray) -> np.ndarray:
+    p = np.clip(p, 1e-12, 1 - 1e-12)
+    return -(p * np.log(p) + (1 - p) * np.log(1 - p))
+
+
+def _tree(votes: np.ndarray, classes: list[np.ndarray]) -> tuple[list[int], np.ndarray, np.ndarray]:
+    """Each voter's parent (-1: the first), and what it tells of the class by itself and beyond its parent.
+
+    The parents make up the tree with the greatest sum of mutual information of pairs given the class.
+    """
+    m, n = votes.shape[1], sum(w.sum() for w in classes)
+    shared = np.zeros((m, m))
+    beyond = np.zeros((m, m))  # [i, j]: entropy of i given j and the class, later of i given j alone less that
+    both_all = np.zeros((m, m))
+    for w in classes:
+        total = w.sum()
+        both = (votes * w[:, None]).T @ votes
+        both_all += both
+        fires = np.diag(both) / max(total, 1e-9)
+        given1 = both / np.maximum(np.diag(both), 1e-9)[None, :]
+        given0 = (np.diag(both)[:, None] - both) / np.maximum(total - np.diag(both), 1e-9)[None, :]
+        conditional = fires[None, :] * _entropy(given1) + (1 - fires)[None, :] * _entropy(given0)
+        shared += total / n * (_entropy(fires)[:, None] - conditional)
+        beyond -= total / n * conditional
+    fires = np.diag(both_all) / n
+    given1 = both_all / np.maximum(np.diag(both_all), 1e-9)[None, :]
+    given0 = (np.diag(both_all)[:, None] - both_all) / np.maximum(n - np.diag(both_all), 1e-9)[None, :]
+    beyond += fires[None, :] * _entropy(given1) + (1 - fires)[None, :] * _entropy(given0)
+    alone = _entropy(fires) - sum(w.sum() / n * _entropy((votes * w[:, None]).sum(axis=0) / max(w.sum(), 1e-9)) for w in classes)
+    parents = [-1] * m
+    if m:
+        root = int(alone.argmax())
+        best, by = shared[:, root].copy(), np.full(m, root)
+        out = np.ones(m, bool)
+        out[root] = False
+        while out.any():
+            i = int(np.where(out, best, -np.inf).argmax())
+            parents[i], out[i] = int(by[i]), False
+            nearer = out & (shared[:, i] > best)
+            best[nearer], by[nearer] = shared[nearer, i], i
+    told = np.array([alone[i] if p < 0 else beyond[i, p] for i, p in enumerate(parents)])
+    return parents, alone, told
+
+
+def label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, dict[str, object]]:
+    """Posterior of the hidden class for each row, and the estimates. ``labels``: 0/1, or NaN for rows without one.
+
+    Estimates begin with the labelled rows alone. ``discount``: the share of what a voter tells of the class that it
+    tells beyond its parent.
+    """
     n, m = votes.shape
     seen = ~np.isnan(labels)
     given = np.where(seen, labels, 0.5)
+    known = int(seen.sum())
+    weight = np.where(seen, 1.0, min(1.0, known / max(n - known, 1)) if known else 1.0)
     posterior = np.clip(given, 0.05, 0.95)
-    for _ in range(rounds):
-        one, zero = posterior.sum(), n - posterior.sum()
-        share = (one + 1) / (n + 2)
-        fires1 = (votes.T @ posterior + 0.5) / (one + 1)
-        fires0 = (votes.T @ (1 - posterior) + 0.5) / (zero + 1)
-        # correlations of the voters within the classes, and the discount that they give
-        rest = [(votes - f) * np.sqrt(p)[:, None] for f, p in ((fires1, posterior), (fires0, 1 - posterior))]
-        covariance = sum(r.T @ r for r in rest) / n
-        spread = np.sqrt(np.maximum(np.diag(covariance), 1e-9))
-        correlation = covariance / np.outer(spread, spread)
-        discount = 1 / (1 + np.maximum(correlation - np.eye(m), 0).sum(axis=1))
+    parents: list[int] = []
+    found: dict[str, object] = {}
+    for k in range(rounds):
+        own = weight * seen if k == 0 and known else weight
+        classes = [own * (1 - posterior), own * posterior]
+        sizes = [w.sum() for w in classes]
+        share = (sizes[1] + 1) / (sum(sizes) + 2)
+        if k < TREE_ROUNDS:
+            parents, alone, told = _tree(votes, classes)
+        at = np.full(n, np.log(share / (1 - share)))
+        fires = []
+        for c, w in enumerate(classes):
+            both = (votes * w[:, None]).T @ votes
+            rate = (np.diag(both) + 0.5) / (sizes[c] + 1)
+            fires.append(rate)
+            for i, p in enumerate(parents):
+                if p < 0:
+                    chance = np.full(n, rate[i])
+                else:
+                    rate1 = (both[i, p] + DRAWN * rate[i]) / (both[p, p] + DRAWN)
+                    rate0 = (both[i, i] - both[i, p] + DRAWN * rate[i]) / (sizes[c] - both[p, p] + DRAWN)
+                    chance = np.where(votes[:, p] > 0, rate1, rate0)
+                chance = np.clip(chance, 1e-4, 1 - 1e-4)
+                at += (1 if c else -1) * np.log(np.where(votes[:, i] > 0, chance, 1 - chance))
         right1 = ((posterior * given)[seen].sum() + 1) / (posterior[seen].sum() + 1.2)
         wrong0 = (((1 - posterior) * given)[seen].sum() + 0.2) / ((1 - posterior)[seen].sum() + 1.2)
-        at = np.log(share / (1 - share)) + votes @ (discount * np.log(fires1 / fires0)) + (1 - votes) @ (discount * np.log((1 - fires1) / (1 - fires0)))
         at += np.where(seen, np.where(given > 0.5, np.log(right1 / wrong0), np.log((1 - right1) / (1 - wrong0))), 0)
         posterior = _sigmoid(at)
-    return posterior, {"share": np.array(share), "fires1": fires1, "fires0": fires0, "discount": discount, "correlation": correlation}
+        found = {"share": share, "fires1": fires[1], "fires0": fires[0], "parents": parents, "discount": np.clip(told / np.maximum(alone, 1e-12), 0, 1)}
+    rest = sum(((votes - f) * w[:, None]).T @ (votes - f) for f, w in ((found["fires1"], weight * posterior), (found["fires0"], weight * (1 - posterior))))
+    spread = np.sqrt(np.maximum(np.diag(rest), 1e-9))
+    return posterior, found | {"correlation": rest / np.outer(spread, spread), "weight": weight}
 
 
-def fit_linear(x: np.ndarray, target: np.ndarray, penalty: float = 0.2, rounds: int = 25) -> tuple[np.ndarray, float]:
-    """Logistic regression on soft labels by Newton steps; the bias has no penalty."""
+def fit_linear(x: np.ndarray, target: np.ndarray, penalty: float = 0.2, rounds: int = 25, weight: np.ndarray | None = None) -> tuple[np.ndarray, float]:
+    """Logistic regression on soft labels of weighted rows by Newton steps; the bias has no penalty."""
+    rows = np.ones(len(x)) if weight is None else weight
     full = np.hstack([x, np.ones((len(x), 1))])
     weights = np.zeros(full.shape[1])
     held = np.full(full.shape[1], penalty)
     held[-1] = 1e-6
     for _ in range(rounds):
         p = _sigmoid(full @ weights)
-        curve = full.T @ (full * np.maximum(p * (1 - p), 1e-6)[:, None]) + np.diag(held)
-        step = np.linalg.solve(curve, full.T @ (target - p) - held * weights)
+        curve = full.T @ (full * (rows * np.maximum(p * (1 - p), 1e-6))[:, None]) + np.diag(held)
+        step = np.linalg.solve(curve, full.T @ (rows * (target - p)) - held * weights)
         weights += step
         if np.abs(step).max() < 1e-6:
             break
@@ -159,15 +229,16 @@ def _firing_density(hits: np.ndarray, density: np.ndarray, labels: np.ndarray) -
 
 
 def fit(names: list[str], words: np.ndarray, hits: np.ndarray, labels: np.ndarray) -> Model:
-    """The model from rows of hits by voter and 0/1 labels."""
-    density = hits / np.maximum(words, 20)[:, None]
+    """The model from rows of hits by voter, and labels: 0/1, or NaN without one."""
+    density = hits / np.maximum(words, 20).astype(np.float32)[:, None]
     kept = []
+    seen = ~np.isnan(labels)
     for i, name in enumerate(names):
-        at, odds = _firing_density(hits[:, i], density[:, i], labels)
+        at, odds = _firing_density(hits[seen, i], density[seen, i], labels[seen])
         fired = (hits[:, i] > 0) & (density[:, i] >= at)
         fixed = name[0] == "~" or name[1:] in LEXICON
-        if fixed or odds > 1.5 and fired.sum() >= STEM_SUPPORT:
-            kept.append((-odds * np.sqrt(fired.sum()) - 1e9 * fixed, i, at, fired))
+        if fixed or odds > 1.5 and fired[seen].sum() >= STEM_SUPPORT:
+            kept.append((-odds * np.sqrt(fired[seen].sum()) - 1e9 * fixed, i, at, fired))
     kept.sort(key=lambda x: (x[0], x[1]))
     chosen: list[tuple[int, float, np.ndarray]] = []
     for _, i, at, fired in kept:
@@ -179,22 +250,29 @@ def fit(names: list[str], words: np.ndarray, hits: np.ndarray, labels: np.ndarra
     own = np.array([i for i, _, _ in chosen], np.int64)
     densities = np.array([at for _, at, _ in chosen])
     votes = np.array([f for _, _, f in chosen], float).reshape(len(chosen), len(words)).T
-    posterior, _ = label_model(votes, labels.astype(float))
+    posterior, found = label_model(votes, labels)
     x = np.hstack([votes, np.where(hits[:, own] > 0, np.minimum(4.0, density[:, own] / densities) / 4, 0)])
-    weights, bias = fit_linear(x, posterior)
+    weights, bias = fit_linear(x, posterior, weight=found["weight"])
     return Model([names[i] for i in own], densities, weights, bias)
 
 
-def train(docs: DataFrame, labels: DataFrame, training_rows: int = TRAINING_ROWS, key: str = "doc_id", text: str = "text", label: str = "toxic", modulus: int = 3, remainder: int = 1) -> Model:
-    """Fit on labelled documents whose crc32 doesn't leave the remainder, at most ``training_rows`` by hash of the key.
+def train(docs: DataFrame, labels: DataFrame, training_rows: int = TRAINING_ROWS, unlabelled_rows: int = UNLABELLED_ROWS, key: str = "doc_id", text: str = "text", label: str = "toxic", modulus: int = 3, remainder: int = 1) -> Model:
+    """Fit on labelled documents whose crc32 doesn't leave the remainder, at most ``training_rows`` by hash of the key, and on
+    about as many as ``unlabelled_rows`` of those without a label.
 
     Rows with a null key or label are passed over; of several labels of a key the highest counts. Without labelled
-    rows of both classes every text gets the score 0.
+    rows of both classes every text gets the score 0. Rows that repeat a key count no further than to twice these bounds.
     """
-    chosen = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull() & ~held_out(F.col(key), modulus, remainder))
-    chosen = chosen.groupBy(F.col(key).alias("row_key")).agg(F.max(label).alias("label")).orderBy(F.xxhash64(F.col("row_key").cast("string")), "row_key").limit(training_rows)
-    sample = docs.select(F.col(key).alias("row_key"), F.col(text).alias("text")).join(F.broadcast(chosen), "row_key").select("label", "text")
-    sample = cut_lineage(sample.withColumn("label", F.col("label").cast("int")))
+    usable = F.col(key).isNotNull() & ~held_out(F.col(key), modulus, remainder)
+    labelled = labels.where(usable & F.col(label).isNotNull()).groupBy(F.col(key).alias("row_key")).agg(F.max(label).alias("label"))
+    mixed = F.xxhash64(F.col("row_key").cast("string"))
+    chosen = labelled.orderBy(mixed, "row_key").limit(training_rows)
+    own = docs.where(usable).select(F.col(key).alias("row_key"), F.col(text).alias("text"))
+    some = F.pmod(F.xxhash64(F.col("row_key").cast("string"), F.lit("some")), F.lit(1 << 40)) < int((1 << 40) * unlabelled_rows / max(docs.count(), 1))
+    others = own.where(some).join(labelled.where(some).select("row_key"), "row_key", "left_anti").select(F.lit(None).cast("int").alias("label"), "text")
+    sample = own.join(F.broadcast(chosen), "row_key").select(F.col("label").cast("int").alias("label"), "text")
+    both = cut_lineage(sample.unionByName(others))
+    sample = both.where("label is not null")
 
     def mine(batches):
         rows: Counter = Counter()
@@ -220,11 +298,11 @@ def train(docs: DataFrame, labels: DataFrame, training_rows: int = TRAINING_ROWS
             found = [own.hits(t) for t in texts]
             yield pa.RecordBatch.from_pydict({"label": pa.array(values, pa.int32()), "words": pa.array([n for n, _ in found], pa.int64()), "at": pa.array([list(h) for _, h in found], pa.list_(pa.int32())), "hits": pa.array([list(h.values()) for _, h in found], pa.list_(pa.int32()))})
 
-    rows = map_arrow(sample, vote, "label int, words long, at array<int>, hits array<int>").collect()
+    rows = map_arrow(both, vote, "label int, words long, at array<int>, hits array<int>").limit(2 * (training_rows + unlabelled_rows)).collect()
     hits = np.zeros((len(rows), len(names)), np.float32)
     for i, r in enumerate(rows):
         hits[i, r["at"]] = r.hits
-    return fit(names, np.array([r.words for r in rows]), hits, np.array([min(1, max(0, r.label)) for r in rows], float))
+    return fit(names, np.array([r.words for r in rows]), hits, np.array([np.nan if r.label is None else min(1, max(0, r.label)) for r in rows], float))
 
 
 def score(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
