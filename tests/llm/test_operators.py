@@ -13,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from veritally.llm import bpe, chat, decontam, langid, license, lm, rules, simhash, tokencount, toxicity
+from veritally.llm import bpe, chat, common, decontam, langid, license, lm, rules, simhash, tokencount, toxicity
 from veritally.llm.common import alnum_words, blank_words, is_held_out
 from veritally.llm.queries import tokenizer_path
 
@@ -83,6 +83,27 @@ def test_token_counts(odd, none, library):
     assert tokencount.count_tokens(none, tokenizer_path()).count() == 0
 
 
+def test_other_kinds_of_tokenizer_files_are_refused(tmp_path):
+    import json
+
+    with open(tokenizer_path(), encoding="utf-8") as f:
+        spec = json.load(f)
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"model": spec["model"] | {"ignore_merges": True}}):
+        path = tmp_path / "other.json"
+        path.write_text(json.dumps(spec | change))
+        with pytest.raises(ValueError, match=next(iter(change))):
+            tokencount.BpeCounter(str(path))
+
+
+def test_hot_keys_are_joined_apart(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 2)
+    rows = spark.createDataFrame([(k, i) for i, k in enumerate([1, 1, 1, 1, 2, 2, 3])], "k long, i int")
+    values = spark.createDataFrame([(1, 4, "a"), (2, 2, "b"), (3, 1, "c")], "k long, n long, v string")
+    got = common.join_values(rows, values, "k")
+    assert got.columns == ["k", "i", "v"] and sorted((r.k, r.v) for r in got.collect()) == [(1, "a")] * 4 + [(2, "b")] * 2 + [(3, "c")]
+    assert common.join_values(rows.limit(0), values.limit(0), "k").count() == 0
+
+
 def test_encoding_round_trip(odd, none, library, docs, texts):
     for df, rows in ((odd, ODD), (docs, list(texts.items()))):
         got = Counter((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe.encode_digests(df, tokenizer_path()).collect())
@@ -195,6 +216,19 @@ def test_contamination(spark, odd, none, limit):
     assert not decontam.digests(decontam.contamination(odd, bench.limit(0))).where("contaminated").count()
 
 
+def test_cleaning_is_the_same_by_broadcast_and_by_join(spark):
+    bench = spark.createDataFrame([(f"i{k}", " ".join(f"w{k}x{j}" for j in range(12))) for k in range(200)] + [("one", "alone")], "item_id string, text string")
+    every = " ".join(" ".join(f"w{k}x{j}" for j in range(12)) for k in range(200))
+    rows = [(7, "clean text here", 1), (7, "w3x0 w3x1 w3x2 w3x3 w3x4 w3x5 w3x6 w3x7 w3x8 w3x9", 2), (None, "so ALONE it is", 3), (None, "fine", 4), (8, every, 5), (9, None, 6), (9, None, 6), (10, "", 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, number int")
+    want = [r for r in rows if not brute_hits(r[1], [(r.item_id, r.text) for r in bench.collect()])[1]]
+    for limit in (decontam.BROADCAST_BYTES, 0):
+        got = decontam.clean(docs, bench, broadcast_bytes=limit)
+        assert got.columns == docs.columns and sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+    both = [Counter(map(str, decontam.digests(decontam.contamination(docs, bench, broadcast_bytes=b)).collect())) for b in (decontam.BROADCAST_BYTES, 0)]
+    assert both[0] == both[1] and any("n_items=200" in r for r in both[1])
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.sampled_from("abc"), max_size=60), st.lists(st.lists(st.sampled_from("abc"), max_size=16), max_size=4))
 def test_winnowing_misses_no_window(words, items):
@@ -223,6 +257,11 @@ def test_licenses(spark, odd, none):
             assert set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(",")) and 0 <= r.score <= 1
     assert got[33][0].labels == "mit" and got[33][0].base_labels == "" and got[34][0].labels == "" and got[2][0].labels == ""
     assert license.scan(none).count() == 0
+    odder = spark.createDataFrame([(1, "the license " * 7), (2, "MIT LICENSE \u212ait"), (3, "licensed under the apache license, as it is, version 2 0"), (4, "license mit the under released")], "doc_id long, text string")
+    rows = {r.doc_id: r for r in license.scan(odder).collect()}
+    assert rows[1].labels == "" and rows[1].score == 0 and rows[2].n_words == 3 and rows[2].labels == "mit" and rows[3].labels == "apache" and rows[4].labels == ""
+    own = {r.doc_id: r for r in license.scan(odder, phrases={"as it is": "as-is"}, templates=[("it's", "license mit the under")]).collect()}
+    assert own[3].labels == "as-is" and own[4].labels == "it's" and own[1].base_labels == ""
 
 
 def test_rules_statistics(odd, none, docs, texts):
@@ -245,13 +284,30 @@ def test_rules_learn_and_keep_clean_rows(spark, odd, none):
     table = {"symbol_share": rng.random(600), "mean_word": rng.random(600)}
     bad = (table["symbol_share"] > 0.8) & (table["mean_word"] < 0.9)
     found = rules.learn(table, bad, rng.random(600))
-    assert found and all(c.name in rules.RATIOS for r in found for c in r)
+    assert found and all(c.name in rules.RATIOS for r in found for c in r.conditions)
     labels = spark.createDataFrame([(1, 1), (2, 0), (8, None), (None, 0)], "doc_id long, quality int")
     got = rules.apply(odd, labels).collect()
     assert len(got) == len(ODD) and all(r.kept for r in got if not r.base_failed) and all(r.base_failed for r in got if r.doc_id in (2, 3, 4))
     assert rules.apply(none, labels.limit(0)).count() == 0
 
 
+def test_a_decision_list_has_both_outcomes_in_order(spark):
+    """Many symbols are bad but for four exceptions, which are more than a rule's conditions can tell."""
+    rng = np.random.default_rng(4)
+    table = {c: rng.integers(0, 100, 3000).astype(float) for c in ("n_symbols", "n_upper", "n_digits", "n_marks")} | {"n_words": np.full(3000, 100.0), "word_chars": rng.integers(100, 900, 3000).astype(float)}
+    ratios = {n: table[c] / table[of] for n, c, of in (("symbol_share", "n_symbols", "word_chars"), ("upper_share", "n_upper", "word_chars"), ("digit_share", "n_digits", "word_chars"), ("mark_share", "n_marks", "n_words"), ("mean_word", "word_chars", "n_words"))}
+    bad = (ratios["symbol_share"] > 0.05) & (ratios["upper_share"] < 0.2) & (ratios["digit_share"] < 0.2) & (ratios["mark_share"] < 0.7) & (ratios["mean_word"] < 7)
+    bad ^= rng.random(3000) < 0.01
+    found = rules.learn(ratios, bad, rng.random(3000))
+    assert {r.keep for r in found} == {True, False} and not found[-1].keep
+    rows = spark.createDataFrame([(i, *(int(v[i]) for v in table.values())) for i in range(3000)], "i int, " + ", ".join(f"{c} long" for c in table))
+    got = {r.i: r.kept for r in rows.select("i", rules.expression(found).alias("kept")).collect()}
+    for i in range(3000):
+        first = next((r for r in found if all(c.holds({k: v[i] for k, v in ratios.items()}) for c in r.conditions)), None)
+        assert got[i] == (True if first is None else first.keep)
+    assert np.mean([got[i] != bad[i] for i in range(3000)]) > max(0.9, np.mean(~bad) + 0.05)
+
+
 def test_toxicity_on_held_out_rows(spark, small, docs, odd, none):
     big = spark.read.parquet(small.replace("0.001", "0.01") + "/documents.parquet")
     labels = spark.read.parquet(small.replace("0.001", "0.01") + "/labels.parquet")
@@ -277,6 +333,20 @@ def test_label_model_finds_accuracies_and_discounts_copies():
     assert found["discount"][1] < found["discount"][0] and found["correlation"][1, 2] > 0.9
 
 
+def test_label_model_learns_from_rows_without_labels():
+    """Few labels, many rows: rates come near the truth, and a voter that repeats another adds nothing."""
+    rng = np.random.default_rng(7)
+    truth = rng.random(6000) < 0.3
+    own = [np.where(rng.random(6000) < a, truth, rng.random(6000) < 0.1).astype(float) for a in (0.8, 0.75, 0.7, 0.65)]
+    labels = np.where(np.arange(6000) < 60, truth, np.nan).astype(float)
+    posterior, found = toxicity.label_model(np.stack(own, axis=1), labels)
+    few, _ = toxicity.label_model(np.stack(own, axis=1)[:60], labels[:60])
+    assert ((posterior > 0.5) == truth)[60:].mean() > 0.9
+    assert abs(found["fires1"][0] - own[0][truth].mean()) < 0.05 and abs(found["fires0"][0] - own[0][~truth].mean()) < 0.05
+    twice, copied = toxicity.label_model(np.stack([*own, own[3], own[3]], axis=1), labels)
+    assert np.abs(twice - posterior).mean() < 0.03 and sorted(copied["discount"])[:2] == pytest.approx([0, 0], abs=0.02)
+
+
 def test_languages(spark, small, odd, none):
     big = spark.read.parquet(small.replace("0.001", "0.01") + "/documents.parquet")
     model = langid.train(big)

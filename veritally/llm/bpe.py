@@ -28,7 +28,7 @@ from .tokencount import SENTINEL, byte_letters, piece_starts, split_short
 CHUNK_BYTES = 1024
 HASHED_BYTES = 16
 #: Bounds of a worker's tables: pieces, and characters in chunks. Longer pieces are encoded each time anew.
-MAX_PIECES = 800_000
+MAX_PIECES = 400_000
 MAX_CHUNK_CHARS = 16 << 20
 LONG_PIECE = 64
 #: Pieces at a chunk's end whose starts may depend on what follows: a contraction is at most two pieces when cut.

@@ -108,11 +108,13 @@ def arrow_schema(spark: SparkSession, ddl: str) -> pa.Schema:
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which all executors share; a folder of our own only where it is unset."""
+    """The folder of spark.checkpoint.dir, which all executors share; one of our own only where it is unset on one machine."""
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
         configured = spark.conf.get("spark.checkpoint.dir", None)
         if configured is None:
+            if not context.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
             import tempfile
 
             configured = tempfile.mkdtemp(prefix="veritally-")
@@ -120,6 +122,29 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get()
 
 
+#: Rows of a key from which it is joined apart, at least; and the most such keys there can be.
+HOT_ROWS, HOT_KEYS = 100_000, 10_000
+
+
+def join_values(rows: DataFrame, values: DataFrame, key: str) -> DataFrame:
+    """Rows inner-joined with one value row for each key, where ``n`` counts the key's rows; ``n`` is dropped.
+
+    Keys with very many rows would each meet in one task. They are joined by broadcast: as each has over ``HOT_ROWS`` rows
+    and over one in ``HOT_KEYS`` of all, they are fewer than ``HOT_KEYS``.
+    """
+    total = values.agg(F.sum("n")).first()[0] or 0
+    hot = F.col("n") > max(HOT_ROWS, total // HOT_KEYS)
+    large, small = values.where(hot).drop("n"), values.where(~hot).drop("n")
+    apart = F.broadcast(large)
+    return rows.join(apart, key).unionByName(rows.join(F.broadcast(large.select(key)), key, "left_anti").join(small, key))
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder on whatever file system it is."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise in the checkpoint folder, so that lost executors cost nothing that came before."""
     checkpoint_folder(df.sparkSession)

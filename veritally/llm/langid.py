@@ -34,7 +34,7 @@ WORD_CAP = 8.0
 #: Letters of a stretch, and up to how many letters a word stays whole; in scripts written without blanks, those of a stretch.
 STRETCH, WHOLE = 16, 40
 UNSPACED = {"han", "kana", "thai", "other"}
-MAX_WORDS = 500_000
+MAX_WORDS = 250_000
 
 #: First code points of script ranges, by Unicode blocks.
 SCRIPTS = [

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blank_words, cut_lineage, map_arrow, map_texts
+from .common import blank_words, cut_lineage, join_values, map_arrow, map_texts
 from .simhash import SEED, components
 
 SHINGLE_WORDS = 5
@@ -124,7 +124,7 @@ def near_copies(df: DataFrame, similarity: float = SIMILARITY, shingle_words: in
     Texts without words are copies of each other. Ties and repeated rows keep a row each; a null key is kept and counts
     as no smallest key. An empty table gives an empty result.
     """
-    nodes = df.select(F.col(key), F.xxhash64(text).alias("node"))
+    nodes = cut_lineage(df.select(F.col(key), F.xxhash64(text).alias("node")))
     texts = df.select(F.xxhash64(text).alias("node"), F.col(text).alias("text"))
 
     def work(names: list, values: list[str | None]) -> dict[str, list]:
@@ -142,9 +142,9 @@ def near_copies(df: DataFrame, similarity: float = SIMILARITY, shingle_words: in
     units = units.select("root", F.least("block", "other").alias("lower"), F.greatest("block", "other").alias("upper"), "block", "node", "text")
     dealt = units.repartition("root", "lower", "upper").sortWithinPartitions("root", "lower", "upper", "block")
     roots = components(map_arrow(dealt, _verified(similarity, shingle_words), "a long, b long"))
-    first = nodes.groupBy("node").agg(F.min(key).alias("least"))
+    first = nodes.groupBy("node").agg(F.min(key).alias("least"), F.count("*").alias("n"))
     linked = roots.join(first, "node").select("node", "root", "least")
     by_root = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     by_node = linked.join(by_root, "root").select("node", "component_id")
-    both = first.join(by_node, "node", "left").select("node", F.coalesce("component_id", "least").alias("component_id"))
-    return nodes.join(both, "node").select(key, "component_id")
+    both = first.join(by_node, "node", "left").select("node", "n", F.coalesce("component_id", "least").alias("component_id"))
+    return join_values(nodes, cut_lineage(both), "node").select(key, "component_id")

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blank_words, cut_lineage, map_arrow, map_texts
+from .common import blank_words, cut_lineage, join_values, map_arrow, map_texts
 
 SEED = 42
 BITS = 64
@@ -262,9 +262,9 @@ def near_duplicates(df: DataFrame, max_bits: int = 4, shingle_words: int = 4, ke
     each; a null key is kept and counts as no smallest key. An empty table gives an empty result.
     """
     own = cut_lineage(fingerprints(df, shingle_words, key, text))
-    distinct = own.groupBy("fp").agg(F.min(key).alias("least"))
+    distinct = cut_lineage(own.groupBy("fp").agg(F.min(key).alias("least"), F.count("*").alias("n")))
     roots = components(links(distinct.select("fp"), max_bits))
     linked = distinct.join(roots, distinct.fp == roots.node).select("fp", "root", "least")
     least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = distinct.join(linked.select("fp", "root"), "fp", "left").join(least, "root", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return own.join(by_fp, "fp").select(key, "fp", "component_id")
+    by_fp = distinct.join(linked.select("fp", "root"), "fp", "left").join(least, "root", "left").select("fp", "n", F.coalesce("component_id", "least").alias("component_id"))
+    return join_values(own, cut_lineage(by_fp), "fp").select(key, "fp", "component_id")

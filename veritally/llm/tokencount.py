@@ -13,7 +13,11 @@ the number of emitted tokens. It rests on the fact that a sequence of tokens is
 each neighbouring pair survives merging by itself: so each prefix of a piece has one last token, found from the
 last tokens of shorter prefixes. A state is what can still matter of those: the suffixes that begin some longer token,
 with the last token and the relative count where each starts. States are compiled when first met; a piece is
-linear in its length, however long. Counts of whole pieces are kept in a bounded table.
+linear in its length, however long; a long one goes by chunks whose maps from entry to exit state, with the tokens
+emitted, are kept and composed. A piece begins in the first state whatever came before: its map is a constant, so
+that the prefix scan over the pieces of a stream is a cumulative sum. Counts of whole pieces are kept in a bounded table.
+
+The file must be of the kind that is compiled here, or an error tells what differs.
 """
 
 from __future__ import annotations
@@ -41,9 +45,12 @@ HERE, ONE_BACK = 1, 2
 SENTINEL = "\ud800"
 CHUNK = 256
 #: Bounds of a worker's tables.
-MAX_PIECES = 800_000
+MAX_PIECES = 400_000
 MAX_STATES = 300_000
 MAX_PAIRS = 600_000
+MAX_MAPS = 20_000
+#: Bytes of a chunk of a long piece.
+PIECE_CHUNK = 64
 
 
 def _fresh(kind: int) -> int:
@@ -162,6 +169,7 @@ class BpeCounter:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        _check(spec)
         letters = byte_letters()
         model = spec["model"]
         plain = {t["content"] for t in spec["added_tokens"]}
@@ -181,6 +189,7 @@ class BpeCounter:
         self._reset()
 
     def _reset(self) -> None:
+        self.maps: dict[bytes, dict[int, tuple[int, int]]] = {}
         self.states: list[tuple] = [((b"", -1, 0),)]
         self.numbers = {self.states[0]: 0}
         self.moves: list[dict[int, tuple[int, int]]] = [{}]
@@ -236,16 +245,31 @@ class BpeCounter:
         move = self.moves[state][byte] = (number, emitted)
         return move
 
-    def piece(self, text: str) -> int:
-        """Tokens of one piece."""
-        if len(self.states) > MAX_STATES:
-            self._reset()
-        state = total = 0
-        moves = self.moves
-        for byte in text.encode():
+    def _walk(self, state: int, data: bytes) -> tuple[int, int]:
+        """The state after these bytes, and the tokens emitted."""
+        moves, total = self.moves, 0
+        for byte in data:
             move = moves[state].get(byte) or self._compile(state, byte)
             state = move[0]
             total += move[1]
+        return state, total
+
+    def piece(self, text: str) -> int:
+        """Tokens of one piece. A long one is cut in chunks; a chunk's map from entry state to exit state and tokens is kept
+        for the states met, and the maps are composed along the piece."""
+        if len(self.states) > MAX_STATES or len(self.maps) > MAX_MAPS:
+            self._reset()
+        data = text.encode()
+        if len(data) <= 2 * PIECE_CHUNK:
+            return self._walk(0, data)[1]
+        state = total = 0
+        for i in range(0, len(data), PIECE_CHUNK):
+            chunk = data[i : i + PIECE_CHUNK]
+            known = self.maps.setdefault(chunk, {})
+            if state not in known:
+                known[state] = self._walk(state, chunk)
+            state, emitted = known[state]
+            total += emitted
         return total
 
     def count(self, texts: list[str | None]) -> list[int]:
@@ -285,6 +309,19 @@ class BpeCounter:
         return (np.diff(sums[at]) + np.array(extra)).tolist()
 
 
+def _check(spec: dict) -> None:
+    """Raise for a file whose steps are others than byte-level pre-tokenizing with the usual pattern, and plain BPE."""
+    model, before = spec["model"], spec.get("pre_tokenizer") or {}
+    wrong = {
+        "model": model.get("type", "BPE") != "BPE" or any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")),
+        "normalizer": spec.get("normalizer") is not None,
+        "pre_tokenizer": before.get("type") != "ByteLevel" or before.get("add_prefix_space", False) or not before.get("use_regex", True),
+        "added_tokens": any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") for t in spec.get("added_tokens", [])),
+    }
+    if any(wrong.values()):
+        raise ValueError(f"not compiled here: {', '.join(k for k, v in wrong.items() if v)}")
+
+
 def byte_letters() -> dict[str, int]:
     """Byte-level vocabularies write each byte as one letter: printable Latin-1 as it is, the others from U+0100 on."""
     shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
