@@ -409,31 +409,41 @@ def test_scores_of_a_model(spark, docs, texts, odd, none):
         assert math.isclose(got[i].base_score, base, rel_tol=1e-9) and got[i].score < 0
     assert np.mean([r.bits_per_byte for r in got.values()]) < 4
     rows = lm.score(odd, model, counts).collect()
+    assert lm.score(odd, model, counts).columns == ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"]
     assert len(rows) == len(ODD) and all(math.isfinite(r.score) for r in rows)
     blank, blank_counts = lm.train(none)
     assert all(r.train_tokens == 0 and r.base_score == 0 for r in lm.score(odd, blank, blank_counts).collect())
     assert lm.score(none, model, counts).count() == 0
 
 
-def test_rare_words_meet_their_counts_in_the_join(spark, docs, monkeypatch):
-    model, counts = lm.train(docs)
-    whole = {r.doc_id: (r.n_known, round(r.base_score, 6)) for r in lm.score(docs, model, counts).collect()}
-    assert len(model.own.frequent) > 1000
+def test_rare_words_meet_their_counts_in_the_join(spark, docs, texts, monkeypatch):
+    model, rare = lm.train(docs)
+    rows = lm.score(docs, model, rare).collect()
+    whole = {r.doc_id: (r.n_known, round(r.base_score, 6)) for r in rows}
+    assert len(model.own.frequent) > 1000 and not rare.count()
     monkeypatch.setattr(lm, "FREQUENT", 50)
-    few = lm.Vocabulary({r.word.encode(): r.n for r in lm.frequent_words(counts, 50).collect()}, model.own.ends, model.own.tokens, model.own.types)
-    assert 0 < len(few.frequent) <= 50 and min(few.frequent.values()) >= max([0, *(n for w, n in model.own.frequent.items() if w not in few.frequent)]) / 2
-    zeros = np.zeros(lm.Tables(14).slots, np.uint8)
-    small = lm.Model(few, zeros.view(np.int8), zeros, 14, lm.first_weights(zeros.view(np.int8), zeros, 14, few, []))
-    rows = lm.score(docs, small, counts).collect()
-    assert {r.doc_id: (r.n_known, round(r.base_score, 6)) for r in rows} == whole and all(math.isfinite(r.score) and r.score < 0 for r in rows)
+    few, rare = lm.train(docs)
+    assert 0 < len(few.own.frequent) <= 50 and max(r.n for r in rare.collect()) <= min(few.own.frequent.values())
+    got = lm.score(docs, few, rare).collect()
+    assert {r.doc_id: (r.n_known, round(r.base_score, 6)) for r in got} == whole
+    counts = {r.word.encode(): (r.n, r.spelled) for r in rare.collect()}
+    for r in got[:40]:
+        stream = lm.Stream([blank_words(texts[r.doc_id])], few.own)
+        total = float(few.coded(stream).sum())
+        for i in stream.rare:
+            n, spelled = counts.get(stream.tokens[i], (0, None))
+            spelled = few.spelling.scores([stream.tokens[i]], np.zeros(1, bool))[0] if spelled is None else spelled
+            total += math.log10((1 - lm.UNIGRAM) * 10**spelled + lm.UNIGRAM * n / few.own.rare)
+        assert math.isclose(r.score, total, rel_tol=1e-5)
 
 
 def toy_model(rng) -> lm.Model:
     frequent = {f"w{i}".encode(): int(n) for i, n in enumerate(rng.integers(1, 500, 40))}
     own = lm.Vocabulary(frequent, 30, sum(frequent.values()) + 30 + 100, 60)
     slots = lm.Tables(14).slots
-    levels = rng.integers(0, 16, slots).astype(np.uint8)
-    return lm.Model(own, rng.integers(-90, 90, slots).astype(np.int8), levels, 14, rng.random((lm.GATES, lm.PLACES, lm.K + 1)))
+    held, levels = rng.integers(-90, 90, slots).astype(np.int8), rng.integers(0, 16, slots).astype(np.uint8)
+    weights = rng.random((lm.GATES, lm.PLACES, lm.K + 1))
+    return lm.Model(own, lm.Spelling(own, held, levels, 14, weights), held, levels, 14, weights)
 
 
 def test_a_distribution_adds_up():
@@ -442,30 +452,27 @@ def test_a_distribution_adds_up():
     first = [[w] for w in model.own.frequent] + [[], [b"unknown"]]
     stream = lm.Stream(first, model.own)
     assert math.isclose(sum(10 ** model.coded(stream)[stream.starts]), 1, rel_tol=1e-4)
-
-
-def plain_scores(model: lm.Model, words: list[bytes]) -> list[float]:
-    """log10 of each symbol's probability, one choice at a time."""
-    stream, where = lm.Stream([words], model.own), lm.Tables(model.bits)
-    weights = model.weights.reshape(lm.GATES, lm.PLACES, lm.K + 1).astype(float)
-    out = []
-    for b in range(0, len(stream.symbols), lm.BLOCK):
-        change = np.zeros_like(weights)
-        for i in range(b, min(b + lm.BLOCK, len(stream.symbols))):
-            symbol, total, gate = int(stream.symbols[i]), 0.0, None
-            first = int(model.own.code.first[symbol])
-            for j in range(first, first + int(model.own.code.lengths[symbol])):
-                slots = [((int(stream.bases[k][i]) + int(model.own.code.nodes[j])) % (1 << 32) >> int(where.shifts[k])) + int(where.firsts[k]) for k in range(lm.K)]
-                x = np.array([*(float(model.held[s]) for s in slots), 1.0])
-                if gate is None:
-                    gate = int(lm.GATE[16 * int(model.levels[slots[1] - model.first]) + int(model.levels[slots[2] - model.first])])
-                place, bit = int(model.own.code.places[j]), int(model.own.code.bits[j])
-                p = 1 / (1 + math.exp(-min(12.0, max(-12.0, float(weights[gate, place] @ x)))))
-                total += math.log10(p if bit else 1 - p)
-                change[gate, place] += np.array([lm.RATE / lm.STEP**2] * lm.K + [lm.BIAS_RATE]) * (bit - p) * x
-            out.append(total)
-        weights += change
-    return out
+    letters = [bytes([b]) for b in range(256)]
+    whole = model.spelling.scores(letters, np.zeros(256, bool))
+    blank = [model.spelling.scores([x + b" "], np.zeros(1, bool))[0] - w for x, w in zip(letters, whole, strict=True)]
+    assert all(x < 0 for x in blank) and sum(10**whole) < 1
+
+
+def plain_choices(model: lm.Model | lm.Spelling, stream, i: int, weights: np.ndarray, first_level: int) -> tuple[float, np.ndarray]:
+    """log10 of one symbol's probability, one choice at a time, and the change that it asks of the weights."""
+    where, code = lm.Tables(model.bits), stream.code
+    symbol, total, gate, change = int(stream.symbols[i]), 0.0, None, np.zeros_like(weights)
+    first = int(code.first[symbol])
+    for j in range(first, first + int(code.lengths[symbol])):
+        slots = [((int(stream.bases[k][i]) + int(code.nodes[j])) % (1 << 32) >> int(where.shifts[k])) + int(where.firsts[k]) for k in range(lm.K)]
+        x = np.array([*(float(model.held[s]) for s in slots), 1.0])
+        if gate is None:
+            gate = int(lm.GATE[16 * int(model.levels[slots[1] - first_level]) + int(model.levels[slots[2] - first_level])])
+        place, bit = int(code.places[j]), int(code.bits[j])
+        p = 1 / (1 + math.exp(-min(12.0, max(-12.0, float(weights[gate, place] @ x)))))
+        total += math.log10(p if bit else 1 - p)
+        change[gate, place] += np.array([lm.RATE / lm.STEP**2] * lm.K + [lm.BIAS_RATE]) * (bit - p) * x
+    return total, change
 
 
 def test_scores_are_those_of_one_choice_at_a_time_and_of_each_text_alone():
@@ -475,10 +482,30 @@ def test_scores_are_those_of_one_choice_at_a_time_and_of_each_text_alone():
     texts = [[words[i] for i in rng.integers(0, len(words), n)] for n in (0, 1, 30, 33, 200)]
     stream = lm.Stream(texts, model.own)
     together = model.coded(stream)
-    for i, words in enumerate(texts):
-        own = together[stream.starts[i] : stream.starts[i] + stream.sizes[i]]
-        assert np.allclose(own, plain_scores(model, words), rtol=1e-3, atol=1e-4)
-        assert np.allclose(own, model.coded(lm.Stream([words], model.own)), rtol=1e-5)
+    for k, own_words in enumerate(texts):
+        own = together[stream.starts[k] : stream.starts[k] + stream.sizes[k]]
+        alone = lm.Stream([own_words], model.own)
+        weights, want = model.weights.reshape(lm.GATES, lm.PLACES, lm.K + 1).astype(float), []
+        for b in range(0, len(own), lm.BLOCK):
+            told = [plain_choices(model, alone, i, weights, model.first) for i in range(b, min(b + lm.BLOCK, len(own)))]
+            want += [t for t, _ in told]
+            weights = weights + sum(c for _, c in told)
+        assert np.allclose(own, want, rtol=1e-3, atol=1e-4)
+        assert np.allclose(own, model.coded(alone), rtol=1e-5)
+    spelling, some = model.spelling, [b"a", b"rare", "s\u00e9ldom".encode(), b"x" * 300]
+    weights, spelled = spelling.weights.reshape(lm.GATES, lm.PLACES, lm.K + 1).astype(float), lm.Spelled(some, model.own)
+    want = [sum(plain_choices(spelling, spelled, i, weights, 0)[0] for i in range(a, a + n)) for a, n in zip(spelled.starts, spelled.sizes, strict=True)]
+    assert np.allclose(spelling.scores(some, np.zeros(4, bool)), want, rtol=1e-3)
+
+
+def tables_of(own: lm.Vocabulary, bits: int, streams: list) -> tuple[np.ndarray, np.ndarray]:
+    where = lm.Tables(bits)
+    counts = np.zeros(2 * where.slots, np.uint32)
+    for stream in streams:
+        lm.count_into(counts, where, stream)
+    pairs = counts.reshape(-1, 2)
+    assert counts.sum() > 0
+    return lm.logits(pairs[:, 0], pairs[:, 1]), lm.levels_of(pairs.sum(axis=1))
 
 
 def test_tables_count_what_the_texts_hold(spark):
@@ -486,19 +513,32 @@ def test_tables_count_what_the_texts_hold(spark):
     texts = [" ".join(f"w{i}" for i in rng.integers(0, 60, n)) for n in (0, 5, 300, 40)] + [None]
     own = toy_model(rng).own
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
-    held, levels, bits = lm.tables(df, spark.sparkContext.broadcast(own), 1 << 12)
-    where = lm.Tables(bits)
-    counts = np.zeros(2 * where.slots, np.uint32)
-    lm.count_into(counts, where, own, [blank_words(t) for t in texts])
-    pairs = counts.reshape(-1, 2)
-    assert counts.sum() > 0 and (levels[: where.slots] == lm.levels_of(pairs.sum(axis=1))).all() and (held[: where.slots] == lm.logits(pairs[:, 0], pairs[:, 1])).all()
+    shared = spark.sparkContext.broadcast(own)
+    held, levels, bits = lm.tables(df, shared, 1 << 12)
+    want = tables_of(own, bits, [lm.Stream([blank_words(t) for t in texts], own)])
+    slots = lm.Tables(bits).slots
+    assert (held[:slots] == want[0]).all() and (levels[:slots] == want[1]).all()
+    words = spark.createDataFrame([(f"word{i}",) for i in range(50)], "word string").repartition(3)
+    held, levels, bits = lm.tables(words, shared, 400, "word", True)
+    want = tables_of(own, bits, [lm.Spelled([f"word{i}".encode() for i in range(50)], own)])
+    assert (held[:slots] == want[0]).all() and (levels[:slots] == want[1]).all()
     assert lm.table_bits(1) == lm.LEAST_BITS < lm.table_bits(1 << 22) < lm.table_bits(1 << 40) == lm.MOST_BITS
 
 
+def test_a_counted_word_is_spelled_as_if_it_had_not_been():
+    own = toy_model(np.random.default_rng(9)).own
+    words = ["alpha", "alphabet", "beta", "gamma", "omega"]
+    weights = np.full((lm.GATES, lm.PLACES, lm.K + 1), 0.3)
+    whole = lm.Spelling(own, *tables_of(own, 14, [lm.Spelled([w.encode() for w in words], own)]), 14, weights)
+    for w in words:
+        others = lm.Spelling(own, *tables_of(own, 14, [lm.Spelled([x.encode() for x in words if x != w], own)]), 14, weights)
+        assert math.isclose(whole.scores([w.encode()], np.ones(1, bool))[0], others.scores([w.encode()], np.zeros(1, bool))[0], rel_tol=0.02)
+
+
 @pytest.mark.parametrize("weights", [[1], [5, 1], [1, 1, 1, 1, 1], list(range(1, 40)), [10**9, 1, 1, 2]])
 def test_codes_are_prefix_free_and_complete(weights):
     lengths = lm.code_lengths(weights)
-    code = lm.Code([lengths, lm.code_lengths([1] * 256)])
-    words = ["".join(map(str, code.bits[f : f + n])) for f, n in zip(code.first[: len(weights)], lengths, strict=True)]
+    code = lm.Code(lengths)
+    words = ["".join(map(str, code.bits[f : f + n])) for f, n in zip(code.first, lengths, strict=True)]
     assert len(weights) == 1 or math.isclose(sum(0.5 ** len(w) for w in words), 1)
     assert not any(a != b and b.startswith(a) for a in words for b in words) and len(set(words)) == len(words)
