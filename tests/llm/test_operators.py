@@ -440,7 +440,7 @@ def test_rare_words_meet_their_counts_in_the_join(spark, docs, texts, monkeypatc
 def toy_model(rng) -> lm.Model:
     frequent = {f"w{i}".encode(): int(n) for i, n in enumerate(rng.integers(1, 500, 40))}
     own = lm.Vocabulary(frequent, 30, sum(frequent.values()) + 30 + 100, 60)
-    slots = lm.Tables(14).slots
+    slots = lm.Tables(14, lm.SPELLING_TABLES).slots
     held, levels = rng.integers(-90, 90, slots).astype(np.int8), rng.integers(0, 16, slots).astype(np.uint8)
     weights = rng.random((lm.GATES, lm.PLACES, lm.K + 1))
     return lm.Model(own, lm.Spelling(own, held, levels, 14, weights), held, levels, 14, weights)
@@ -458,16 +458,16 @@ def test_a_distribution_adds_up():
     assert all(x < 0 for x in blank) and sum(10**whole) < 1
 
 
-def plain_choices(model: lm.Model | lm.Spelling, stream, i: int, weights: np.ndarray, first_level: int) -> tuple[float, np.ndarray]:
+def plain_choices(model: lm.Model | lm.Spelling, stream, i: int, weights: np.ndarray) -> tuple[float, np.ndarray]:
     """log10 of one symbol's probability, one choice at a time, and the change that it asks of the weights."""
-    where, code = lm.Tables(model.bits), stream.code
+    where, code = lm.Tables(model.bits, stream.narrower), stream.code
     symbol, total, gate, change = int(stream.symbols[i]), 0.0, None, np.zeros_like(weights)
     first = int(code.first[symbol])
     for j in range(first, first + int(code.lengths[symbol])):
-        slots = [((int(stream.bases[k][i]) + int(code.nodes[j])) % (1 << 32) >> int(where.shifts[k])) + int(where.firsts[k]) for k in range(lm.K)]
-        x = np.array([*(float(model.held[s]) for s in slots), 1.0])
+        slots = [((int(stream.bases[k][i]) + int(code.nodes[j])) % (1 << 32) >> int(where.shifts[k])) + int(where.firsts[k]) for k in range(len(stream.bases))]
+        x = np.array([*([float(code.plain[j])] if stream.plain else []), *(float(model.held[s]) for s in slots), 1.0])
         if gate is None:
-            gate = int(lm.GATE[16 * int(model.levels[slots[1] - first_level]) + int(model.levels[slots[2] - first_level])])
+            gate = int(lm.GATE[16 * int(model.levels[slots[-2]]) + int(model.levels[slots[-1]])])
         place, bit = int(code.places[j]), int(code.bits[j])
         p = 1 / (1 + math.exp(-min(12.0, max(-12.0, float(weights[gate, place] @ x)))))
         total += math.log10(p if bit else 1 - p)
@@ -487,19 +487,19 @@ def test_scores_are_those_of_one_choice_at_a_time_and_of_each_text_alone():
         alone = lm.Stream([own_words], model.own)
         weights, want = model.weights.reshape(lm.GATES, lm.PLACES, lm.K + 1).astype(float), []
         for b in range(0, len(own), lm.BLOCK):
-            told = [plain_choices(model, alone, i, weights, model.first) for i in range(b, min(b + lm.BLOCK, len(own)))]
+            told = [plain_choices(model, alone, i, weights) for i in range(b, min(b + lm.BLOCK, len(own)))]
             want += [t for t, _ in told]
             weights = weights + sum(c for _, c in told)
         assert np.allclose(own, want, rtol=1e-3, atol=1e-4)
         assert np.allclose(own, model.coded(alone), rtol=1e-5)
     spelling, some = model.spelling, [b"a", b"rare", "s\u00e9ldom".encode(), b"x" * 300]
     weights, spelled = spelling.weights.reshape(lm.GATES, lm.PLACES, lm.K + 1).astype(float), lm.Spelled(some, model.own)
-    want = [sum(plain_choices(spelling, spelled, i, weights, 0)[0] for i in range(a, a + n)) for a, n in zip(spelled.starts, spelled.sizes, strict=True)]
+    want = [sum(plain_choices(spelling, spelled, i, weights)[0] for i in range(a, a + n)) for a, n in zip(spelled.starts, spelled.sizes, strict=True)]
     assert np.allclose(spelling.scores(some, np.zeros(4, bool)), want, rtol=1e-3)
 
 
 def tables_of(own: lm.Vocabulary, bits: int, streams: list) -> tuple[np.ndarray, np.ndarray]:
-    where = lm.Tables(bits)
+    where = lm.Tables(bits, streams[0].narrower)
     counts = np.zeros(2 * where.slots, np.uint32)
     for stream in streams:
         lm.count_into(counts, where, stream)
@@ -516,11 +516,12 @@ def test_tables_count_what_the_texts_hold(spark):
     shared = spark.sparkContext.broadcast(own)
     held, levels, bits = lm.tables(df, shared, 1 << 12)
     want = tables_of(own, bits, [lm.Stream([blank_words(t) for t in texts], own)])
-    slots = lm.Tables(bits).slots
+    slots = lm.Tables(bits, lm.WORD_TABLES).slots
     assert (held[:slots] == want[0]).all() and (levels[:slots] == want[1]).all()
     words = spark.createDataFrame([(f"word{i}",) for i in range(50)], "word string").repartition(3)
     held, levels, bits = lm.tables(words, shared, 400, "word", True)
     want = tables_of(own, bits, [lm.Spelled([f"word{i}".encode() for i in range(50)], own)])
+    slots = lm.Tables(bits, lm.SPELLING_TABLES).slots
     assert (held[:slots] == want[0]).all() and (levels[:slots] == want[1]).all()
     assert lm.table_bits(1) == lm.LEAST_BITS < lm.table_bits(1 << 22) < lm.table_bits(1 << 40) == lm.MOST_BITS
 
@@ -538,7 +539,9 @@ def test_a_counted_word_is_spelled_as_if_it_had_not_been():
 @pytest.mark.parametrize("weights", [[1], [5, 1], [1, 1, 1, 1, 1], list(range(1, 40)), [10**9, 1, 1, 2]])
 def test_codes_are_prefix_free_and_complete(weights):
     lengths = lm.code_lengths(weights)
-    code = lm.Code(lengths)
+    code = lm.Code(lengths, np.array(weights))
+    ones = [sum(w for w, f, n in zip(weights, code.first, lengths, strict=True) if code.bits[f] == b) for b in (0, 1)]
+    assert code.plain[0] == lm.logits(np.float64(ones[0]), np.float64(ones[1]))
     words = ["".join(map(str, code.bits[f : f + n])) for f, n in zip(code.first, lengths, strict=True)]
     assert len(weights) == 1 or math.isclose(sum(0.5 ** len(w) for w in words), 1)
     assert not any(a != b and b.startswith(a) for a in words for b in words) and len(set(words)) == len(words)
