@@ -109,7 +109,7 @@ def classify_barcode(value: Column) -> Column:
 
 def similarity(left: Column, right: Column) -> Column:
     size = F.greatest(F.abs(left), F.abs(right), F.lit("0.000001").cast("decimal(7,6)"))
-    return F.greatest(F.lit(0.0), 1 - (F.abs(left - right) / size).cast("double"))
+    return F.when(left.isNotNull() & right.isNotNull(), F.greatest(F.lit(0.0), 1 - (F.abs(left - right) / size).cast("double")))
 
 
 def ocr_variants(value: Column) -> Column:
@@ -158,8 +158,12 @@ def value_tolerance(currency: Column) -> Column:
 
 
 def amount_forms(value: Column) -> Column:
-    """How an amount may be printed: with two, three and no decimals, and with thousands commas."""
-    return F.array(F.format_string("%.2f", value), F.format_string("%.3f", value), F.round(value, 0).cast("bigint").cast("string"), F.format_number(value.cast("double"), 2))
+    """How a decimal may be printed: as it is and with two decimals, both with thousands commas or without; no bare zero."""
+    own = value.cast("string")
+    whole = F.regexp_replace(own, r"(?<=\d)(?=(?:\d{3})+(?:\.|$))(?<!\.\d{1,9})", ",")
+    two = F.format_number(value, 2)
+    found = F.array_distinct(F.filter(F.array(own, whole, F.replace(two, F.lit(","), F.lit("")), two), lambda f: ~f.isin("0", "0.00")))
+    return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("0.00")))
 
 
 def dropped_point(quantity: Column, price: Column, amounts: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -10,7 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 #: Words that name a company's type, not the company.
-COMPANY_TYPES = ["llc", "ltd", "limited", "inc", "co", "company", "corp", "corporation", "gmbh", "plc", "wll", "fze", "fzco", "sa", "srl"]
+COMPANY_TYPES = [
+    "co", "company", "llc", "l", "c", "wll", "w", "ltd", "limited", "inc", "plc", "spc", "corp", "corporation", "fzco", "fze", "fzllc", "fz", "est",
+    "establishment", "gmbh", "sa", "bv",
+]
 
 #: Spellings of units behind a number, in the order in which they are replaced.
 UNITS = [
@@ -50,16 +54,32 @@ def fold_unicode(values: pd.Series) -> pd.Series:
     return values.map(one, na_action="ignore")
 
 
-#: Letters with marks of the Latin languages, and what they fold to; for the native form.
-MARKED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
+@lru_cache(maxsize=1)
+def _folding() -> tuple[str, str]:
+    """By a rule over the letters and marks of Unicode up to U+FFFF: those that fold to one character, and to which; behind
+    them those that fold to none. Hangul, whose syllables come apart, is left out."""
+    single, removed = {}, []
+    for code in [*range(0x80, 0xAC00), *range(0xD7A4, 0xD800), *range(0xF900, 0x10000)]:
+        c = chr(code)
+        lower = c.lower()
+        if len(lower) != 1:
+            continue
+        folded = "".join(x for x in unicodedata.normalize("NFKD", c.casefold()) if not unicodedata.combining(x))
+        if unicodedata.category(c)[0] not in "LMN" or folded == lower:
+            continue
+        if len(folded) == 1:
+            single[lower] = folded
+        elif not folded:
+            removed.append(c)
+    return "".join(single) + "".join(removed), "".join(single.values())
 
 
 def fold(value: Column, exact: bool = False) -> Column:
-    """Case and accents folded. The native form knows Latin letters; the exact one is a pandas function."""
+    """Case and accents folded. The native form knows every letter that folds to one character, and ß; the exact one, a
+    pandas function, also ligatures, fractions and Hangul."""
     if exact:
         return fold_unicode(value)
-    return F.replace(F.translate(F.lower(value), MARKED, PLAIN), F.lit("ß"), F.lit("ss"))
+    return F.translate(F.replace(F.lower(value), F.lit("ß"), F.lit("ss")), *_folding())
 
 
 def normalize_name(value: Column, exact: bool = False) -> Column:
@@ -109,7 +129,8 @@ def text_key(value: Column) -> Column:
 
 
 def tokens(value: Column) -> Column:
-    return F.regexp_extract_all(F.lower(value), F.lit(r"([\p{L}\p{N}]+)"), 1)
+    """Words of ASCII letters and digits in the folded text."""
+    return F.regexp_extract_all(fold(value), F.lit("([a-z0-9]+)"), 1)
 
 
 def entity_tokens(value: Column) -> Column:
@@ -117,11 +138,12 @@ def entity_tokens(value: Column) -> Column:
 
 
 def has_words(own: Column, words: Column) -> Column:
-    """True if the words stand in the tokens one after the other."""
-    n = F.size(words)
-    last = F.size(own) - n + 1
-    places = F.when((n > 0) & (last > 0), F.sequence(F.lit(1), F.greatest(last, F.lit(1)))).otherwise(F.array().cast("array<int>"))
-    return F.exists(places, lambda i: F.slice(own, i, n) == words)
+    """True if the words, at least one, stand in the tokens one after the other; neither holds blanks."""
+
+    def told(tokens: Column) -> Column:
+        return F.concat(F.lit(" "), F.array_join(tokens, " "), F.lit(" "))
+
+    return (F.size(words) > 0) & F.contains(told(own), told(words))
 
 
 def supplier_key(name: Column) -> Column:

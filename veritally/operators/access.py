@@ -27,12 +27,15 @@ def by_supplier_name(probes: DataFrame, rows: DataFrame, name: str) -> DataFrame
 
 
 def by_description(probes: DataFrame, rows: DataFrame, description: str, order: list[str], most: int = DESCRIPTION_ROWS) -> DataFrame:
-    """(probe, rows…) of rows that share a word of 3 to 100 characters with the probe's first 30, at most ``most`` each."""
+    """(probe, rows…) of rows that share a word of 3 to 100 characters with the probe's first 30, at most ``most`` each.
+
+    Only the probe is cut: a row is found by any of its words.
+    """
 
     def words(value: Column) -> Column:
-        return F.slice(F.filter(F.array_distinct(F.split(normalize_description(value), " ")), lambda w: F.length(w).between(3, 100)), 1, 30)
+        return F.filter(F.array_distinct(F.split(normalize_description(value), " ")), lambda w: F.length(w).between(3, 100))
 
-    asked = probes.select("probe", F.explode(words(F.col("value"))).alias("_word"))
+    asked = probes.select("probe", F.explode(F.slice(words(F.col("value")), 1, 30)).alias("_word"))
     held = rows.withColumn("_word", F.explode(words(F.col(description))))
     joined = asked.join(held, "_word").drop("_word").dropDuplicates(["probe", *order])
     own = Window.partitionBy("probe").orderBy(*order)
@@ -54,24 +57,47 @@ def feedback_ids(rows: DataFrame, existing: int, order: list[str]) -> DataFrame:
 
 
 def readiness(issues: DataFrame, headers: DataFrame, ledger: DataFrame) -> DataFrame:
-    """(doc, hard, review, warning, duplicate, ready): a review-level issue is cleared by a confirmation, a hard one never."""
+    """(doc, hard, review, warning, duplicate, ready): nothing is ready before a reviewer confirmed it; that clears review-level
+    issues, hard ones and a duplicate never."""
     counts = issues.groupBy("doc").agg(*[F.count_if(F.col("level") == level).alias(level) for level in ("hard", "review", "warning")])
     seen = ledger.select("invoice_key", F.lit(True).alias("duplicate")).distinct()
     joined = headers.join(counts, "doc", "left").join(seen, "invoice_key", "left")
     filled = joined.select("doc", "confirmed", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("hard", "review", "warning")], F.coalesce("duplicate", F.lit(False)).alias("duplicate"))
-    return filled.select("doc", "hard", "review", "warning", "duplicate", ((F.col("hard") == 0) & ~F.col("duplicate") & (F.col("confirmed") | (F.col("review") == 0))).alias("ready"))
-
-
-def accepted_alternate(baseline: DataFrame, alternate: DataFrame) -> DataFrame:
-    """(doc, accepted): a second reading is taken only if it loses nothing: lines, filled fields, reconciliation,
-    header and codes are each at least as good."""
-    measures = ("lines", "filled", "reconciles", "header", "codes")
-    other = alternate.select("doc", *[F.col(m).alias(f"_{m}") for m in measures])
-    test = None
-    for m in measures:
-        better = F.col(f"_{m}").cast("int") >= F.col(m).cast("int")
-        test = better if test is None else test & better
-    return baseline.join(other, "doc").select("doc", test.alias("accepted"))
+    return filled.select("doc", "hard", "review", "warning", "duplicate", ((F.col("hard") == 0) & ~F.col("duplicate") & F.col("confirmed")).alias("ready"))
+
+
+def accepted_alternate(heads: DataFrame, lines: DataFrame) -> DataFrame:
+    """(doc, accepted, failed): whether a second reading is taken, and the criteria that it fails.
+
+    ``heads`` has (doc, reading: 1 or 2, number, date, currency, po, net, tax); ``lines`` (doc, reading, line, qty, price,
+    net_amount). It must have at least as many rows, the same totals, the header values that the first one read, strictly
+    fewer missing quantities and prices, and reconcile no worse: as many lines that do, no more that don't, and each of
+    the first one's that did.
+    """
+    first, second = (heads.where(F.col("reading") == r).drop("reading") for r in (1, 2))
+    other = second.select("doc", *[F.col(c).alias(f"_{c}") for c in ("number", "date", "currency", "po", "net", "tax")])
+    both = first.join(other, "doc")
+
+    def squeezed(c: str, pattern: str) -> Column:
+        return F.lower(F.regexp_replace(F.coalesce(F.col(c).cast("string"), F.lit("")), pattern, ""))
+
+    kept = F.lit(True)
+    for c, pattern in (("number", r"[^\p{L}\p{N}]"), ("po", r"[^\p{L}\p{N}]"), ("date", r"\s+"), ("currency", r"\s+")):
+        kept = kept & ((F.coalesce(F.col(c).cast("string"), F.lit("")) == "") | (squeezed(c, pattern) == squeezed(f"_{c}", pattern)))
+    equal = F.col("net").eqNullSafe(F.col("_net")) & F.col("tax").eqNullSafe(F.col("_tax"))
+    reconciles = F.col("qty") * F.col("price") == F.col("net_amount")
+    told = lines.select("doc", "reading", "line", reconciles.alias("ok"), (F.col("qty").isNull().cast("int") + F.col("price").isNull().cast("int")).alias("gaps"))
+
+    def of(reading: int, name: str) -> DataFrame:
+        own = told.where(F.col("reading") == reading)
+        return own.groupBy("doc").agg(F.count("*").alias(f"{name}_rows"), F.sum("gaps").alias(f"{name}_gaps"), F.count_if("ok").alias(f"{name}_right"), F.count_if(~F.col("ok")).alias(f"{name}_wrong"))
+
+    lost = told.where("reading = 1 and ok").select("doc", "line").join(told.where("reading = 2 and ok").select("doc", "line"), ["doc", "line"], "left_anti").select("doc").distinct().withColumn("lost", F.lit(True))
+    joined = both.join(of(1, "a"), "doc", "left").join(of(2, "b"), "doc", "left").join(lost, "doc", "left").na.fill(0)
+    worse = (F.col("b_right") < F.col("a_right")) | (F.col("b_wrong") > F.col("a_wrong")) | F.col("lost").isNotNull()
+    tests = [(F.col("b_rows") < F.col("a_rows"), "rows"), (~kept, "headers"), (~equal, "totals"), (F.col("b_gaps") >= F.col("a_gaps"), "gaps"), (worse, "reconciliation")]
+    failed = F.array_compact(F.array(*[F.when(t, F.lit(n)) for t, n in tests]))
+    return joined.select("doc", (F.size(failed) == 0).alias("accepted"), failed.alias("failed"))
 
 
 def same_band(boxes: DataFrame, share: float = 0.7) -> DataFrame:

@@ -54,6 +54,13 @@ def duplicates(keys: DataFrame, ledger: DataFrame) -> DataFrame:
     return keys.join(ledger.select("invoice_key").distinct(), "invoice_key", "left_semi")
 
 
+def repeated(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """Keys of rows whose value a row with a smaller key has; values meet as digests, and only the least key of each goes through a join."""
+    own = rows.select(key, F.sha2(F.coalesce(value, F.lit("")), 256).alias("_digest"), F.col(value).isNull().alias("_none"))
+    first = own.groupBy("_digest", "_none").agg(F.min(key).alias("_first"), F.count("*").alias("_n")).where("_n > 1")
+    return own.join(first, ["_digest", "_none"]).where(F.col(key) > F.col("_first")).select(key)
+
+
 def latest(rows: DataFrame, key: str, revision: str) -> DataFrame:
     """The row with the highest revision of each key."""
     columns = [c for c in rows.columns if c != key]

@@ -35,16 +35,40 @@ def best_read(reads: DataFrame) -> DataFrame:
     return reads.groupBy("doc").agg(F.max_by(F.struct(*columns), F.struct("completeness", -F.col("position"))).alias("r")).select("doc", "r.*")
 
 
-def merge_reads(mine: DataFrame, theirs: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
-    """Lines of two reads side by side where a document has as many in both: mine first, gaps filled, differences flagged."""
-    n = [k for k in keys if k != "doc"]
+#: Line fields by which two reads are compared as amounts.
+AMOUNTS = ("qty", "price", "net_amount", "tax_amount")
+
+
+def same_value(field: str, mine: Column, theirs: Column) -> Column:
+    """Whether two readers agree: amounts by value, text by digits and letters."""
+    if field in AMOUNTS:
+        return mine == theirs
+    folded = [F.regexp_replace(F.lower(c.cast("string")), "[^0-9a-z]", "") for c in (mine, theirs)]
+    return folded[0] == folded[1]
+
+
+def merge_reads(mine: DataFrame, theirs: DataFrame, fields: list[str]) -> DataFrame:
+    """Lines (doc, line, fields) of the first read, gaps filled from the second one, ``aligned`` and the fields that differ.
+
+    Pairs are those of equal number where a document has as many lines in both reads. A gap is filled only if the pair
+    aligns: an equal code or text, or equal quantity and price. A value is never replaced; a differing one is named,
+    descriptions apart.
+    """
     counts = [df.groupBy("doc").agg(F.count("*").alias(name)) for df, name in ((mine, "a"), (theirs, "b"))]
-    equal = counts[0].join(counts[1], "doc").where("a = b").select("doc", F.lit(True).alias("aligned"))
-    other = theirs.select("doc", *n, *[F.col(f).alias(f"_{f}") for f in fields])
-    joined = mine.join(equal, "doc", "left").join(other, keys, "left")
-    aligned = F.coalesce("aligned", F.lit(False))
-    differs = F.array_compact(F.array(*[F.when(aligned & F.col(f).isNotNull() & F.col(f"_{f}").isNotNull() & (F.col(f) != F.col(f"_{f}")), F.lit(f)) for f in fields]))
-    return joined.select(*keys, *[F.when(aligned, F.coalesce(f, f"_{f}")).otherwise(F.col(f)).alias(f) for f in fields], differs.alias("differing"))
+    equal = counts[0].join(counts[1], "doc").where("a = b").select("doc", F.lit(True).alias("paired"))
+    other = theirs.join(equal, "doc").select("doc", "line", "paired", *[F.col(f).alias(f"_{f}") for f in fields])
+    joined = mine.join(other, ["doc", "line"], "left")
+
+    def agrees(f: str) -> Column:
+        return F.coalesce(same_value(f, F.col(f), F.col(f"_{f}")), F.lit(False))
+
+    aligned = F.lit(False)
+    for f in ("sku", "gtin", "description"):
+        aligned = aligned | agrees(f) if f in fields else aligned
+    aligned = F.coalesce("paired", F.lit(False)) & (aligned | agrees("qty") & agrees("price"))
+    differs = F.array_compact(F.array(*[F.when(F.col(f).isNotNull() & F.col(f"_{f}").isNotNull() & ~agrees(f), F.lit(f)) for f in fields if f != "description"]))
+    marked = joined.withColumn("aligned", aligned).withColumn("differing", differs)
+    return marked.select("doc", "line", *[F.when(F.col("aligned"), F.coalesce(f, f"_{f}")).otherwise(F.col(f)).alias(f) for f in fields], "aligned", "differing")
 
 
 def corroborated(claims: DataFrame, occurrences: DataFrame) -> DataFrame:

@@ -6,9 +6,9 @@ from .registry import Query
 
 
 def _modules() -> list:
-    from . import lookups, reading, relational, scalars
+    from . import chain, facts, lookups, reading, relational, scalars
 
-    return [scalars, relational, reading, lookups]
+    return [scalars, relational, reading, lookups, chain, facts]
 
 
 def queries() -> dict[str, Query]:

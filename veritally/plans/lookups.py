@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import access as X
-from .registry import Registry, read
-from .relational import items, lines, po_rows
+from .registry import Registry, frame, plain, read
+from .relational import ORDER, items, lines, po_rows
 
 R = Registry()
 
@@ -81,7 +81,7 @@ def feedback_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @R.add("x19_readiness", """WITH i AS (SELECT l_orderkey AS doc, CASE l_linenumber % 3 WHEN 0 THEN 'hard' WHEN 1 THEN 'warning' ELSE 'review' END AS level FROM lineitem WHERE l_quantity > 40),
   c AS (SELECT doc, CAST(count_if(level = 'hard') AS BIGINT) AS hard, CAST(count_if(level = 'review') AS BIGINT) AS review, CAST(count_if(level = 'warning') AS BIGINT) AS warning FROM i GROUP BY doc)
   SELECT o_orderkey AS doc, coalesce(hard, 0) AS hard, coalesce(review, 0) AS review, coalesce(warning, 0) AS warning, o_custkey % 10 = 0 AS duplicate,
-    coalesce(hard, 0) = 0 AND o_custkey % 10 <> 0 AND (o_orderkey % 2 = 0 OR coalesce(review, 0) = 0) AS ready FROM orders LEFT JOIN c ON doc = o_orderkey""")
+    coalesce(hard, 0) = 0 AND o_custkey % 10 <> 0 AND o_orderkey % 2 = 0 AS ready FROM orders LEFT JOIN c ON doc = o_orderkey""")
 def readiness(spark: SparkSession, sf_dir: str) -> DataFrame:
     number = F.col("l_linenumber") % 3
     issues = read(spark, sf_dir, "lineitem").where("l_quantity > 40").select(F.col("l_orderkey").alias("doc"), F.when(number == 0, "hard").when(number == 1, "warning").otherwise("review").alias("level"))
@@ -89,15 +89,21 @@ def readiness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.readiness(issues, headers, headers.where("invoice_key % 10 = 0"))
 
 
-@R.add("x25_alternate_reads", "SELECT o_orderkey AS doc, (o_orderkey + 1) % 3 >= o_orderkey % 3 AND (o_orderkey + 2) % 5 >= o_orderkey % 5 AS accepted FROM orders")
-def alternate_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    order = F.col("o_orderkey")
+READ_HEADS = """SELECT o_orderkey AS doc, 1 AS reading, concat('INV-', cast(o_orderkey as string)) AS number, CASE WHEN o_orderkey % 4 <> 0 THEN '2031-01-02' END AS date, 'AED' AS currency, cast(NULL as string) AS po, cast(o_totalprice as decimal(18,2)) AS net, CASE WHEN o_orderkey % 3 = 0 THEN cast(1 as decimal(18,2)) END AS tax FROM {orders}
+  UNION ALL SELECT o_orderkey, 2, CASE WHEN o_orderkey % 5 <> 0 THEN concat('inv ', cast(o_orderkey as string)) ELSE 'other' END, '2031-01-02', ' aed', 'P1', cast(o_totalprice as decimal(18,2)), CASE WHEN o_orderkey % 3 = 0 OR o_orderkey % 7 = 0 THEN cast(1 as decimal(18,2)) END FROM {orders}"""
+READ_LINES = f"""SELECT doc, reading, line, CASE WHEN reading = 1 AND line = 1 THEN NULL WHEN reading = 2 AND p % 50 = 0 THEN NULL ELSE q END AS qty, price, CASE WHEN reading = 2 AND p % 60 = 1 THEN q * price + 1 WHEN p % 4 = 0 THEN NULL ELSE q * price END AS net_amount
+  FROM (SELECT l_orderkey AS doc, cast(row_number() OVER (PARTITION BY l_orderkey ORDER BY {ORDER}) as int) AS line, l_partkey AS p, cast(l_quantity as decimal(18,2)) AS q, cast(10 as decimal(18,2)) AS price FROM {{lineitem}}) t
+  JOIN (SELECT 1 AS reading UNION ALL SELECT 2) r ON reading = 1 OR line < 9"""
 
-    def reads(shift: int) -> list:
-        return [order.alias("doc"), ((order + shift) % 3).alias("lines"), ((order + 2 * shift) % 5).alias("filled"), F.lit(True).alias("reconciles"), F.lit(3).alias("header"), F.lit(1).alias("codes")]
 
-    orders = read(spark, sf_dir, "orders")
-    return X.accepted_alternate(orders.select(*reads(0)), orders.select(*reads(1)))
+@R.add("x25_alternate_reads", f"""WITH h AS ({plain(READ_HEADS)}), l AS (SELECT *, qty * price = net_amount AS ok, CASE WHEN qty IS NULL THEN 1 ELSE 0 END AS gap FROM ({plain(READ_LINES)})),
+  a AS (SELECT doc, count(*) AS n, sum(gap) AS gaps, count_if(ok) AS good, count_if(NOT ok) AS bad FROM l WHERE reading = 1 GROUP BY doc), b AS (SELECT doc, count(*) AS n, sum(gap) AS gaps, count_if(ok) AS good, count_if(NOT ok) AS bad FROM l WHERE reading = 2 GROUP BY doc),
+  lost AS (SELECT DISTINCT x.doc FROM l x LEFT JOIN l y ON y.doc = x.doc AND y.line = x.line AND y.reading = 2 WHERE x.reading = 1 AND x.ok AND NOT coalesce(y.ok, FALSE)),
+  t AS (SELECT h1.doc, coalesce(b.n, 0) < coalesce(a.n, 0) AS f1, h1.doc % 5 = 0 AS f2, h1.tax IS DISTINCT FROM h2.tax AS f3, coalesce(b.gaps, 0) >= coalesce(a.gaps, 0) AS f4, coalesce(b.good, 0) < coalesce(a.good, 0) OR coalesce(b.bad, 0) > coalesce(a.bad, 0) OR h1.doc IN (SELECT doc FROM lost) AS f5
+    FROM h h1 JOIN h h2 ON h2.doc = h1.doc AND h2.reading = 2 LEFT JOIN a ON a.doc = h1.doc LEFT JOIN b ON b.doc = h1.doc WHERE h1.reading = 1)
+  SELECT doc, NOT (f1 OR f2 OR f3 OR f4 OR f5) AS accepted, concat_ws(',', CASE WHEN f1 THEN 'rows' END, CASE WHEN f2 THEN 'headers' END, CASE WHEN f3 THEN 'totals' END, CASE WHEN f4 THEN 'gaps' END, CASE WHEN f5 THEN 'reconciliation' END) AS failed FROM t""")
+def alternate_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.accepted_alternate(frame(spark, sf_dir, READ_HEADS), frame(spark, sf_dir, READ_LINES)).withColumn("failed", F.array_join("failed", ","))
 
 
 @R.add("x28_same_band", """WITH b AS (SELECT user_id AS doc, CAST(event_id AS BIGINT) AS id, (value + (value + 10)) / 2 AS centre, (value + 10) - value AS height FROM events) SELECT l.doc, 1 AS page, l.id AS a, r.id AS b FROM b l JOIN b r USING (doc) WHERE l.id <> r.id AND abs(l.centre - r.centre) <= 0.7 * l.height""")

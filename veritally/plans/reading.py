@@ -12,8 +12,8 @@ from ..operators import ledger as L
 from ..operators import pages as P
 from ..operators import reading as Q
 from ..streaming import jobs as J
-from .registry import Registry, read
-from .relational import LINES, lines
+from .registry import Registry, frame, plain, read
+from .relational import LINES, ORDER, lines
 
 R = Registry()
 
@@ -53,15 +53,18 @@ def best_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.best_read(read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc"), F.col("o_orderkey").alias("position"), (F.col("o_orderkey") % 4).alias("completeness")))
 
 
-@R.add("j26_merged_reads", f"""WITH {LINES}, m AS (SELECT doc, line, CASE WHEN l_partkey % 3 <> 0 THEN l_partkey END AS item, quantity FROM lines), t AS (SELECT doc, line, l_partkey AS item, CASE WHEN l_partkey % 5 = 0 THEN quantity + 1 ELSE quantity END AS quantity FROM lines WHERE NOT (doc % 6 = 0 AND line = 1)),
-  e AS (SELECT doc FROM (SELECT doc, count(*) AS a FROM m GROUP BY doc) JOIN (SELECT doc, count(*) AS b FROM t GROUP BY doc) USING (doc) WHERE a = b)
-  SELECT m.doc, m.line, CASE WHEN e.doc IS NOT NULL THEN coalesce(m.item, t.item) ELSE m.item END AS item, m.quantity, CASE WHEN e.doc IS NOT NULL AND m.quantity <> t.quantity THEN 'quantity' ELSE '' END AS differing
-  FROM m LEFT JOIN e ON m.doc = e.doc LEFT JOIN t ON m.doc = t.doc AND m.line = t.line""")
+FIRST_READ = f"SELECT l_orderkey AS doc, cast(row_number() OVER (PARTITION BY l_orderkey ORDER BY {ORDER}) as int) AS line, CASE WHEN l_partkey % 3 <> 0 THEN concat('A-', cast(l_partkey as string)) END AS sku, cast(l_quantity as decimal(18,2)) AS qty, CASE WHEN l_partkey % 4 <> 0 THEN cast(l_partkey as decimal(18,2)) END AS price, CASE WHEN l_partkey % 2 = 0 THEN 'Cream' END AS description FROM {{lineitem}}"
+SECOND_READ = "SELECT doc, line, CASE WHEN p % 5 <> 0 THEN concat('a', cast(p as string)) ELSE 'zz' END AS sku, CASE WHEN p % 7 = 0 THEN q + 1 ELSE q END AS qty, cast(p as decimal(18,2)) AS price, CASE WHEN p % 6 = 0 THEN 'CREAM!' ELSE 'Rose' END AS description FROM (SELECT l_orderkey AS doc, cast(row_number() OVER (PARTITION BY l_orderkey ORDER BY " + ORDER + ") as int) AS line, l_partkey AS p, cast(l_quantity as decimal(18,2)) AS q FROM {lineitem}) t WHERE NOT (doc % 6 = 0 AND line = 1)"
+
+
+@R.add("j26_merged_reads", f"""WITH m AS ({plain(FIRST_READ)}), t AS ({plain(SECOND_READ)}), e AS (SELECT doc FROM (SELECT doc, count(*) AS a FROM m GROUP BY doc) JOIN (SELECT doc, count(*) AS b FROM t GROUP BY doc) USING (doc) WHERE a = b),
+  j AS (SELECT m.*, t.sku AS tsku, t.qty AS tqty, t.price AS tprice, t.description AS tdescription, coalesce(replace(lower(m.sku), '-', '') = lower(t.sku), FALSE) OR coalesce(lower(m.description) = lower(replace(t.description, '!', '')), FALSE) OR coalesce(m.qty = t.qty AND m.price = t.price, FALSE) AS near, t.doc IS NOT NULL AS paired
+    FROM m LEFT JOIN (SELECT * FROM t WHERE doc IN (SELECT doc FROM e)) t ON t.doc = m.doc AND t.line = m.line)
+  SELECT doc, line, CASE WHEN near AND paired THEN coalesce(sku, tsku) ELSE sku END AS sku, qty, CASE WHEN near AND paired THEN coalesce(price, tprice) ELSE price END AS price, CASE WHEN near AND paired THEN coalesce(description, tdescription) ELSE description END AS description, near AND paired AS aligned,
+    concat_ws(',', CASE WHEN paired AND replace(lower(sku), '-', '') <> lower(tsku) THEN 'sku' END, CASE WHEN paired AND qty <> tqty THEN 'qty' END, CASE WHEN paired AND price <> tprice THEN 'price' END) AS differing FROM j""")
 def merged_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = lines(spark, sf_dir)
-    mine = own.select("doc", "line", F.when(F.col("l_partkey") % 3 != 0, F.col("l_partkey")).alias("item"), "quantity")
-    theirs = own.where("not (doc % 6 = 0 and line = 1)").select("doc", "line", F.col("l_partkey").alias("item"), F.when(F.col("l_partkey") % 5 == 0, (F.col("quantity") + 1).cast("decimal(18,2)")).otherwise(F.col("quantity")).alias("quantity"))
-    return Q.merge_reads(mine, theirs, ["doc", "line"], ["item", "quantity"]).withColumn("differing", F.array_join("differing", ","))
+    """Two reads line by line: gaps filled only where the lines are the same printed row."""
+    return Q.merge_reads(frame(spark, sf_dir, FIRST_READ), frame(spark, sf_dir, SECOND_READ), ["sku", "qty", "price", "description"]).withColumn("differing", F.array_join("differing", ","))
 
 
 @R.add("a25_corroborated_claims", """WITH o AS (SELECT user_id AS doc, CAST(event_id % 7 AS VARCHAR) AS run, CAST(event_id % 3 AS INT) AS page, count(*) AS n FROM events WHERE event_id % 2 = 0 GROUP BY ALL),

@@ -62,10 +62,12 @@ def po_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @R.add("j07_match_lines", f"""WITH {LINES} SELECT doc, line, CASE WHEN p_partkey IS NOT NULL AND (gtin IS NOT NULL OR sku IS NOT NULL) THEN CAST(p_partkey AS VARCHAR) END AS parent,
-  CASE WHEN p_partkey IS NULL THEN NULL WHEN gtin IS NOT NULL THEN 'barcode' WHEN sku IS NOT NULL THEN 'vpn' END AS route,
-  CASE WHEN p_partkey IS NULL OR (gtin IS NULL AND sku IS NULL) THEN 'Item Missing' ELSE 'Matched' END AS status FROM lines LEFT JOIN part ON l_partkey = p_partkey""")
+  CASE WHEN p_partkey IS NULL THEN NULL WHEN gtin IS NOT NULL THEN 'Barcode exact' WHEN sku IS NOT NULL THEN 'VPN exact' END AS method,
+  CASE WHEN p_partkey IS NULL OR (gtin IS NULL AND sku IS NULL) THEN 'Item Exception' ELSE 'Matched' END AS status FROM lines LEFT JOIN part ON l_partkey = p_partkey""")
 def match_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.match_lines(lines(spark, sf_dir).withColumn("description", F.lit(None).cast("string")), items(spark, sf_dir), ["doc", "line"])
+    none = F.lit(None).cast("string")
+    own = lines(spark, sf_dir).select("*", *[none.alias(c) for c in ("description", "barcode_unchecked", "part_code", "item_id")], F.lit(False).alias("ocr_lines"))
+    return M.match_lines(own, items(spark, sf_dir), ["doc", "line"]).select("doc", "line", "parent", "method", "status")
 
 
 @R.add("a04_order_groups", f'WITH {PO}, {GROUPS} SELECT key, "order", location, received::DECIMAL(38, 2) AS received, cost::DECIMAL(38, 2) AS cost, items, currencies, ordered::DECIMAL(38, 2) AS ordered, rows FROM groups')
@@ -330,8 +332,7 @@ def transaction_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @R.add("w05_repeated_documents", "SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS n FROM documents) WHERE n > 1")
 def repeated_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = Window.partitionBy("text").orderBy("doc_id")
-    return read(spark, sf_dir, "documents").select("doc_id", F.row_number().over(own).alias("n")).where("n > 1").select("doc_id")
+    return L.repeated(read(spark, sf_dir, "documents"), "doc_id", "text")
 
 
 @R.add("w09_last_five", "SELECT o_custkey, o_orderkey FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS n FROM orders) WHERE n <= 5")

@@ -25,7 +25,10 @@ R.scalar(
 R.scalar("f06_normalize_barcode", "customer", "c_custkey", "concat(' 5-', lpad(cast(c_custkey as string), 8, '0'), '. ', c_nationkey, '/7 ')", T.normalize_barcode, r"regexp_replace(trim({x}), '[\s\-./]', '', 'g')")
 UNITS_SQL = NAME.replace("[^\\p{L}\\p{N}]+", "[^\\p{L}\\p{N}_#]+")
 _inner = FOLD
-for _pattern, _unit in T.UNITS:
+for _pattern, _unit in [
+    (r"(\d)\s*(ml|millilit(?:er|re)s?)\b", "$1ml"), (r"(\d)\s*(g|gm|gms|grams?)\b", "$1g"), (r"(\d)\s*(kg|kilograms?)\b", "$1kg"), (r"(\d)\s*(l|lit(?:er|re)s?)\b", "$1l"),
+    (r"(\d)\s*(oz|ounces?)\b", "$1oz"), (r"(\d)\s*(pcs?|pieces?)\b", "$1pc"),
+]:
     _inner = f"regexp_replace({_inner}, '{_pattern}', '{_unit.replace('$', chr(92))}', 'g')"
 R.scalar(
     "f07_normalize_description", "part", "p_partkey",
@@ -34,14 +37,14 @@ R.scalar(
 )
 R.scalar("f10_squash", "documents", "doc_id", "text", T.squash, r"lower(regexp_replace({x}, '\s+', '', 'g'))")
 R.scalar("f11_alnum_fold", "documents", "doc_id", "text", T.alnum_fold, "regexp_replace(lower({x}), '[^0-9a-z]', '', 'g')")
-_company = ", ".join(f"'{w}'" for w in T.COMPANY_TYPES)
+_company = "'co', 'company', 'llc', 'l', 'c', 'wll', 'w', 'ltd', 'limited', 'inc', 'plc', 'spc', 'corp', 'corporation', 'fzco', 'fze', 'fzllc', 'fz', 'est', 'establishment', 'gmbh', 'sa', 'bv'"
 R.scalar(
-    "f12_entity_tokens", "supplier", "s_suppkey", "concat(s_name, case when s_suppkey % 2 = 0 then ' Trading L.L.C' else ' & Sons GmbH' end)", lambda x: F.array_join(T.entity_tokens(x), " "),
-    f"array_to_string(list_filter(regexp_extract_all(lower({{x}}), '[\\p{{L}}\\p{{N}}]+'), lambda t: t NOT IN ({_company})), ' ')",
+    "f12_entity_tokens", "supplier", "s_suppkey", "concat(s_name, case when s_suppkey % 3 = 0 then ' Trading L.L.C' when s_suppkey % 3 = 1 then ' Łódź Ő Est' else ' & Sóns GmbH' end)", lambda x: F.array_join(T.entity_tokens(x), " "),
+    "array_to_string(list_filter(regexp_extract_all(" + FOLD + f", '[a-z0-9]+'), lambda t: t NOT IN ({_company})), ' ')",
 )
 R.scalar(
     "f13_has_words", "documents", "doc_id", "text", lambda x: T.has_words(T.tokens(x), F.array(F.lit("of"), F.lit("the"))),
-    "contains(' ' || array_to_string(regexp_extract_all(lower({x}), '[\\p{L}\\p{N}]+'), ' ') || ' ', ' of the ')",
+    "contains(' ' || array_to_string(regexp_extract_all(" + FOLD + ", '[a-z0-9]+'), ' ') || ' ', ' of the ')",
 )
 SITE = "concat('c', lpad(cast(c_custkey as string), 5, '0'), case when c_custkey % 4 = 0 then ' ra1kwd' when c_custkey % 4 = 1 then 'AE2' when c_custkey % 4 = 2 then 'x9' else '' end)"
 UPPER = r"upper(regexp_replace({x}, '\s+', '', 'g'))"
@@ -82,20 +85,16 @@ _own = "trim(regexp_replace(lower(header), '[^a-z0-9]+', ' ', 'g'))"
 _words = f"string_split({_own}, ' ')"
 
 
-def _in(names: list[str]) -> str:
-    return "(" + ", ".join(f"'{n}'" for n in names) + ")"
-
-
 @R.add(
     "f26_header_roles",
-    f"""SELECT header, CASE WHEN {_own} IN {_in(T.ITEM_HEADERS)} THEN 'internal_item' ELSE concat_ws(',',
-      CASE WHEN list_has_any({_words}, ['gtin', 'upc', 'ean', 'barcode']) THEN 'gtin' END, CASE WHEN {_own} IN {_in(T.UOM_HEADERS)} THEN 'uom' END,
+    f"""SELECT header, CASE WHEN {_own} IN ('item', 'item id', 'item code', 'item number', 'rms item id') THEN 'internal_item' ELSE concat_ws(',',
+      CASE WHEN list_has_any({_words}, ['gtin', 'upc', 'ean', 'barcode']) THEN 'gtin' END, CASE WHEN {_own} IN ('uom', 'unit', 'unit of measure', 'base unit', 'order unit') THEN 'uom' END,
       CASE WHEN list_contains({_words}, 'pack') AND NOT list_has_any({_words}, ['description', 'name']) THEN 'pack' END,
       CASE WHEN list_has_any({_words}, ['supplier', 'vendor']) THEN 'supplier' END,
-      CASE WHEN list_has_any({_words}, ['site', 'plant', 'warehouse', 'branch']) OR {_own} IN {_in(T.SITE_HEADERS)} THEN 'site' END,
-      CASE WHEN {_own} IN {_in(T.PO_HEADERS)} THEN 'po' END,
-      CASE WHEN list_contains({_words}, 'description') OR {_own} IN {_in(T.DESCRIPTION_HEADERS)} THEN 'description' END,
-      CASE WHEN {_own} IN {_in(T.SKU_HEADERS)} THEN 'sku' END) END AS roles FROM (VALUES {', '.join(f"('{h}')" for h in HEADERS)}) AS t(header)""",
+      CASE WHEN list_has_any({_words}, ['site', 'plant', 'warehouse', 'branch']) OR {_own} IN ('location', 'location code', 'location name', 'store', 'store code', 'store name') THEN 'site' END,
+      CASE WHEN {_own} IN ('po', 'po no', 'po number', 'purchase order', 'purchase order no', 'purchase order number', 'purchasing document') THEN 'po' END,
+      CASE WHEN list_contains({_words}, 'description') OR {_own} IN ('name', 'item name', 'product name', 'material name', 'short text', 'article name') THEN 'description' END,
+      CASE WHEN {_own} IN ('sku', 'item', 'item code', 'item id', 'item number', 'material', 'material code', 'material id', 'material number', 'product code', 'product id', 'article', 'article code', 'article number', 'internal item') THEN 'sku' END) END AS roles FROM (VALUES {', '.join(f"('{h}')" for h in HEADERS)}) AS t(header)""",
 )
 def header_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(h,) for h in HEADERS], "header string").select("header", F.array_join(T.header_roles(F.col("header")), ",").alias("roles"))
@@ -140,12 +139,12 @@ _valid = VALID.replace("{x}", f"({DIGITS})")
 R.scalar("n10_classify_gtin", "part", "p_partkey", CODE, lambda x: N.classify_barcode(x)["gtin"], f"CASE WHEN {_sized} THEN CASE WHEN {_valid} THEN {DIGITS} END END")
 R.scalar("n10_classify_reason", "part", "p_partkey", CODE, lambda x: N.classify_barcode(x)["reason"], f"CASE WHEN NOT {_sized} THEN 'unreadable' WHEN NOT ({_valid}) THEN 'misprint' END")
 R.scalar(
-    "n12_similarity", "lineitem", "l_orderkey,l_linenumber,l_partkey,l_suppkey", "cast(l_extendedprice as decimal(18,2))", lambda x: F.round(N.similarity(x, F.lit(30000).cast("decimal(18,2)")), 9),
-    "round(greatest(0.0, 1 - CAST(abs({x} - 30000) AS DOUBLE) / CAST(greatest(abs({x}), 30000, 0.000001) AS DOUBLE)), 9)",
+    "n12_similarity", "lineitem", "l_orderkey,l_linenumber,l_partkey,l_suppkey", "case when l_partkey % 9 <> 0 then cast(l_extendedprice as decimal(18,2)) end", lambda x: F.round(N.similarity(x, F.lit(30000).cast("decimal(18,2)")), 9),
+    "CASE WHEN {x} IS NOT NULL THEN round(greatest(0.0, 1 - CAST(abs({x} - 30000) AS DOUBLE) / CAST(greatest(abs({x}), 30000, 0.000001) AS DOUBLE)), 9) END",
 )
 R.scalar("n13_places", "orders", "o_orderkey", AMOUNT, N.places, "CASE WHEN contains({x}, '.') THEN length(split_part({x}, '.', -1)) ELSE 0 END::INT")
 CURRENCY = "case when c_custkey % 4 = 0 then ' kwd' when c_custkey % 4 = 1 then 'AED' when c_custkey % 4 = 2 then 'OMR' else 'XXX' end"
-R.scalar("n14_decimals", "customer", "c_custkey", CURRENCY, N.decimals, f"CASE WHEN upper(trim({{x}})) IN ({', '.join(repr(c) for c in N.CURRENCY_DECIMALS)}) THEN 3 ELSE 2 END")
+R.scalar("n14_decimals", "customer", "c_custkey", CURRENCY, N.decimals, f"CASE WHEN upper(trim({{x}})) IN ('KWD', 'BHD', 'OMR', 'JOD', 'IQD', 'TND', 'LYD') THEN 3 ELSE 2 END")
 R.scalar("n14_policy_decimals", "customer", "c_custkey", CURRENCY, lambda x: N.decimals(x, N.POLICY_DECIMALS), "CASE WHEN upper(trim({x})) = 'KWD' THEN 3 ELSE 2 END")
 VPN = "concat(case when p_partkey % 3 = 0 then 'I' else 'A' end, cast(p_partkey as string), case when p_partkey % 2 = 0 then 'O' else 'X' end)"
 
