@@ -6,9 +6,9 @@ from .registry import Query
 
 
 def _modules() -> list:
-    from . import chain, facts, lookups, reading, relational, scalars
+    from . import chain, facts, lookups, reading, relational, scalars, target
 
-    return [scalars, relational, reading, lookups, chain, facts]
+    return [scalars, relational, reading, lookups, chain, facts, target]
 
 
 def queries() -> dict[str, Query]:
