@@ -38,6 +38,16 @@ def test_every_ngram_of_a_long_run_is_in_one_piece():
     assert sum(langid.weight_of(langid.features_of(p)) for p in langid.pieces(letters.encode())) == 171
 
 
+def test_junk_of_letters_has_no_support():
+    own = model()
+    own.floor = 0.5
+    assert own.keeps(" ".join(ENGLISH)) and own.keeps(" ".join(GERMAN)) and own.keeps("我们今天去学校读书")
+    assert not own.keeps("xq zvkj wqx jjkq vzzx qkw") and not own.keeps("12 34") and not own.keeps(None)
+    assert own.support(" ".join(ENGLISH)) > own.support("the xq zvkj wqx") > own.support("zvkj wqx qqq")
+    blank = langid.Model({})
+    assert blank.keeps("any letters") and not blank.keeps("12") and not blank.keeps("")
+
+
 def test_words_split_at_changes_of_script():
     assert [p.decode() for p in langid.pieces("abcпривет漢字かな".encode())] == ["abc", "привет", "漢字", "かな"]
     assert langid.pieces("déjà".encode()) == ["déjà".encode()]

@@ -7,6 +7,9 @@ words pays ``SWITCH`` for each change of language. Where no stretch of words gai
 language, and no beginning and end together do, one label is a best labelling: an inner stretch of k runs costs k + 1
 changes, one at an end k, and a labelling without that label at all one less than its runs. This is found with vector
 operations alone; the other texts go through the full recursion.
+
+*Support.* The share of a text's n-grams that any language has tells text from junk of letters. The least support of a
+known text is read off the labelled sample: half of what all but one in a thousand of its texts have.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM_BYTES, arrow_schema, filter_texts, held_out, map_arrow, map_texts, text_groups
+from .common import ALNUM_BYTES, arrow_schema, cut_lineage, filter_texts, held_out, map_arrow, map_texts, text_groups
 
 UNKNOWN = "und"
 #: Price of a change of language, in nats.
@@ -35,6 +38,8 @@ WORD_CAP = 8.0
 STRETCH, WHOLE = 16, 40
 UNSPACED = {"han", "kana", "thai", "other"}
 MAX_WORDS = 250_000
+#: Share of labelled texts under whose support the floor is set, and at what part of it.
+OUTLIERS, FLOOR = 0.001, 0.5
 
 #: First code points of script ranges, by Unicode blocks.
 SCRIPTS = [
@@ -145,6 +150,7 @@ class Model:
         self.table = {g: i for i, g in enumerate(sorted(set().union(*grams)))}
         logs = np.log(np.array([[own[g] + 0.5 for g in self.table] for own in grams]).reshape(len(grams), len(self.table)).T / (np.array(totals) + 0.5))
         self.logs = (logs - logs.max(axis=1, initial=-np.inf, keepdims=True)).astype(np.float32)
+        self.floor = 0.0
         self.words: dict[bytes, int] = {}  # -1: a word in pieces
         self.pieces: dict[bytes, list[bytes]] = {}
         self._clear()
@@ -155,6 +161,7 @@ class Model:
         self.scored = 0
         self.scores = np.zeros((1024, len(self.languages)), np.float32)
         self.weights = np.zeros(1024, np.float32)
+        self.grams = np.zeros((1024, 2), np.float32)  # n-grams of each word, and those that any language has
 
     def _learn(self, words: list[bytes]) -> None:
         """Score new words."""
@@ -170,14 +177,17 @@ class Model:
         while first + n > len(self.scores):
             self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
             self.weights = np.concatenate([self.weights, np.zeros_like(self.weights)])
+            self.grams = np.concatenate([self.grams, np.zeros_like(self.grams)])
         letters = [features_of(w) for w in words]
         self.words.update(zip(words, range(first, first + n), strict=True))
         self.weights[first : first + n] = list(map(weight_of, letters))
         if not self.languages:
             return
         get = self.table.get
-        rows = [[i for i in map(get, ngrams(x)) if i is not None] if x else [] for x in letters]
+        every = [list(map(get, ngrams(x))) if x else [] for x in letters]
+        rows = [[i for i in r if i is not None] for r in every]
         sizes = np.array(list(map(len, rows)))
+        self.grams[first : first + n, 0], self.grams[first : first + n, 1] = list(map(len, every)), sizes
         sums = np.zeros((n, len(self.languages)), np.float64)
         if sizes.any():
             at = np.concatenate([[0], np.cumsum(sizes[sizes > 0])[:-1]])
@@ -215,6 +225,17 @@ class Model:
             return np.full(len(numbers), best), weights
         return viterbi(scores.astype(np.float64), SWITCH), weights
 
+    def support(self, text: str | None) -> float:
+        """The share of a text's n-grams that any language has; 0 without letters."""
+        numbers = self.numbered((text or "").encode().translate(ALNUM_BYTES).split())
+        every, known = self.grams[numbers].sum(axis=0, dtype=np.float64)
+        return float(known / every) if every else 0.0
+
+    def keeps(self, text: str | None) -> bool:
+        """Whether a text has a language and support enough; where nothing could be learned, whether it has letters."""
+        if not self.languages:
+            return any(map(letters_of, words_of(text)))
+        return self.predict(text)[0] != UNKNOWN and self.support(text) >= self.floor
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """The language with most letters in the labelled spans, and its share of all letters."""
@@ -250,13 +271,14 @@ def viterbi(scores: np.ndarray, switch: float) -> np.ndarray:
 def train(df: DataFrame, training_docs: int = TRAINING_DOCS, key: str = "doc_id", text: str = "text", lang: str = "lang", modulus: int = 4, remainder: int = 2) -> Model:
     """Fit on whole texts of a sample, by a hash of the key, of about ``training_docs`` rows of each language.
 
-    Rows whose crc32 leaves the remainder, and rows without language or text, are never learned from.
+    Rows whose crc32 leaves the remainder, and rows without language or text, are never learned from. Of rows that are
+    copies of each other all are drawn or none.
     """
     own = df.select(F.col(key), F.col(text), F.col(lang))
     usable = own.where(~held_out(F.col(key), modulus, remainder) & F.col(lang).isNotNull() & F.col(text).isNotNull())
     sizes = usable.groupBy(lang).agg(F.count("*").alias("rows"))
-    drawn = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(1 << 20)) / (1 << 20)
-    sample = usable.join(F.broadcast(sizes), lang).where(drawn < F.lit(float(training_docs)) / F.col("rows")).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
+    drawn = F.pmod(F.xxhash64(F.col(key).cast("string"), text), F.lit(1 << 20)) / (1 << 20)
+    sample = cut_lineage(usable.join(F.broadcast(sizes), lang).where(drawn < F.lit(float(training_docs)) / F.col("rows")).select(F.col(lang).alias("lang"), F.col(text).alias("text")))
     import pyarrow as pa
 
     def count(batches):
@@ -276,7 +298,12 @@ def train(df: DataFrame, training_docs: int = TRAINING_DOCS, key: str = "doc_id"
     for batch in summed.to_batches(10_000):
         for lang, word, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             counts[lang][word] = n
-    return Model(dict(counts))
+    model = Model(dict(counts))
+    shared = df.sparkSession.sparkContext.broadcast(model)
+    supports = map_texts(sample, lambda langs, texts: {"lang": langs, "support": [shared.value.support(t) for t in texts]}, "lang string, support double", "lang")
+    usual = supports.where("support > 0").agg(F.percentile_approx("support", OUTLIERS)).first()[0]
+    model.floor = FLOOR * (usual or 0.0)
+    return model
 
 
 def identify(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -295,9 +322,9 @@ def identify(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text
 
 
 def known(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """The rows whose text has a language."""
+    """The rows whose text has a language and support enough; all with letters if none could be learned."""
     shared = df.sparkSession.sparkContext.broadcast(model)
-    return filter_texts(df, lambda texts: [shared.value.predict(t)[0] != UNKNOWN for t in texts], text)
+    return filter_texts(df, lambda texts: [shared.value.keeps(t) for t in texts], text)
 
 
 def spans(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:

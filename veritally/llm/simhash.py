@@ -255,12 +255,19 @@ def components(edges: DataFrame) -> DataFrame:
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
 
 
-def near_duplicates(df: DataFrame, max_bits: int = 4, shingle_words: int = 4, key: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(df: DataFrame, max_bits: int = 4, shingle_words: int = 4, similarity: float | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, fp, component_id): component_id is the smallest key that links of at most ``max_bits`` bits reach.
 
+    With a ``similarity`` links are instead those of shingle sets at least so alike, exactly (``shingles``), and the result is
+    (key, component_id). A bit bound that holds such pairs would leave keys so short that buckets grow with the input.
+
     Null, empty and blank texts have fingerprint 0 and are linked like any other; ties and repeated rows keep a row
     each; a null key is kept and counts as no smallest key. An empty table gives an empty result.
     """
+    if similarity is not None:
+        from .shingles import near_copies
+
+        return near_copies(df, similarity, shingle_words, key, text)
     own = cut_lineage(fingerprints(df, shingle_words, key, text))
     distinct = cut_lineage(own.groupBy("fp").agg(F.min(key).alias("least"), F.count("*").alias("n")))
     roots = components(links(distinct.select("fp"), max_bits))
