@@ -6,9 +6,9 @@ from .registry import Query
 
 
 def _modules() -> list:
-    from . import chain, facts, lookups, reading, relational, scalars, target
+    from . import chain, facts, lookups, reading, relational, scalars, stores, target
 
-    return [scalars, relational, reading, lookups, chain, facts, target]
+    return [scalars, relational, reading, lookups, chain, facts, target, stores]
 
 
 def queries() -> dict[str, Query]:
