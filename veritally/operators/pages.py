@@ -81,7 +81,7 @@ def rows_of_words(words: DataFrame, tolerance: float = 0.6) -> DataFrame:
         page = page.assign(centre=(page.top + page.bottom) / 2, height=page.bottom - page.top).sort_values(["centre", "x0", "text"])
         rows: list[list] = []
         means: list[float] = []
-        limit = tolerance * float(page.height.median())
+        limit = max(3.0, tolerance * float(page.height.clip(lower=1.0).median()))
         for w in page.itertuples():
             if rows and abs(w.centre - means[-1]) <= limit:
                 rows[-1].append(w)

@@ -65,9 +65,7 @@ def po_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
   CASE WHEN p_partkey IS NULL THEN NULL WHEN gtin IS NOT NULL THEN 'Barcode exact' WHEN sku IS NOT NULL THEN 'VPN exact' END AS method,
   CASE WHEN p_partkey IS NULL OR (gtin IS NULL AND sku IS NULL) THEN 'Item Exception' ELSE 'Matched' END AS status FROM lines LEFT JOIN part ON l_partkey = p_partkey""")
 def match_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    none = F.lit(None).cast("string")
-    own = lines(spark, sf_dir).select("*", *[none.alias(c) for c in ("description", "barcode_unchecked", "part_code", "item_id")], F.lit(False).alias("ocr_lines"))
-    return M.match_lines(own, items(spark, sf_dir), ["doc", "line"]).select("doc", "line", "parent", "method", "status")
+    return M.match_lines(lines(spark, sf_dir), items(spark, sf_dir), ["doc", "line"]).select("doc", "line", "parent", "method", "status")
 
 
 @R.add("a04_order_groups", f'WITH {PO}, {GROUPS} SELECT key, "order", location, received::DECIMAL(38, 2) AS received, cost::DECIMAL(38, 2) AS cost, items, currencies, ordered::DECIMAL(38, 2) AS ordered, rows FROM groups')

@@ -14,8 +14,10 @@ from xml.sax.saxutils import escape
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 MOST_EXPANDED, MOST_COLUMNS, MOST_ROWS = 30 << 20, 80, 50_000
+LINK = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 TABLE, TEXT, OFFICE = ("{urn:oasis:names:tc:opendocument:xmlns:" + n + ":1.0}" for n in ("table", "text", "office"))
 
@@ -36,9 +38,10 @@ def _column(reference: str) -> int:
 
 def _xlsx(archive: zipfile.ZipFile) -> Iterator[tuple[str, int, list[str | None]]]:
     shared = [] if "xl/sharedStrings.xml" not in archive.namelist() else ["".join(t.text or "" for t in s.iter(f"{MAIN}t")) for s in _part(archive, "xl/sharedStrings.xml").iter(f"{MAIN}si")]
-    sheets = [s.get("name") for s in _part(archive, "xl/workbook.xml").iter(f"{MAIN}sheet")]
-    for i, name in enumerate(sheets, 1):
-        for number, row in enumerate(_part(archive, f"xl/worksheets/sheet{i}.xml").iter(f"{MAIN}row"), 1):
+    targets = {x.get("Id"): x.get("Target").lstrip("/") for x in _part(archive, "xl/_rels/workbook.xml.rels")}
+    for sheet in _part(archive, "xl/workbook.xml").iter(f"{MAIN}sheet"):
+        name, target = sheet.get("name"), targets[sheet.get(f"{LINK}id")]
+        for number, row in enumerate(_part(archive, target if target.startswith("xl/") else f"xl/{target}").iter(f"{MAIN}row"), 1):
             values: list[str | None] = []
             for cell in row.iter(f"{MAIN}c"):
                 if cell.find(f"{MAIN}f") is not None:
@@ -55,14 +58,20 @@ def _ods(archive: zipfile.ZipFile) -> Iterator[tuple[str, int, list[str | None]]
         number = 0
         for row in sheet.iter(f"{TABLE}table-row"):
             values: list[str | None] = []
-            for cell in row.iter(f"{TABLE}table-cell"):
+            for cell in row:
+                if cell.tag not in (f"{TABLE}table-cell", f"{TABLE}covered-table-cell"):
+                    continue
                 if cell.get(f"{TABLE}formula"):
                     raise ValueError("formulas are refused")
-                text = "\n".join("".join(p.itertext()) for p in cell.iter(f"{TEXT}p")) or cell.get(f"{OFFICE}value")
-                values += [text] * min(int(cell.get(f"{TABLE}number-columns-repeated", 1)), MOST_COLUMNS + 1)
+                # the stored value, not the formatted one; a cell under a merged one is empty and keeps its place
+                text = cell.get(f"{OFFICE}value") or cell.get(f"{OFFICE}date-value") or "\n".join("".join(p.itertext()) for p in cell.iter(f"{TEXT}p")) or None
+                own = None if cell.tag.endswith("covered-table-cell") else text
+                values += [own] * min(int(cell.get(f"{TABLE}number-columns-repeated", 1)), MOST_COLUMNS + 1)
             while values and values[-1] is None:
                 values.pop()
             times = int(row.get(f"{TABLE}number-rows-repeated", 1))
+            if values and number + times > MOST_ROWS:
+                raise ValueError("the workbook has too many rows or columns")
             for _ in range(times if values else 0):
                 number += 1
                 yield sheet.get(f"{TABLE}name"), number, values
@@ -80,6 +89,25 @@ def sheet_rows(content: bytes) -> list[tuple[str, int, list[str | None]]]:
     return [(s, n, v) for s, n, v in rows if any(x not in (None, "") for x in v)]
 
 
+def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
+    """One file on whatever file system the path names."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where, True)
+    out.write(bytearray(data))
+    out.close()
+
+
+def sheets_of(frames: dict[str, DataFrame], order: dict[str, list[str]], most: int = MOST_ROWS) -> dict[str, list[list]]:
+    """Sheets with a heading row from frames, in order; more rows than a sheet may have are refused, never cut."""
+    out = {}
+    for name, df in frames.items():
+        rows = df.orderBy(*order[name]).limit(most).collect()
+        if len(rows) >= most:
+            raise ValueError(f"{name} has too many rows")
+        out[name] = [df.columns, *[[int(v) if isinstance(v, int) and not isinstance(v, bool) else v for v in r] for r in rows]]
+    return out
+
+
 def read_workbooks(spark: SparkSession, path: str) -> DataFrame:
     """(path, sheet, row_no, cells, problem): a file that can't be read is a row with its problem."""
 
@@ -96,6 +124,15 @@ def read_workbooks(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInPandas(run, "path string, sheet string, row_no int, cells array<string>, problem string")
 
 
+def by_headings(rows: DataFrame, sheet: str) -> DataFrame:
+    """(path, row_no, data) of a sheet's rows below its first one, whose cells name the columns in capitals; blank rows are left out."""
+    own = rows.where(F.upper(F.trim("sheet")) == sheet.upper())
+    heads = own.where("row_no = 1").select("path", F.transform("cells", lambda c: F.upper(F.trim(F.coalesce(c, F.lit(""))))).alias("heads"))
+    joined = own.where("row_no > 1").join(F.broadcast(heads), "path")
+    pairs = F.filter(F.arrays_zip("heads", "cells"), lambda z: F.coalesce(z["heads"], F.lit("")) != "")
+    return joined.select("path", "row_no", F.map_from_entries(F.transform(pairs, lambda z: F.struct(z["heads"], F.trim(z["cells"])))).alias("data"))
+
+
 def write_xlsx(sheets: dict[str, list[list]], path: str | io.BytesIO) -> None:
     """Sheets of rows; whole numbers are numbers, anything else is text, so that no cell becomes a formula."""
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
@@ -26,8 +27,10 @@ def merged(current: DataFrame | None, batch: DataFrame, key: str = "id", revisio
 
 
 def fresh(batch: DataFrame, ledger: DataFrame, key: str = "invoice_key") -> DataFrame:
-    """A batch's rows whose key the ledger lacks, each once."""
-    return batch.dropDuplicates([key]).join(ledger.select(key).distinct(), key, "left_anti")
+    """A batch's rows whose key the ledger lacks, each once: of equal keys the first row in order."""
+    columns = [c for c in batch.columns if c != key]
+    single = batch.groupBy(key).agg(F.min(F.struct(*columns)).alias("_row")).select(key, "_row.*") if columns else batch.distinct()
+    return single.join(ledger.select(key).distinct(), key, "left_anti")
 
 
 def interrupted(jobs: DataFrame) -> DataFrame:
@@ -39,17 +42,40 @@ def stale(rows: DataFrame, signature: str) -> DataFrame:
     return rows.where(~F.col("signature").eqNullSafe(F.lit(signature)))
 
 
-def upsert_stream(stream: DataFrame, folder: str, checkpoint: str, key: str = "id", revision: str = "revision") -> StreamingQuery:
-    """Keep the latest revision of each key in versions of a table; a replayed batch writes the same version again.
+#: Buckets of a kept table: a batch rewrites those that its keys fall into, and no others.
+BUCKETS = 64
 
-    Batches are the table's only writer. ``folder/version=n`` is complete once its success mark is there, and the
-    state after batch n is its newest version.
+
+def _bucket(key: str, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+
+
+def kept(spark: SparkSession, folder: str, before: int | None = None) -> DataFrame | None:
+    """The state: of each bucket its newest version, up to one before a batch if that is named; None if nothing is written."""
+    try:
+        own = spark.read.option("basePath", folder).parquet(folder)
+    except AnalysisException:
+        return None
+    own = own if before is None else own.where(F.col("version") < before)
+    newest = own.groupBy("bucket").agg(F.max("version").alias("version"))
+    return own.join(F.broadcast(newest), ["bucket", "version"]).drop("version", "bucket")
+
+
+def upsert_stream(stream: DataFrame, folder: str, checkpoint: str, key: str = "id", revision: str = "revision", buckets: int = BUCKETS) -> StreamingQuery:
+    """Keep the latest revision of each key in buckets of a table; a replayed batch writes the same versions again.
+
+    Batches are the table's only writer. Batch n writes ``folder/version=n/bucket=k`` for the buckets of its keys alone; the
+    state of a bucket is its newest version (``kept``).
     """
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        before = None if number == 0 else spark.read.parquet(f"{folder}/version={number - 1}")
-        merged(before, batch, key, revision).write.mode("overwrite").parquet(f"{folder}/version={number}")
+        marked = batch.withColumn("bucket", _bucket(key, buckets)).persist()
+        touched = [r.bucket for r in marked.select("bucket").distinct().collect()]
+        before = kept(spark, folder, number)
+        old = None if before is None else before.withColumn("bucket", _bucket(key, buckets)).where(F.col("bucket").isin(touched))
+        merged(old, marked, key, revision).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/version={number}")
+        marked.unpersist()
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
