@@ -85,6 +85,18 @@ def page(scored: DataFrame, size: int, after: tuple[int, str] | None = None) ->
     return scored.orderBy(F.desc("score"), "id").limit(size)
 
 
+def cursor_text(signature: Column, score: Column, identifier: Column) -> Column:
+    """A cursor as a column: url-safe, without padding."""
+    body = F.to_json(F.struct(signature.alias("q"), score.alias("score"), identifier.alias("id")))
+    return F.rtrim(F.translate(F.base64(body.cast("binary")), "+/\r\n", "-_"), F.lit("="))
+
+
+def cursor_parts(text: Column) -> Column:
+    """(q, score, id) of a cursor; null if it can't be read."""
+    padded = F.rpad(F.translate(text, "-_", "+/"), F.ceil(F.length(text) / 4).cast("int") * 4, F.lit("="))
+    return F.from_json(F.try_to_binary(padded, F.lit("base64")).cast("string"), "q string, score int, id string")
+
+
 def cursor(signature: str, score: int, identifier: str) -> str:
     import base64
 

@@ -6,9 +6,9 @@ from .registry import Query
 
 
 def _modules() -> list:
-    from . import chain, facts, lookups, reading, relational, roundtrips, scalars, stores, target
+    from . import chain, facts, lookups, readers, reading, relational, roundtrips, scalars, stores, target
 
-    return [scalars, relational, reading, lookups, chain, facts, target, stores, roundtrips]
+    return [scalars, relational, reading, lookups, chain, facts, target, stores, roundtrips, readers]
 
 
 def queries() -> dict[str, Query]:
