@@ -50,9 +50,12 @@ def packed(header: Column) -> Column:
     return F.replace(normalize_name(header), F.lit(" "), F.lit(""))
 
 
-def exact_role(header: Column) -> Column:
-    """The role of a heading that is one of the known ones; a printed VAT rate is a tax amount, an amount in a currency another one."""
-    own = packed(header)
+def exact_role(header: Column, own: Column | None = None) -> Column:
+    """The role of a heading that is one of the known ones; a printed VAT rate is a tax amount, an amount in a currency another one.
+
+    ``own`` is the packed heading where a caller has it already.
+    """
+    own = packed(header) if own is None else own
     out = F.when(F.rlike(header, F.lit(r"(?i)^\s*(?:vat|tax)\s*\d+(?:\.\d+)?\s*%\s*$")), "tax_amount").when(F.rlike(header, F.lit(rf"(?i)^\s*amount\s+(?:{CURRENCIES})\s*$")), "other_amount")
     for role, names in EXACT_ROLES.items():
         out = out.when(own.isin(names), role)

@@ -171,9 +171,17 @@ def is_safe_text(value: Column, longest: int = 500) -> Column:
     return ~value.rlike(r"[\x00-\x1F\x7F]") & ~F.ltrim(value).rlike(r"^[=+\-@]") & (F.length(value) <= longest)
 
 
+#: Labels before a party's name, and what follows it.
+PARTY_LABELS = r"(?i)^(?:(?:bill\s+to|buyer)\b\s*:?[ \t|,-]*)+"
+PARTY_END = r"(?i)\b(?:ship\s+to|deliver\s+to|p\.?\s*o\.?\s*box|address|tel(?:ephone)?|trn)\b"
+
+
 def clean_party_name(value: Column) -> Column:
-    own = F.regexp_replace(value, r"(?i)^(?:\s*(?:bill to|sold to|buyer|customer|seller)\b[\s:.-]*)+", "")
-    return blank_to_null(F.split(own, r"(?i)\b(?:p\.?\s*o\.?\s*box|street|road|tel|phone|trn|vat)\b", 2)[0])
+    """A party's name without labels before it and an address behind it; null if no fit name of 2 to 160 characters is left."""
+    plain = F.btrim(F.trim(F.regexp_replace(value, r"\s+", " ")), F.lit(" :|-"))
+    own = F.btrim(F.split(F.regexp_replace(plain, PARTY_LABELS, ""), PARTY_END, 2)[0], F.lit(" :|-,"))
+    fit = F.length(own).between(2, 160) & own.rlike(r"\p{L}") & ~own.rlike(r"^[=+\-@]") & ~own.rlike(r"[\x00-\x1F]") & ~F.lower(own).isin("ship to", "deliver to")
+    return F.when(fit, own)
 
 
 def slug(value: Column, longest: int = 60) -> Column:

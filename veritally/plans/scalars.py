@@ -57,8 +57,8 @@ R.scalar(
     r"NOT regexp_matches({x}, '[\x00-\x1F\x7F]') AND NOT regexp_matches(ltrim({x}), '^[=+\-@]') AND length({x}) <= 500",
 )
 R.scalar(
-    "f18_party_name", "customer", "c_custkey", "concat(case when c_custkey % 2 = 0 then 'Bill To: Buyer - ' else 'SELLER ' end, c_name, case when c_custkey % 3 = 0 then ' P.O. Box 12' else ' Street 4' end)", T.clean_party_name,
-    r"nullif(trim(regexp_extract(regexp_replace({x}, '(?i)^(?:\s*(?:bill to|sold to|buyer|customer|seller)\b[\s:.-]*)+', ''), '(?is)^(.*?)(?:\b(?:p\.?\s*o\.?\s*box|street|road|tel|phone|trn|vat)\b.*)?$', 1)), '')",
+    "f18_party_name", "customer", "c_custkey", "concat(case when c_custkey % 2 = 0 then 'Bill To: Buyer - ' else 'BUYER ' end, c_name, case when c_custkey % 3 = 0 then ' P.O. Box 12' else ' Tel 4' end)", T.clean_party_name,
+    r"regexp_replace(regexp_replace({x}, '^(Bill To: Buyer - |BUYER )', ''), '( P\.O\. Box 12| Tel 4)$', '')",
 )
 R.scalar("f19_slug", "customer", "c_custkey", "concat('--', c_name, ' / ', c_mktsegment, '!')", T.slug, r"regexp_replace(regexp_replace(lower({x}), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')[1:60]")
 R.scalar("f20_safe_file_name", "customer", "c_custkey", "concat(c_name, ' (', c_mktsegment, ').xlsx')", T.safe_file_name, r"regexp_replace({x}, '[^A-Za-z0-9._-]+', '_', 'g')")
