@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from veritally.operators import access as X
 from veritally.operators import layout as Y
 from veritally.operators import pages as P
+from veritally.operators import readers as D
 from veritally.operators import reading as Q
 
 
@@ -47,7 +48,7 @@ def test_claims_bands_and_feedback(spark):
     assert sorted(r["index"] for r in Q.corroborated(claims, seen).collect()) == [1, 2, 4]
     boxes = spark.createDataFrame([("d", 1, 1, 0.0, 10.0), ("d", 1, 2, 5.0, 15.0), ("d", 1, 3, 30.0, 40.0)], "doc string, page int, id int, top double, bottom double")
     assert sorted((r.a, r.b) for r in X.same_band(boxes).collect()) == [(1, 2), (2, 1)]
-    log = X.feedback_ids(spark.createDataFrame([(1, "a", "e"), (2, "", "e"), (3, "b", "f")], "n int, correction string, evidence string"), 4, ["n"])
+    log = D.filed_feedback(spark.createDataFrame([(1, "a", "e"), (2, "", "e"), (3, "b", "f")], "n int, correction string, evidence string").selectExpr("*", "n as id", "n as at", "'l' as log"), 4)
     assert [r.feedback_id for r in log.orderBy("n").collect()] == ["FB-0005", "FB-0006"]
     done = X.decided(log.withColumn("approver", F.lit(None).cast("string")), spark.createDataFrame([("FB-0005", "Approved", "o"), ("FB-0006", "Maybe", "o")], "feedback_id string, decision string, approver string"))
     assert {r.feedback_id: (r.decision, r.approver) for r in done.collect()} == {"FB-0005": ("Approved", "o"), "FB-0006": ("Proposed", None)}

@@ -49,13 +49,6 @@ def decided(log: DataFrame, decisions: DataFrame) -> DataFrame:
     return joined.withColumn("approver", F.when(open_, F.col("_by")).otherwise(F.col("approver"))).withColumn("decision", F.when(open_, F.col("_to")).otherwise(F.col("decision"))).drop("_to", "_by")
 
 
-def feedback_ids(rows: DataFrame, existing: int, order: list[str]) -> DataFrame:
-    """New log entries numbered on from the existing ones; those without a correction or evidence are left out."""
-    ready = rows.where("coalesce(trim(correction), '') <> '' and coalesce(trim(evidence), '') <> ''")
-    number = F.row_number().over(Window.orderBy(*order)) + existing
-    return ready.withColumn("feedback_id", F.format_string("FB-%04d", number)).withColumn("decision", F.lit("Proposed"))
-
-
 def readiness(issues: DataFrame, headers: DataFrame, ledger: DataFrame) -> DataFrame:
     """(doc, hard, review, warning, duplicate, ready): nothing is ready before a reviewer confirmed it; that clears review-level
     issues, hard ones and a duplicate never."""

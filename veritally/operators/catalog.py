@@ -71,7 +71,8 @@ def search(index: DataFrame, kind: str, wanted: list[tuple[str, int, str]], with
     ``within`` has ids to which the search is restricted. The wanted terms are the words of one query.
     """
     asked = index.sparkSession.createDataFrame(wanted, "term string, score int, way string")
-    hits = index.where(F.col("kind") == kind).join(F.broadcast(asked), "term")
+    # The list reaches the scan of a stored index, which is sorted by term.
+    hits = index.where((F.col("kind") == kind) & F.col("term").isin([t for t, _, _ in wanted])).join(F.broadcast(asked), "term")
     if within is not None:
         hits = hits.join(within.select("id").distinct(), "id", "left_semi")
     exact = F.coalesce(F.max(F.when(F.col("way") == "max", F.col("score"))), F.lit(0))

@@ -6,9 +6,9 @@ from .registry import Query
 
 
 def _modules() -> list:
-    from . import chain, facts, lookups, readers, reading, relational, roundtrips, scalars, spatial, stores, target
+    from . import chain, facts, lookups, readers, reading, relational, roundtrips, scalars, sinks, spatial, stores, target
 
-    return [scalars, relational, reading, lookups, chain, facts, target, stores, roundtrips, readers, spatial]
+    return [scalars, relational, reading, lookups, chain, facts, target, stores, roundtrips, readers, spatial, sinks]
 
 
 def queries() -> dict[str, Query]:
