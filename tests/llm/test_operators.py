@@ -291,6 +291,30 @@ def test_rules_learn_and_keep_clean_rows(spark, odd, none):
     assert rules.apply(none, labels.limit(0)).count() == 0
 
 
+def test_a_decision_list_rejects_what_one_statistic_tells():
+    """Clean rows that a single condition takes away at once must not leave the bad ones without a rule."""
+    rng = np.random.default_rng(7)
+    bad = rng.random(3000) < 0.08
+    table = {"symbol_share": np.where(bad, 0.1 + 0.3 * rng.random(3000), 0.0), "mean_word": 4 + 2 * rng.random(3000)}
+    bad ^= rng.random(3000) < 0.005
+    found = rules.learn(table, bad, rng.random(3000))
+    assert found and not found[0].keep
+    rejected = np.logical_or.reduce([np.logical_and.reduce([c.holds(table) for c in r.conditions]) for r in found if not r.keep])
+    assert (rejected & bad).sum() > 0.85 * bad.sum() and (rejected & ~bad).sum() < 0.05 * bad.sum()
+
+
+def test_decision_list_on_held_out_rows(spark, small):
+    big = small.replace("0.001", "0.01")
+    found = rules.statistics(spark.read.parquet(f"{big}/documents.parquet")).cache()
+    labels = spark.read.parquet(f"{big}/labels.parquet")
+    half = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(2))
+    learned = rules.train(found, labels.where(half == 0))
+    rest = found.where(~rules.base_failed()).join(labels.where(half == 1), "doc_id").select("quality", rules.expression(learned).alias("kept")).collect()
+    bad = [r.kept for r in rest if r.quality == 0]
+    assert bad.count(False) > 0.6 * len(bad)
+    assert sum(not r.kept for r in rest if r.quality == 1) <= 0.03 * len(rest)
+
+
 def test_a_decision_list_has_both_outcomes_in_order(spark):
     """Many symbols are bad but for four exceptions, which are more than a rule's conditions can tell."""
     rng = np.random.default_rng(4)

@@ -167,7 +167,12 @@ def _best(table: dict[str, np.ndarray], wanted: np.ndarray, grow: np.ndarray, pr
 
 
 def learn(table: dict[str, np.ndarray], bad: np.ndarray, draw: np.ndarray) -> list[Rule]:
-    """Ordered rules. ``draw`` in [0, 1) splits the rows: two thirds to grow rules on, one third to prune them."""
+    """Ordered rules. ``draw`` in [0, 1) splits the rows: two thirds to grow rules on, one third to prune them.
+
+    A rule that rejects comes first wherever a precise one is found; one that keeps takes clean rows away, so that others may
+    become precise. Rows that no rule decides stay, unless nearly all such rows were bad: then the last rule, which has no
+    condition, rejects them.
+    """
     rules: list[Rule] = []
     grow, prune = draw < 2 / 3, draw >= 2 / 3
     left = np.ones(len(bad), bool)
@@ -175,18 +180,16 @@ def learn(table: dict[str, np.ndarray], bad: np.ndarray, draw: np.ndarray) -> li
         g, p = left & grow, left & prune
         if not p.any():
             break
-        found = []
-        for keep in (False, True):
-            wanted = ~bad if keep else bad
-            precision = max(PRECISION, 1 - USUAL * float(bad[p].mean())) if keep else PRECISION
-            best = _best(table, wanted, g, p, precision)
-            if best is not None and best[0] > 0:
-                found.append((best[0], not keep, Rule(best[1], keep)))
-        if not found:
+        best, keep = _best(table, bad, g, p, PRECISION), False
+        if best is None:
+            best, keep = _best(table, ~bad, g, p, max(PRECISION, 1 - USUAL * float(bad[p].mean()))), True
+        if best is None or keep and best[0] <= 0:
             break
-        rule = max(found, key=lambda x: x[:2])[2]
-        rules.append(rule)
-        left &= ~_covered(rule.conditions, table, len(bad))
+        rules.append(Rule(best[1], keep))
+        left &= ~_covered(best[1], table, len(bad))
+    p = left & prune
+    if rules and p.sum() >= SUPPORT and bad[p].mean() >= PRECISION and bad[left & grow].mean() >= PRECISION:
+        rules.append(Rule((), False))
     while rules and rules[-1].keep:
         rules.pop()
     return rules
@@ -196,7 +199,7 @@ def expression(rules: list[Rule]) -> Column:
     """True for a text that is kept: the first rule that holds decides, and without one the text stays."""
     decided = "true"
     for rule in reversed(rules):
-        decided = f"CASE WHEN {' AND '.join(c.sql() for c in rule.conditions)} THEN {str(rule.keep).lower()} ELSE {decided} END"
+        decided = f"CASE WHEN {' AND '.join(c.sql() for c in rule.conditions) or 'true'} THEN {str(rule.keep).lower()} ELSE {decided} END"
     return F.expr(decided)
 
 
