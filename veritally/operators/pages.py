@@ -6,9 +6,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Lines of a page that count as its head, and words that are labels, not numbers.
+#: Lines of a page that count as its head, words that are labels, and how dates, headings and page counters are printed.
 HEADER_LINES = 30
 LABEL_WORDS = ["date", "total", "amount", "number", "type", "details", "summary", "copy", "page"]
+DATE_LIKE = r"^\d{1,4}[/-]\d{1,2}[/-]\d{1,4}$"
 HEADING = r"(?i)\b(?:tax|commercial|sales|proforma|vat)?\s*invoice\s*(?:no\.?|number|num\.?|#|nr\.?)?\s*[:#.]?\s*([A-Z0-9][A-Z0-9/-]{3,39})\b"
 COUNTER = r"(?i)\bpage\s*[:#]?\s*(\d{1,3})\s*(?:of|/)\s*(\d{1,3})\b"
 
@@ -17,7 +18,7 @@ def page_numbers(text: Column) -> Column:
     """Distinct invoice numbers at the head of a page, in print order."""
     head = F.array_join(F.slice(F.split(F.coalesce(text, F.lit("")), r"\r?\n"), 1, HEADER_LINES), "\n")
     found = F.transform(F.regexp_extract_all(head, F.lit(HEADING), 1), lambda v: F.regexp_replace(v, r"[.,:;]+$", ""))
-    return F.array_distinct(F.filter(found, lambda v: ~F.lower(v).isin(LABEL_WORDS) & v.rlike(r"\d") & ~v.rlike(r"^\d{1,4}[/-]\d{1,2}[/-]\d{1,4}$")))
+    return F.array_distinct(F.filter(found, lambda v: ~F.lower(v).isin(LABEL_WORDS) & v.rlike(r"\d") & ~v.rlike(DATE_LIKE)))
 
 
 def page_counter(text: Column) -> Column:

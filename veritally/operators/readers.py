@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from ..functions.numbers import amount_forms, printed_decimal
 from ..functions.printed import PO_BOX, exact_role, lines_of, po_label, role
 from ..functions.text import entity_tokens, fold
-from .check import inclusive_vat, tax_label_printed
+from .check import BOX_NUMBER, inclusive_vat, tax_label_printed
+from .spatial import BARCODE
 
 #: What a legal entity's name ends in, labels of parties, header fields that every invoice prints, line columns.
 LEGAL_SUFFIX = r"(?i)\b(?:l\.?l\.?c|w\.?l\.?l|fz-?llc|fzco|fze|ltd|limited|inc|corp(?:oration)?|gmbh|s\.?a\.?r\.?l|trading|est(?:ablishment)?|company|co\.)\b"
@@ -149,7 +150,7 @@ def header_guard(heads: DataFrame, lines: DataFrame) -> DataFrame:
     """(doc, po, po_review, tax_review): a PO that is a box of an address goes; a missing tax says whether its label is printed;
     lines whose tax is inclusive are counted. ``heads`` has (doc, po, po_quote, tax, text)."""
     digits = F.regexp_replace(F.coalesce("po", F.lit("")), r"([^\w])", "")
-    boxed = F.coalesce(F.col("po_quote").rlike(PO_BOX), F.lit(False)) | F.array_contains(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"(?i)\bp\.?\s*o\.?\s*box\b[\s:#.]*(\w+)"), 1), digits)
+    boxed = F.coalesce(F.col("po_quote").rlike(PO_BOX), F.lit(False)) | F.array_contains(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(BOX_NUMBER), 1), digits)
     boxed = F.col("po").isNotNull() & boxed
     counted = lines.groupBy("doc").agg(F.count_if(inclusive_vat(F.col("net_amount"), F.col("tax_amount"))).alias("inclusive"))
     review = F.when(F.col("tax").isNull(), F.when(tax_label_printed(F.col("text")), "not_read").otherwise("not_printed")).when(F.coalesce("inclusive", F.lit(0)) > 0, F.concat(F.col("inclusive").cast("string"), F.lit(" lines inclusive")))
@@ -211,7 +212,7 @@ def amount_between(words: Column, left: Column, right: Column) -> Column:
 
 def clean_description(value: Column) -> Column:
     """A description without a labelled barcode; dangerous ones are dropped."""
-    own = F.btrim(F.trim(F.regexp_replace(F.regexp_replace(value, r"(?i)\b(?:EAN|GTIN|UPC)\s*[:#-]?\s*([0-9][0-9 -]{6,22}[0-9])\b", ""), r"\s+", " ")), F.lit(" -,:;"))
+    own = F.btrim(F.trim(F.regexp_replace(F.regexp_replace(value, BARCODE, ""), r"\s+", " ")), F.lit(" -,:;"))
     return F.when((own != "") & ~own.rlike(r"^[=+\-@]"), own)
 
 

@@ -85,9 +85,13 @@ def corroborated(claims: DataFrame, occurrences: DataFrame) -> DataFrame:
     return claims.join(fine.select("doc", "run"), ["doc", "run"], "left_semi").select("doc", "index")
 
 
+#: Fixed value: how the number of lines is printed.
+TOTAL_LINES = r"(?i)\btotal\s+lines\s*:?\s*(\d{1,4})\b"
+
+
 def printed_line_count(text: Column) -> Column:
     """The only distinct number of a printed ``Total lines: N`` from 1 to 1000."""
-    found = F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"(?i)\btotal\s+lines\s*:?\s*(\d{1,4})\b"), 1), lambda x: x.cast("int")))
+    found = F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOTAL_LINES), 1), lambda x: x.cast("int")))
     own = F.filter(found, lambda n: n.between(1, 1000))
     return F.when(F.size(own) == 1, own[0])
 
