@@ -355,7 +355,7 @@ def overlapping_rows(words: DataFrame) -> DataFrame:
             row["words"].append((w.x0, w.text))
             row["top"], row["bottom"] = min(row["top"], w.top), max(row["bottom"], w.bottom)
         rows.sort(key=lambda r: sum(r["centres"]) / len(r["centres"]))
-        return pd.DataFrame({"doc": F.get(page.doc.iloc, F.lit(0)), "page": F.get(page.page.iloc, F.lit(0)), "row_no": range(1, len(rows) + 1), "text": ["  ".join(t for _, t in sorted(r["words"])) for r in rows]})
+        return pd.DataFrame({"doc": page.doc.iloc[0], "page": page.page.iloc[0], "row_no": range(1, len(rows) + 1), "text": ["  ".join(t for _, t in sorted(r["words"])) for r in rows]})
 
     kind = words.schema["doc"].dataType.simpleString()
     return words.select("doc", "page", "text", "x0", "top", "bottom").groupBy("doc", "page").applyInPandas(fold, f"doc {kind}, page int, row_no int, text string")
