@@ -8,6 +8,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -452,11 +453,11 @@ def test_rare_words_meet_their_counts_in_the_join(spark, docs, texts, monkeypatc
     assert {r.doc_id: (r.n_known, round(r.base_score, 6)) for r in got} == whole
     counts = {r.word.encode(): (r.n, r.spelled) for r in rare.collect()}
     for r in got[:40]:
-        stream = lm.Stream([blank_words(texts[r.doc_id])], few.own)
+        stream = lm.Stream(pa.array([texts[r.doc_id]], pa.string()), few.own)
         total = float(few.coded(stream).sum())
-        for i in stream.rare:
-            n, spelled = counts.get(stream.tokens[i], (0, None))
-            spelled = few.spelling.scores([stream.tokens[i]], np.zeros(1, bool))[0] if spelled is None else spelled
+        for word in stream.rare_words.cast(pa.binary()).to_pylist():
+            n, spelled = counts.get(word, (0, None))
+            spelled = few.spelling.scores([word], np.zeros(1, bool))[0] if spelled is None else spelled
             total += math.log10((1 - lm.UNIGRAM) * 10**spelled + lm.UNIGRAM * n / few.own.rare)
         assert math.isclose(r.score, total, rel_tol=1e-5)
 
@@ -470,11 +471,28 @@ def toy_model(rng) -> lm.Model:
     return lm.Model(own, lm.Spelling(own, held, levels, 14, weights), held, levels, 14, weights)
 
 
+def stream_of(texts: list[list[bytes]], own: lm.Vocabulary) -> lm.Stream:
+    return lm.Stream(pa.array([b" ".join(t).decode() for t in texts], pa.string()), own)
+
+
+def test_words_are_those_of_the_plain_reader(texts):
+    some = [*texts.values(), None, "", " ", "\x0b\x0cA\x1fB\u00a0c \u2003D\n", "x" * 70_000, "\u00c9t\u00c9 AZ[`{"]
+    words, counts = lm.words_of(pa.array(some, pa.string()))
+    assert counts.tolist() == [len(blank_words(t)) for t in some]
+    assert words.cast(pa.binary()).to_pylist() == [w for t in some for w in blank_words(t)]
+    empty, none = lm.words_of(pa.array([], pa.string()))
+    assert len(empty) == 0 and len(none) == 0
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(some))), pa.array(some, pa.string())], names=["i", "text"])
+    for size in (1, 5_000, 1 << 30):
+        cut = list(lm.pieces(iter([batch]), size))
+        assert [i for p in cut for i in p.column(0).to_pylist()] == list(range(len(some)))
+
+
 def test_a_distribution_adds_up():
     """The probabilities of all symbols at a place add up to one, for any weights and tables."""
     model = toy_model(np.random.default_rng(5))
     first = [[w] for w in model.own.frequent] + [[], [b"unknown"]]
-    stream = lm.Stream(first, model.own)
+    stream = stream_of(first, model.own)
     assert math.isclose(sum(10 ** model.coded(stream)[stream.starts]), 1, rel_tol=1e-4)
     letters = [bytes([b]) for b in range(256)]
     whole = model.spelling.scores(letters, np.zeros(256, bool))
@@ -504,11 +522,11 @@ def test_scores_are_those_of_one_choice_at_a_time_and_of_each_text_alone():
     model = toy_model(rng)
     words = [*model.own.frequent, b"rare", "s\u00e9ldom".encode()]
     texts = [[words[i] for i in rng.integers(0, len(words), n)] for n in (0, 1, 30, 33, 200)]
-    stream = lm.Stream(texts, model.own)
+    stream = stream_of(texts, model.own)
     together = model.coded(stream)
     for k, own_words in enumerate(texts):
         own = together[stream.starts[k] : stream.starts[k] + stream.sizes[k]]
-        alone = lm.Stream([own_words], model.own)
+        alone = stream_of([own_words], model.own)
         weights, want = model.weights.reshape(lm.GATES, lm.PLACES, lm.K + 1).astype(float), []
         for b in range(0, len(own), lm.BLOCK):
             told = [plain_choices(model, alone, i, weights) for i in range(b, min(b + lm.BLOCK, len(own)))]
@@ -539,7 +557,7 @@ def test_tables_count_what_the_texts_hold(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
     shared = spark.sparkContext.broadcast(own)
     held, levels, bits = lm.tables(df, shared, 1 << 12)
-    want = tables_of(own, bits, [lm.Stream([blank_words(t) for t in texts], own)])
+    want = tables_of(own, bits, [lm.Stream(pa.array(texts, pa.string()), own)])
     slots = lm.Tables(bits, lm.WORD_TABLES).slots
     assert (held[:slots] == want[0]).all() and (levels[:slots] == want[1]).all()
     words = spark.createDataFrame([(f"word{i}",) for i in range(50)], "word string").repartition(3)
