@@ -54,3 +54,20 @@ def most_joined(found) -> int:
         children = node.children()
         waiting += [children.apply(i) for i in range(children.size())]
     return total
+
+
+def test_rows_of_a_frequent_word_are_cut_before_they_meet_probes(spark):
+    """200 probes share words with all 2,000 rows: not 400,000 rows but each probe's first 20 leave the joins."""
+    probes = spark.range(200).selectExpr("id AS probe", "case when id % 2 = 0 then 'red bolt' else 'blue bolt' end AS value")
+    probes = probes.unionByName(spark.sql("SELECT 1000L AS probe, explode(array('green', 'ring of', NULL)) AS value UNION ALL SELECT 1001L, 'none'"))
+    rows = spark.range(2_000).selectExpr("2000 - id AS item", "case when id % 500 = 3 then 'Green' when id % 500 = 7 then 'ring' when id % 3 = 0 then 'Red bolt' else 'bolt, blue bolt' end AS name")
+    rows = rows.unionByName(rows.where("item = 4").selectExpr("item", "'red' AS name"))
+    found = X.by_description(probes, rows, "name", ["item"], 20)
+    assert found.columns == ["probe", "item", "name"]
+    got = {}
+    for r in found.collect():
+        got.setdefault(r.probe, []).append(r.item)
+    named = [(r.item, set(r.name.lower().replace(",", "").split())) for r in rows.collect()]
+    for probe, wanted in ((0, {"red", "bolt"}), (1, {"blue", "bolt"}), (199, {"blue", "bolt"}), (1000, {"green", "ring"})):
+        assert sorted(got[probe]) == sorted({i for i, w in named if w & wanted})[:20]
+    assert len(got) == 201 and most_joined(found) < 10_000

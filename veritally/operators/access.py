@@ -35,11 +35,15 @@ def by_description(probes: DataFrame, rows: DataFrame, description: str, order:
     def words(value: Column) -> Column:
         return F.filter(F.array_distinct(F.split(normalize_description(value), " ")), lambda w: F.length(w).between(3, 100))
 
-    asked = probes.select("probe", F.explode(F.slice(words(F.col("value")), 1, 30)).alias("_word"))
-    held = rows.withColumn("_word", F.explode(words(F.col(description))))
-    joined = asked.join(held, "_word").drop("_word").dropDuplicates(["probe", *order])
-    own = Window.partitionBy("probe").orderBy(*order)
-    return joined.withColumn("_n", F.row_number().over(own)).where(F.col("_n") <= most).drop("_n")
+    # Probes with equal descriptions are looked up once, and of a word's rows only its first ones can be among the first of a probe.
+    texts = probes.groupBy("probe").agg(F.array_sort(F.collect_set("value")).alias("_values"))
+    asked = texts.select("_values").distinct().select("_values", F.explode("_values").alias("_value")).select("_values", F.explode(F.slice(words(F.col("_value")), 1, 30)).alias("_word"))
+    of_word = Window.partitionBy("_word").orderBy(*order)
+    held = rows.withColumn("_word", F.explode(words(F.col(description)))).withColumn("_n", F.dense_rank().over(of_word)).where(F.col("_n") <= most).drop("_n")
+    joined = asked.distinct().join(held, "_word").drop("_word").dropDuplicates(["_values", *order])
+    own = Window.partitionBy("_values").orderBy(*order)
+    found = joined.withColumn("_n", F.row_number().over(own)).where(F.col("_n") <= most).drop("_n")
+    return texts.join(found, "_values").drop("_values")
 
 
 def decided(log: DataFrame, decisions: DataFrame) -> DataFrame:
