@@ -7,8 +7,9 @@ broadcast; all other words of a text meet their counts in a join on the word, wh
 Predictors give each choice a probability from counts over all training texts: those of the choices alone, which follow
 from the words' counts, and two tables that are indexed by a hash of the choices before and a context, the word before or
 the two words before. The tables grow with the training bytes up to ``MOST_BITS``; beyond that contexts share slots. The predictors' logits and a bias are mixed by weights, one set for
-each gate, how often the two longer contexts were seen, and place in the code. A text begins with fitted weights; they are
-improved after each ``BLOCK`` of its tokens by the gradient of their cost, from its first to its last, whatever its length.
+each gate, how often the two longer contexts were seen, and place in the code. A text begins with weights that are fitted
+on every choice of all training texts, counted by gate, place and bins of the predictors' logits. They are improved after each
+``BLOCK`` of its tokens by the gradient of their cost, from its first to its last, whatever its length.
 Texts are scored in lockstep, a block of each at a time; a text's score doesn't depend on the others.
 
 *Rare words.* What follows an escape is the word's spelling, mixed with its share of all rare training tokens, ``UNIGRAM``
@@ -33,8 +34,6 @@ from .common import arrow_schema, cut_lineage, held_out, map_arrow
 
 #: Words that are broadcast with their counts, at most.
 FREQUENT = 100_000
-#: Training texts that the first weights are fitted on, about, and the most characters of one; rare words for spelling.
-FITTED, FITTED_CHARS, FITTED_WORDS = 64, 8_192, 4_000
 #: Slots of the larger tables, as a power of two: about one for each SLOT_BYTES bytes counted, within these bounds.
 LEAST_BITS, MOST_BITS, SLOT_BYTES = 14, 22, 8
 #: Predictors; and of those with a table, bits fewer than the larger ones have, for words and for spelling.
@@ -46,6 +45,10 @@ GATES = len(MIDDLE_LEVELS) * len(LONG_LEVELS)
 PLACES = 12
 #: Logits are kept in steps of 1/STEP.
 STEP = 16.0
+#: Bins of logits, in steps: what all training choices are counted in before the first weights are fitted, and where each bin lies.
+BIN_EDGES = (-88, -62, -44, -30, -20, -12, -6, 0, 6, 12, 20, 30, 44, 62, 88)
+BIN_AT = np.array((-104, -75, -53, -37, -25, -16, -9, -3, 3, 9, 16, 25, 37, 53, 75, 104))
+CELLS = GATES * PLACES << 13
 #: Tokens after which weights are improved, and the rates.
 BLOCK = 64
 RATE, BIAS_RATE = 0.015, 0.015
@@ -59,6 +62,8 @@ SCORED_CHARS, COUNTED_TOKENS, SPELLED = 3 << 20, 1 << 16, 20_000
 COUNTED_WORDS = 300_000
 SEGMENT = 1 << 12
 
+#: [logit in steps, as a byte]: its bin.
+BINS = np.searchsorted(BIN_EDGES, np.arange(256, dtype=np.uint8).view(np.int8), side="right").astype(np.int32)
 _P = np.uint64(0x9E3779B97F4A7C15)
 _SALTS = [np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
 #: [16 * level of the middle context + level of the longest]: the gate.
@@ -371,6 +376,7 @@ def _less_one() -> tuple[np.ndarray, np.ndarray]:
 
 
 LOGITS_LESS, LEVELS_LESS = _less_one()
+BINS_LESS = BINS.take(LOGITS_LESS.view(np.uint8))
 
 
 def without_own(held: np.ndarray, levels: np.ndarray, told: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -383,38 +389,68 @@ def without_own(held: np.ndarray, levels: np.ndarray, told: np.ndarray) -> tuple
     return LOGITS_LESS.take(at), LEVELS_LESS.take(levels)
 
 
-def first_weights(held: np.ndarray, levels: np.ndarray, bits: int, stream: Stream | Spelled | None) -> np.ndarray:
-    """[gates, places, K + 1] weights and bias by logistic regression, for each gate and place by itself.
+def fit_into(cells: np.ndarray, static: np.ndarray, held: np.ndarray, levels: np.ndarray, bits: int, stream: Stream | Spelled) -> None:
+    """Count the choices of a stream by gate, place, choice and the bins of the predictors' logits.
 
     Each choice's own count is taken out of what the tables tell of it.
     """
+    where, code, last = Tables(bits, stream.narrower), stream.code, len(stream.bases) - 1
+    for i in range(0, len(stream.symbols), COUNTED_TOKENS):
+        lengths, begins, at = code.of(stream.symbols[i : i + COUNTED_TOKENS])
+        nodes, told, cell, seen = code.nodes.take(at), code.bits.take(at), static.take(at), []
+        for k in range(last + 1):
+            slots = where.of(k, np.repeat(stream.bases[k][i : i + COUNTED_TOKENS], lengths), nodes)
+            level = levels.take(slots)
+            index = level.astype(np.int32)
+            index <<= 1
+            index |= told
+            index <<= 8
+            index |= held.take(slots).view(np.uint8)
+            cell += BINS_LESS.take(index) << 4 * (last - k)
+            seen.append(LEVELS_LESS.take(level[begins]))
+        cell += np.repeat(gates_of(*seen[-2:]).astype(np.int32) * (PLACES << 13), lengths)
+        cells += np.bincount(cell, minlength=CELLS)
+
+
+def static_cells(code: Code, plain: bool) -> np.ndarray:
+    """What place, choice and the logits of choices alone add to a cell."""
+    return ((code.places.astype(np.int32) << 13) | (code.bits.astype(np.int32) << 12)) + ((BINS.take(code.plain.view(np.uint8)) << 8) if plain else 0)
+
+
+def first_weights(cell: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """[gates, places, K + 1] weights and bias by logistic regression over counted choices, for each gate and place by itself."""
     even = np.array([1.0 / K] * K + [0.0])
-    weights = np.tile(even, (GATES, PLACES, 1))
-    if stream is None or not len(stream.symbols):
-        return weights
-    where, code = Tables(bits, stream.narrower), stream.code
-    lengths, begins, at = code.of(stream.symbols)
-    nodes, told, places = code.nodes.take(at), code.bits.take(at), code.places.take(at)
-    y = told.astype(float)
-    x, seen = np.ones((len(at), K + 1)), []
-    if stream.plain:
-        x[:, 0] = code.plain.take(at) / STEP
-    for k in range(len(stream.bases)):
-        slots = where.of(k, np.repeat(stream.bases[k], lengths), nodes)
-        own, level = without_own(held[slots], levels[slots], told)
-        x[:, k + stream.plain] = own / STEP
-        seen.append(level[begins])
-    gates = np.repeat(gates_of(*seen[-2:]), lengths)
-    for g in range(GATES):
-        for j in range(PLACES):
-            chosen = (gates == g) & (places == j)
-            w, xj, yj = weights[g, j].copy(), x[chosen], y[chosen]
-            for _ in range(20 if len(yj) else 0):
-                p = 1 / (1 + np.exp(-np.clip(xj @ w, -20, 20)))
-                curve = (xj * np.maximum(p * (1 - p), 1e-4)[:, None]).T @ xj + 20 * np.eye(K + 1)
-                w += np.clip(np.linalg.solve(curve, xj.T @ (yj - p) - 20 * (w - even)), -0.2, 0.2)
-            weights[g, j] = np.clip(w, -0.5, 2.0)
-    return weights
+    weights = np.tile(even, (GATES * PLACES, 1))
+    x, y, own = np.ones((len(cell), K + 1)), (cell >> 12 & 1).astype(float), cell >> 13
+    for k in range(K):
+        x[:, k] = BIN_AT.take(cell >> 4 * (K - 1 - k) & 15) / STEP
+    for row in np.unique(own):
+        chosen = own == row
+        w, xj, yj, nj = weights[row].copy(), x[chosen], y[chosen], n[chosen].astype(float)
+        for _ in range(20):
+            p = 1 / (1 + np.exp(-np.clip(xj @ w, -20, 20)))
+            curve = (xj * (nj * np.maximum(p * (1 - p), 1e-4))[:, None]).T @ xj + 20 * np.eye(K + 1)
+            w += np.clip(np.linalg.solve(curve, xj.T @ (nj * (yj - p)) - 20 * (w - even)), -0.2, 0.2)
+        weights[row] = np.clip(w, -0.5, 2.0)
+    return weights.reshape(GATES, PLACES, K + 1)
+
+
+def fitted(df: DataFrame, vocabulary, held: np.ndarray, levels: np.ndarray, bits: int, text: str = "text", spelling: bool = False) -> np.ndarray:
+    """First weights from every choice of all texts, or of all spelled words. The driver gets one count a cell, of ``CELLS`` at most."""
+    shared = df.sparkSession.sparkContext.broadcast((held, levels))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, (held, levels), cells = vocabulary.value, shared.value, np.zeros(CELLS, np.int64)
+        static = static_cells(own.letters, False) if spelling else static_cells(own.code, True)
+        for piece in pieces(batches, SCORED_CHARS // 8 if spelling else SCORED_CHARS):
+            texts = piece.column(0)
+            fit_into(cells, static, held, levels, bits, Spelled(texts.cast(pa.binary()).to_pylist(), own) if spelling else Stream(texts, own))
+        used = np.flatnonzero(cells)
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(cells[used])], names=["cell", "n"])
+
+    counted = map_arrow(df.select(text), run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    shared.destroy()
+    return first_weights(counted["cell"].to_numpy(), counted["n"].to_numpy())
 
 
 def _in_steps(weights: np.ndarray) -> np.ndarray:
@@ -558,7 +594,7 @@ def train(df: DataFrame, key: str = "doc_id", text: str = "text", modulus: int =
     size = F.octet_length("word") + 1
     sizes = counts.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.count("*").alias("types"), F.coalesce(F.max(F.when(F.col("word") == "", F.col("n"))), F.lit(0)).alias("ends"),
-        F.coalesce(F.sum(F.col("n") * size), F.lit(0)).alias("bytes"), F.coalesce(F.sum(F.when(~frequent, size)), F.lit(0)).alias("spelled"), F.count_if(~frequent).alias("rare"),
+        F.coalesce(F.sum(F.col("n") * size), F.lit(0)).alias("bytes"), F.coalesce(F.sum(F.when(~frequent, size)), F.lit(0)).alias("spelled"),
     ).first()
     top = counts.where(frequent).toArrow()
     listed = {w.encode(): n for w, n in zip(top["word"].to_pylist(), top["n"].to_pylist(), strict=True)}
@@ -566,15 +602,11 @@ def train(df: DataFrame, key: str = "doc_id", text: str = "text", modulus: int =
     shared = context.broadcast(vocabulary)
 
     held, levels, bits = tables(rare, shared, sizes["spelled"], "word", True)
-    some = F.pmod(F.xxhash64("word", F.lit("fitted")), F.lit(1 << 40)) / F.lit(float(1 << 40)) < FITTED_WORDS / max(sizes["rare"], 1)
-    words = [r.word.encode() for r in rare.where(some & (size <= 64)).select("word").limit(2 * FITTED_WORDS).collect()]
-    spelling = Spelling(vocabulary, held, levels, bits, first_weights(held, levels, bits, Spelled(words, vocabulary) if words else None))
+    spelling = Spelling(vocabulary, held, levels, bits, fitted(rare, shared, held, levels, bits, "word", True))
     table = spelled(rare, context.broadcast(spelling))
 
     held, levels, bits = tables(own, shared, sizes["bytes"])
-    drawn = F.pmod(F.xxhash64(F.col(key).cast("string"), "text"), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    sample = own.where((F.char_length("text") <= FITTED_CHARS) & (drawn < FITTED / max(sizes["ends"], 1))).select("text").limit(4 * FITTED).collect()
-    weights = first_weights(held, levels, bits, Stream(pa.array([r.text for r in sample], pa.string()), vocabulary) if sample else None)
+    weights = fitted(own, shared, held, levels, bits)
     return Model(vocabulary, spelling, held, levels, bits, weights), table
 
 
