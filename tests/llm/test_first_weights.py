@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from veritally.llm import lm
@@ -62,3 +64,25 @@ def test_counted_choices_give_the_weights_of_the_choices_themselves():
     right, wrong = (14 << 8) + (7 << 4) + 7, (1 << 8) + (7 << 4) + 7
     weights = lm.first_weights(np.array([(1 << 12) + right, right, (1 << 12) + wrong, wrong]), np.array([970, 30, 30, 970]))
     assert abs(weights[0, 0, 0] - np.log(97 / 3) / (lm.BIN_AT[14] / lm.STEP)) < 0.1 and np.allclose(weights[1:], [[1 / 3, 1 / 3, 1 / 3, 0]])
+
+
+def test_hashes_of_words_are_their_crc32():
+    words = ["a", "\u65e5\u672c", "x" * (lm.CRC_BYTES - 1), "y" * lm.CRC_BYTES, "z" * (lm.CRC_BYTES + 1), "\u00e9" * 900, "hello"] * 3
+    for some in (pa.array(words), pa.array(words).slice(3, 9), pa.array([], pa.string())):
+        assert lm.crc32s(some).tolist() == [zlib.crc32(w.encode()) for w in some.to_pylist()]
+
+
+def test_cells_do_not_depend_on_how_many_tokens_are_looked_up_at_once(monkeypatch):
+    own = lm.Vocabulary({b"a": 5, b"b": 3, b"c": 1}, 4, 20, 9)
+    rng = np.random.default_rng(1)
+    stream, where = lm.Stream(pa.array(["a b c a zz b b"] * 9 + [""], pa.string()), own), lm.Tables(14, lm.WORD_TABLES)
+    held, levels = rng.integers(-127, 128, where.slots).astype(np.int8), rng.integers(0, 16, where.slots).astype(np.uint8)
+    found = []
+    for size in (1, 7, 1 << 12):
+        monkeypatch.setattr(lm, "CACHED_TOKENS", size)
+        monkeypatch.setattr(lm, "COUNTED_TOKENS", 2 * size)
+        cells, counts = np.zeros(lm.CELLS, np.int64), np.zeros(2 * where.slots, np.uint32)
+        lm.fit_into(cells, lm.static_cells(own.code, True), held, levels, 14, stream)
+        lm.count_into(counts, where, stream)
+        found.append((cells, counts))
+    assert all((a == found[0][0]).all() and (b == found[0][1]).all() for a, b in found) and found[0][0].sum() > 100

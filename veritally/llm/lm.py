@@ -53,12 +53,16 @@ CELLS = GATES * PLACES << 13
 BLOCK = 64
 RATE, BIAS_RATE = 0.015, 0.015
 #: Texts in lockstep, so that what they learn stays in a core's cache.
-LANES = 128
+LANES = 64
 #: Share of a rare word's unigram probability in the mix.
 UNIGRAM = 0.3
 #: Bounds of a worker: bytes of text read at once; tokens counted and words spelled at once; distinct words counted before they
 #: are given out; slots of a segment.
 SCORED_CHARS, COUNTED_TOKENS, SPELLED = 3 << 20, 1 << 16, 20_000
+#: Tokens whose choices are looked up at once, so that all that is computed of them stays in a core's cache.
+CACHED_TOKENS = 1 << 12
+#: Bytes of a word up to which its hash is computed together with others'.
+CRC_BYTES = 32
 COUNTED_WORDS = 300_000
 SEGMENT = 1 << 12
 
@@ -77,6 +81,40 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def _crc_table() -> np.ndarray:
+    table = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        table = np.where(table & np.uint32(1), (table >> np.uint32(1)) ^ np.uint32(0xEDB88320), table >> np.uint32(1))
+    return table
+
+
+_CRC = _crc_table()
+
+
+def crc32s(words: pa.Array) -> np.ndarray:
+    """``zlib.crc32`` of each word, byte by byte over all words that still have one; of words over ``CRC_BYTES`` singly."""
+    out = np.full(len(words), 0xFFFFFFFF, np.uint32)
+    if not len(words):
+        return out
+    _, offsets, data = words.cast(pa.binary()).buffers()
+    edges = np.frombuffer(offsets, np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    letters = np.frombuffer(data or b"", np.uint8)
+    sizes = np.diff(edges)
+    clipped = np.minimum(sizes, CRC_BYTES + 1).astype(np.uint8)
+    order = np.argsort(clipped, kind="stable")
+    begins = np.searchsorted(clipped[order], np.arange(CRC_BYTES + 2), side="right").tolist()
+    at, own = edges[:-1][order], out.copy()
+    for i in range(CRC_BYTES):
+        part = own[begins[i] : begins[CRC_BYTES]]
+        if not len(part):
+            break
+        part[:] = _CRC.take((part ^ letters.take(at[begins[i] : begins[CRC_BYTES]] + i)) & np.uint32(0xFF)) ^ (part >> np.uint32(8))
+    out[order] = ~own
+    for i in order[begins[CRC_BYTES] :].tolist():
+        out[i] = zlib.crc32(letters[edges[i] : edges[i + 1]])
+    return out
+
+
 def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """Words ``[^\\x20\\x09-\\x0D]+`` of texts after lower-casing A-Z, and how many each has; none of a null.
 
@@ -220,7 +258,7 @@ class Stream:
         self.rare, self.rare_words = at[unknown.to_numpy(zero_copy_only=False)], words.filter(unknown)
         self.bytes = self.sizes + np.bincount(text, pc.binary_length(words).to_numpy(zero_copy_only=False), len(counts)).astype(np.int64)
         hashes = self.symbols.astype(np.uint64)
-        hashes[self.rare] = [zlib.crc32(w) + (1 << 32) for w in self.rare_words.cast(pa.binary()).to_pylist()]
+        hashes[self.rare] = crc32s(self.rare_words).astype(np.uint64) + np.uint64(1 << 32)
         hashes = _mix(hashes * _P + np.uint64(1))
         place = np.arange(tokens) - np.repeat(self.starts, self.sizes)
         one, two = np.zeros(tokens, np.uint64), np.zeros(tokens, np.uint64)
@@ -296,11 +334,11 @@ def gates_of(middle: np.ndarray, long: np.ndarray) -> np.ndarray:
 def count_into(counts: np.ndarray, where: Tables, stream: Stream | Spelled) -> None:
     """Add the choices of a stream to [2 * slot + choice]."""
     one = np.uint32(1)
-    for i in range(0, len(stream.symbols), COUNTED_TOKENS):
-        lengths, _, at = stream.code.of(stream.symbols[i : i + COUNTED_TOKENS])
+    for i in range(0, len(stream.symbols), CACHED_TOKENS):
+        lengths, _, at = stream.code.of(stream.symbols[i : i + CACHED_TOKENS])
         nodes, told = stream.code.nodes.take(at), stream.code.bits.take(at)
         for k in range(len(stream.bases)):
-            slots = where.of(k, np.repeat(stream.bases[k][i : i + COUNTED_TOKENS], lengths), nodes)
+            slots = where.of(k, np.repeat(stream.bases[k][i : i + CACHED_TOKENS], lengths), nodes)
             slots <<= one
             slots |= told
             np.add.at(counts, slots.astype(np.intp), one)
@@ -376,7 +414,8 @@ def _less_one() -> tuple[np.ndarray, np.ndarray]:
 
 
 LOGITS_LESS, LEVELS_LESS = _less_one()
-BINS_LESS = BINS.take(LOGITS_LESS.view(np.uint8))
+#: [place of a predictor's bin in a cell][choice, level, logit in steps]: what it adds to the cell, once one count of the choice is taken out.
+CELLS_LESS = [np.ascontiguousarray(BINS.take(LOGITS_LESS.view(np.uint8)).reshape(16, 2, 256).swapaxes(0, 1)).ravel() << 4 * k for k in range(K)]
 
 
 def without_own(held: np.ndarray, levels: np.ndarray, told: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -389,27 +428,38 @@ def without_own(held: np.ndarray, levels: np.ndarray, told: np.ndarray) -> tuple
     return LOGITS_LESS.take(at), LEVELS_LESS.take(levels)
 
 
-def fit_into(cells: np.ndarray, static: np.ndarray, held: np.ndarray, levels: np.ndarray, bits: int, stream: Stream | Spelled) -> None:
+def one_table(held: np.ndarray, levels: np.ndarray) -> np.ndarray:
+    """Levels and logits of slots side by side, so that a choice finds both at one place in memory."""
+    both = levels.astype(np.uint16)
+    both <<= 8
+    both |= held.view(np.uint8)
+    return both
+
+
+def fit_into(cells: np.ndarray, static: np.ndarray, held: np.ndarray, levels: np.ndarray, bits: int, stream: Stream | Spelled, both: np.ndarray | None = None) -> None:
     """Count the choices of a stream by gate, place, choice and the bins of the predictors' logits.
 
-    Each choice's own count is taken out of what the tables tell of it.
+    Each choice's own count is taken out of what the tables tell of it. ``both``: their ``one_table``, if it is there already.
     """
     where, code, last = Tables(bits, stream.narrower), stream.code, len(stream.bases) - 1
-    for i in range(0, len(stream.symbols), COUNTED_TOKENS):
-        lengths, begins, at = code.of(stream.symbols[i : i + COUNTED_TOKENS])
-        nodes, told, cell, seen = code.nodes.take(at), code.bits.take(at), static.take(at), []
+    both = one_table(held, levels) if both is None else both
+    found: list[np.ndarray] = []
+    for i in range(0, len(stream.symbols), CACHED_TOKENS):
+        lengths, begins, at = code.of(stream.symbols[i : i + CACHED_TOKENS])
+        nodes, told, cell, seen = code.nodes.take(at), code.bits.take(at).astype(np.uint16), static.take(at), []
+        told <<= 12
         for k in range(last + 1):
-            slots = where.of(k, np.repeat(stream.bases[k][i : i + COUNTED_TOKENS], lengths), nodes)
-            level = levels.take(slots)
-            index = level.astype(np.int32)
-            index <<= 1
+            index = both.take(where.of(k, np.repeat(stream.bases[k][i : i + CACHED_TOKENS], lengths), nodes))
+            seen.append(LEVELS_LESS.take(index[begins] >> 8))
             index |= told
-            index <<= 8
-            index |= held.take(slots).view(np.uint8)
-            cell += BINS_LESS.take(index) << 4 * (last - k)
-            seen.append(LEVELS_LESS.take(level[begins]))
+            cell += CELLS_LESS[last - k].take(index)
         cell += np.repeat(gates_of(*seen[-2:]).astype(np.int32) * (PLACES << 13), lengths)
-        cells += np.bincount(cell, minlength=CELLS)
+        found.append(cell)
+        if len(found) * CACHED_TOKENS >= 4 * COUNTED_TOKENS:
+            cells += np.bincount(np.concatenate(found), minlength=CELLS)
+            found = []
+    if found:
+        cells += np.bincount(np.concatenate(found), minlength=CELLS)
 
 
 def static_cells(code: Code, plain: bool) -> np.ndarray:
@@ -442,9 +492,10 @@ def fitted(df: DataFrame, vocabulary, held: np.ndarray, levels: np.ndarray, bits
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, (held, levels), cells = vocabulary.value, shared.value, np.zeros(CELLS, np.int64)
         static = static_cells(own.letters, False) if spelling else static_cells(own.code, True)
+        both = one_table(held, levels)
         for piece in pieces(batches, SCORED_CHARS // 8 if spelling else SCORED_CHARS):
             texts = piece.column(0)
-            fit_into(cells, static, held, levels, bits, Spelled(texts.cast(pa.binary()).to_pylist(), own) if spelling else Stream(texts, own))
+            fit_into(cells, static, held, levels, bits, Spelled(texts.cast(pa.binary()).to_pylist(), own) if spelling else Stream(texts, own), both)
         used = np.flatnonzero(cells)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(cells[used])], names=["cell", "n"])
 
@@ -530,8 +581,8 @@ class Model:
             x, seen = [code.plain.take(choices).astype(np.float32)], []
             for k in range(len(stream.bases)):
                 slots = where.of(k, np.repeat(stream.bases[k][at], lengths), nodes)
-                x.append(self.held[slots].astype(np.float32))
-                seen.append(self.levels[slots[begins]])
+                x.append(self.held.take(slots).astype(np.float32))
+                seen.append(self.levels.take(slots.take(begins)))
             rows = np.repeat((text * GATES + gates_of(*seen)) * PLACES, lengths)
             rows += code.places.take(choices)
             logit = weights[K].take(rows)
@@ -643,9 +694,9 @@ def score(df: DataFrame, model: Model, rare: DataFrame, key: str = "doc_id", tex
             yield pa.RecordBatch.from_arrays([piece.column(0).cast(arrow.field(0).type), piece.column(1).cast(arrow.field(1).type), *told, lists.cast(arrow.field("rare").type)], schema=arrow)
 
     scored = cut_lineage(map_arrow(df.select(F.monotonically_increasing_id().alias("row"), key, text), run, ddl))
-    # The hash makes the sort of a merge join cheap; the word decides.
+    # A rare word has one row, so that parts of the smaller side are even and need no sort; the hash deals them out, the word decides.
     each = scored.select("row", F.inline("rare")).withColumn("hash", F.xxhash64("word"))
-    met = each.join(rare.withColumn("hash", F.xxhash64("word")), ["hash", "word"], "left")
+    met = each.join(rare.withColumn("hash", F.xxhash64("word")).hint("shuffle_hash"), ["hash", "word"], "left")
     alone = F.col("spelled") + F.lit(float(np.log10(1 - UNIGRAM)))
     by_count = F.log10(F.col("n") * F.lit(UNIGRAM / max(model.own.rare, 1)))
     mixed = F.greatest(alone, by_count) + F.log10(1 + F.pow(F.lit(10.0), F.least(alone, by_count) - F.greatest(alone, by_count)))
