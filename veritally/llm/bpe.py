@@ -16,12 +16,11 @@ from __future__ import annotations
 import hashlib
 import os
 from array import array
-from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .common import map_arrow, map_texts
+from .common import kept, map_arrow, map_texts
 from .tokencount import SENTINEL, byte_letters, piece_starts, split_short
 
 #: Mean bytes of a chunk: a power of two. Bytes that the rolling hash covers.
@@ -224,7 +223,7 @@ class ChunkEncoder:
         return b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace")
 
 
-@lru_cache(maxsize=4)
+@kept
 def encoder(path: str) -> ChunkEncoder:
     return ChunkEncoder(path)
 

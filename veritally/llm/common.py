@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import zlib
 from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache, wraps
 from pathlib import Path
 
 import pyarrow as pa
@@ -66,10 +68,59 @@ def text_groups(batches: Iterable[pa.RecordBatch], chars: int = GROUP_CHARS) ->
             yield keys, group
 
 
+#: What this worker keeps from task to task, by name: how to drop it; and which of that the open task has asked for.
+_kept: dict[str, Callable[[], object]] = {}
+_asked: set[str] = set()
+
+
+def keep(name: str, drop: Callable[[], object]) -> None:
+    """Something is in use, and stays in the worker until a task ends that doesn't use it."""
+    _kept[name] = drop
+    _asked.add(name)
+
+
+def kept(make: Callable) -> Callable:
+    """A function whose results a worker keeps until a task ends that doesn't ask for them."""
+    name, cached = f"{make.__module__}.{make.__qualname__}", lru_cache(maxsize=4)(make)
+
+    @wraps(make)
+    def get(*args):
+        keep(name, cached.cache_clear)
+        return cached(*args)
+
+    return get
+
+
+def open_task() -> None:
+    _asked.clear()
+
+
+def close_task() -> None:
+    """Drop what an earlier operator's tasks have kept: workers outlive operators."""
+    for name in _kept.keys() - _asked:
+        _kept.pop(name)()
+    release()
+
+
+def release() -> None:
+    """Give freed memory back to the system, of a worker or of the driver."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library than glibc
+        pass
+
+
 def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     """``mapInArrow``, with this package on the workers' path wherever they start; on a cluster it is installed there."""
     df.sparkSession.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
-    return df.mapInArrow(run, schema)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_task()
+        yield from run(batches)
+        close_task()
+
+    return df.mapInArrow(task, schema)
 
 
 def map_texts(df: DataFrame, work: Callable[[list, list[str | None]], dict[str, list]], schema: str, key: str = "doc_id", text: str = "text") -> DataFrame:

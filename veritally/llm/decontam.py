@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM_BYTES, arrow_schema, cut_lineage, filter_texts, map_arrow, text_groups
+from .common import ALNUM_BYTES, arrow_schema, cut_lineage, filter_texts, keep, map_arrow, text_groups
 
 NGRAM, WINDOW = 5, 6
 #: Words of a whole window.
@@ -45,6 +45,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
+    keep("decontam.powers", _powers.clear)
     if not _powers or len(_powers[0]) < n:
         size = max(n, 1 << 21)
         _powers[:] = [np.cumprod(np.concatenate([[np.uint64(1)], np.full(size - 1, p)]), dtype=np.uint64) for p in (_P, _P_INVERSE)]

@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM_BYTES, arrow_schema, cut_lineage, filter_texts, held_out, map_arrow, map_texts, text_groups
+from .common import ALNUM_BYTES, arrow_schema, cut_lineage, filter_texts, held_out, map_arrow, map_texts, release, text_groups
 
 UNKNOWN = "und"
 #: Price of a change of language, in nats.
@@ -299,6 +299,8 @@ def train(df: DataFrame, training_docs: int = TRAINING_DOCS, key: str = "doc_id"
         for lang, word, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             counts[lang][word] = n
     model = Model(dict(counts))
+    del summed, counts
+    release()
     shared = df.sparkSession.sparkContext.broadcast(model)
     supports = map_texts(sample, lambda langs, texts: {"lang": langs, "support": [shared.value.support(t) for t in texts]}, "lang string, support double", "lang")
     usual = supports.where("support > 0").agg(F.percentile_approx("support", OUTLIERS)).first()[0]

@@ -29,7 +29,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts
+from .common import kept, map_texts
 
 #: The contractions that the pre-tokenizer's pattern splits off.
 CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
@@ -329,7 +329,7 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(0x100 + i): b for i, b in enumerate(hidden)}
 
 
-@lru_cache(maxsize=4)
+@kept
 def counter(path: str) -> BpeCounter:
     return BpeCounter(path)
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import alnum_words, cut_lineage, filter_texts, held_out, map_arrow, map_texts, text_groups
+from .common import alnum_words, cut_lineage, filter_texts, held_out, map_arrow, map_texts, release, text_groups
 
 #: Labelled rows that the model is fitted on, at most, and rows without a label, about; these weigh no more than those together.
 TRAINING_ROWS, UNLABELLED_ROWS = 20_000, 10_000
@@ -230,12 +230,13 @@ def _firing_density(hits: np.ndarray, density: np.ndarray, labels: np.ndarray) -
 
 def fit(names: list[str], words: np.ndarray, hits: np.ndarray, labels: np.ndarray) -> Model:
     """The model from rows of hits by voter, and labels: 0/1, or NaN without one."""
-    density = hits / np.maximum(words, 20).astype(np.float32)[:, None]
+    length = np.maximum(words, 20).astype(np.float32)
     kept = []
     seen = ~np.isnan(labels)
     for i, name in enumerate(names):
-        at, odds = _firing_density(hits[seen, i], density[seen, i], labels[seen])
-        fired = (hits[:, i] > 0) & (density[:, i] >= at)
+        density = hits[:, i] / length  # of one voter at a time: all would take as much as the hits
+        at, odds = _firing_density(hits[seen, i], density[seen], labels[seen])
+        fired = (hits[:, i] > 0) & (density >= at)
         fixed = name[0] == "~" or name[1:] in LEXICON
         if fixed or odds > 1.5 and fired[seen].sum() >= STEM_SUPPORT:
             kept.append((-odds * np.sqrt(fired[seen].sum()) - 1e9 * fixed, i, at, fired))
@@ -251,7 +252,7 @@ def fit(names: list[str], words: np.ndarray, hits: np.ndarray, labels: np.ndarra
     densities = np.array([at for _, at, _ in chosen])
     votes = np.array([f for _, _, f in chosen], float).reshape(len(chosen), len(words)).T
     posterior, found = label_model(votes, labels)
-    x = np.hstack([votes, np.where(hits[:, own] > 0, np.minimum(4.0, density[:, own] / densities) / 4, 0)])
+    x = np.hstack([votes, np.where(hits[:, own] > 0, np.minimum(4.0, hits[:, own] / length[:, None] / densities) / 4, 0)])
     weights, bias = fit_linear(x, posterior, weight=found["weight"])
     return Model([names[i] for i in own], densities, weights, bias)
 
@@ -298,11 +299,22 @@ def train(docs: DataFrame, labels: DataFrame, training_rows: int = TRAINING_ROWS
             found = [own.hits(t) for t in texts]
             yield pa.RecordBatch.from_pydict({"label": pa.array(values, pa.int32()), "words": pa.array([n for n, _ in found], pa.int64()), "at": pa.array([list(h) for _, h in found], pa.list_(pa.int32())), "hits": pa.array([list(h.values()) for _, h in found], pa.list_(pa.int32()))})
 
-    rows = map_arrow(both, vote, "label int, words long, at array<int>, hits array<int>").limit(2 * (training_rows + unlabelled_rows)).collect()
-    hits = np.zeros((len(rows), len(names)), np.float32)
-    for i, r in enumerate(rows):
-        hits[i, r["at"]] = r.hits
-    return fit(names, np.array([r.words for r in rows]), hits, np.array([np.nan if r.label is None else min(1, max(0, r.label)) for r in rows], float))
+    rows = map_arrow(both, vote, "label int, words long, at array<int>, hits array<int>").limit(2 * (training_rows + unlabelled_rows)).toArrow().combine_chunks()
+    hits = hits_of(rows, len(names))
+    words, given = rows["words"].to_numpy(), np.clip(rows["label"].cast(pa.float64()).to_numpy(), 0, 1)
+    del rows
+    model = fit(names, words, hits, given)
+    del hits
+    release()
+    return model
+
+
+def hits_of(rows: pa.Table, voters: int) -> np.ndarray:
+    """[row, voter]: the hits of rows (at, hits), which lists of Python's numbers would take several times."""
+    out = np.zeros((rows.num_rows, voters), np.float32)
+    for row, at, hits in zip(range(rows.num_rows), rows["at"], rows["hits"], strict=True):
+        out[row, at.values.to_numpy()] = hits.values.to_numpy()
+    return out
 
 
 def score(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
