@@ -86,3 +86,40 @@ def test_cells_do_not_depend_on_how_many_tokens_are_looked_up_at_once(monkeypatc
         lm.count_into(counts, where, stream)
         found.append((cells, counts))
     assert all((a == found[0][0]).all() and (b == found[0][1]).all() for a, b in found) and found[0][0].sum() > 100
+
+
+def test_choices_meet_their_counts_in_order_of_memory(monkeypatch):
+    """Counts as those of each choice by itself, in few passes whose places rise, whatever order the texts have."""
+    own = lm.Vocabulary({b"a": 5, b"b": 3, b"c": 1}, 4, 20, 9)
+    stream, where = lm.Stream(pa.array(["a b c a zz b b"] * 9 + [""], pa.string()), own), lm.Tables(14, lm.WORD_TABLES)
+    counts, want, order = np.zeros(2 * where.slots, np.uint32), np.zeros(2 * where.slots, np.uint32), []
+    real = lm.add_sorted
+    monkeypatch.setattr(lm, "add_sorted", lambda c, found: order.append(sum(map(len, found))) or real(c, found))
+    lm.count_into(counts, where, stream)
+    for i, symbol in enumerate(stream.symbols):
+        for c in range(int(own.code.first[symbol]), int(own.code.first[symbol] + own.code.lengths[symbol])):
+            for k in range(2):
+                want[2 * int(where.of(k, stream.bases[k][i : i + 1].copy(), own.code.nodes[c : c + 1])[0]) + int(own.code.bits[c])] += 1
+    assert (counts == want).all() and order == [int(want.sum())]
+
+
+def test_counts_are_packed_in_a_byte_each_where_they_are_small():
+    counts = np.random.default_rng(2).geometric(0.5, 2 * lm.SEGMENT).astype(np.uint32)
+    counts[[0, 7, 9, 4_000]] = 254, 255, 256, 4_000_000_000
+    assert (lm.unpacked_counts(lm.packed_counts(counts)) == counts).all()
+    assert not lm.unpacked_counts(lm.packed_counts(np.zeros(2 * lm.SEGMENT, np.uint32))).any()
+    assert len(zlib.compress(counts.tobytes(), 1)) > 1.3 * len(lm.packed_counts(counts))
+
+
+def test_spelled_words_are_the_same_as_a_list_and_as_an_array(monkeypatch):
+    own = lm.Vocabulary({b"a": 5, b"b": 3, b"c": 1}, 4, 20, 9)
+    words, where, rng = ["a", "séldom", "x" * 300, "rare"] * 5, lm.Tables(14, lm.SPELLING_TABLES), np.random.default_rng(1)
+    held, levels = rng.integers(-127, 128, where.slots).astype(np.int8), rng.integers(0, 16, where.slots).astype(np.uint8)
+    spelling = lm.Spelling(own, held, levels, 14, rng.uniform(-1, 1, (lm.GATES, lm.PLACES, lm.K + 1)))
+    assert (spelling.held == held).all() and (spelling.levels == levels).all()
+    counted = np.arange(20) % 3 > 0
+    whole = spelling.scores([w.encode() for w in words], counted)
+    assert (spelling.scores(pa.array(["before", *words]).slice(1), counted) == whole).all()
+    monkeypatch.setattr(lm, "SPELLED", 3)
+    assert np.allclose(spelling.scores(pa.array(words), counted), whole, rtol=1e-6)
+    assert len(spelling.scores(pa.array([], pa.string()), np.zeros(0, bool))) == 0 and not len(lm.Spelled([], own).symbols)

@@ -23,6 +23,7 @@ from __future__ import annotations
 import heapq
 import zlib
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -58,9 +59,11 @@ LANES = 64
 UNIGRAM = 0.3
 #: Bounds of a worker: bytes of text read at once; tokens counted and words spelled at once; distinct words counted before they
 #: are given out; slots of a segment.
-SCORED_CHARS, COUNTED_TOKENS, SPELLED = 3 << 20, 1 << 16, 20_000
+SCORED_CHARS, COUNTED_TOKENS, SPELLED = 3 << 20, 1 << 16, 2_000
 #: Tokens whose choices are looked up at once, so that all that is computed of them stays in a core's cache.
 CACHED_TOKENS = 1 << 12
+#: Places that are added to at once.
+ADDED = 1 << 16
 #: Bytes of a word up to which its hash is computed together with others'.
 CRC_BYTES = 32
 COUNTED_WORDS = 300_000
@@ -209,12 +212,21 @@ class Code:
         ones = np.bincount(node, times * self.bits)
         self.plain = logits(np.bincount(node, times) - ones, ones).take(node)
 
+    @cached_property
+    def packed(self) -> np.ndarray:
+        """Node, logit, bit and place of each choice side by side, from the lowest bits on: all are found at one place in memory."""
+        both = self.nodes | (self.plain.view(np.uint8).astype(np.uint64) << np.uint64(32))
+        return both | (self.bits.astype(np.uint64) << np.uint64(40)) | (self.places.astype(np.uint64) << np.uint64(48))
+
     def of(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """How many choices each symbol has, where each one's begin, and where each choice is in this code."""
+        """Which of the symbols each choice belongs to, where each one's choices begin, and where each choice is in this code."""
         lengths = self.lengths.take(symbols)
-        ends = np.cumsum(lengths)
-        begins = ends - lengths
-        return lengths, begins, np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.first.take(symbols) - begins, lengths)
+        begins = np.cumsum(lengths)
+        begins -= lengths
+        owners = np.repeat(np.arange(len(lengths)), lengths)
+        at = (self.first.take(symbols) - begins).take(owners)
+        at += np.arange(len(at))
+        return owners, begins, at
 
 
 class Vocabulary:
@@ -272,11 +284,15 @@ class Spelled:
 
     narrower, plain = SPELLING_TABLES, False
 
-    def __init__(self, words: list[bytes], own: Vocabulary):
+    def __init__(self, words: list[bytes] | pa.Array, own: Vocabulary):
         self.code = own.letters
-        self.symbols = np.frombuffer(b"".join(w + b" " for w in words), np.uint8)
-        self.sizes = sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
-        self.starts = np.cumsum(sizes) - sizes
+        words = words.cast(pa.binary()) if isinstance(words, pa.Array) else pa.array(words, pa.binary())
+        ended = pc.binary_join_element_wise(words, pa.scalar(b""), pa.scalar(b" "))
+        _, offsets, data = ended.buffers()
+        edges = np.frombuffer(offsets, np.int32)[ended.offset : ended.offset + len(ended) + 1].astype(np.int64) if len(ended) else np.zeros(1, np.int64)
+        self.symbols = np.frombuffer(data or b"", np.uint8)[edges[0] : edges[-1]]
+        self.sizes = sizes = np.diff(edges)
+        self.starts = edges[:-1] - edges[0]
         inside = np.arange(len(self.symbols)) - np.repeat(self.starts, sizes)
         powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(int(sizes.max(initial=1)), _P)]), dtype=np.uint64)
         wide = self.symbols.astype(np.uint64)
@@ -332,31 +348,59 @@ def gates_of(middle: np.ndarray, long: np.ndarray) -> np.ndarray:
 
 
 def count_into(counts: np.ndarray, where: Tables, stream: Stream | Spelled) -> None:
-    """Add the choices of a stream to [2 * slot + choice]."""
+    """Add the choices of a stream to [2 * slot + choice], those of many tokens sorted, so that they meet the counts in memory's order."""
     one = np.uint32(1)
+    found: list[np.ndarray] = []
     for i in range(0, len(stream.symbols), CACHED_TOKENS):
-        lengths, _, at = stream.code.of(stream.symbols[i : i + CACHED_TOKENS])
+        owners, _, at = stream.code.of(stream.symbols[i : i + CACHED_TOKENS])
         nodes, told = stream.code.nodes.take(at), stream.code.bits.take(at)
         for k in range(len(stream.bases)):
-            slots = where.of(k, np.repeat(stream.bases[k][i : i + CACHED_TOKENS], lengths), nodes)
+            slots = where.of(k, stream.bases[k][i : i + CACHED_TOKENS].take(owners), nodes)
             slots <<= one
             slots |= told
-            np.add.at(counts, slots.astype(np.intp), one)
+            found.append(slots)
+        if len(found) * CACHED_TOKENS >= 4 * COUNTED_TOKENS:
+            add_sorted(counts, found)
+            found = []
+    if found:
+        add_sorted(counts, found)
+
+
+def add_sorted(counts: np.ndarray, found: list[np.ndarray]) -> None:
+    """Add one at each place found."""
+    places = np.concatenate(found)
+    places.sort()
+    for i in range(0, len(places), ADDED):
+        np.add.at(counts, places[i : i + ADDED].astype(np.intp), np.uint32(1))
+
+
+def packed_counts(counts: np.ndarray) -> bytes:
+    """A byte of each count, then places and values of those that need more, deflated: most are small, and a quarter is deflated in less time."""
+    over = np.flatnonzero(counts >= 255).astype(np.uint32)
+    return zlib.compress(np.minimum(counts, 255).astype(np.uint8).tobytes() + over.tobytes() + counts[over].tobytes(), 1)
+
+
+def unpacked_counts(packed: bytes) -> np.ndarray:
+    data = zlib.decompress(packed)
+    counts = np.frombuffer(data, np.uint8, 2 * SEGMENT).astype(np.int64)
+    over, values = np.frombuffer(data, np.uint32, offset=2 * SEGMENT).reshape(2, -1)
+    counts[over] = values
+    return counts
 
 
 def count_segments(df: DataFrame, vocabulary, bits: int, text: str, spelling: bool) -> DataFrame:
-    """(segment, counts): zeros and ones of each slot over a task's texts or words, as deflated 32-bit pairs."""
+    """(segment, counts): zeros and ones of each slot over a task's texts or words, as ``packed_counts``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, where = vocabulary.value, Tables(bits, SPELLING_TABLES if spelling else WORD_TABLES)
         counts = np.zeros(2 * where.slots, np.uint32)
         for piece in pieces(batches, SCORED_CHARS // 8 if spelling else SCORED_CHARS):
             texts = piece.column(0)
-            count_into(counts, where, Spelled(texts.cast(pa.binary()).to_pylist(), own) if spelling else Stream(texts, own))
+            count_into(counts, where, Spelled(texts, own) if spelling else Stream(texts, own))
         width = 2 * SEGMENT
         for i in range(0, len(counts), 64 * width):
             parts = [(j // width, counts[j : j + width]) for j in range(i, min(i + 64 * width, len(counts)), width)]
-            used = [(s, zlib.compress(p.tobytes(), 1)) for s, p in parts if p.any()]
+            used = [(s, packed_counts(p)) for s, p in parts if p.any()]
             yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in used], pa.int32()), pa.array([c for _, c in used], pa.binary())], names=["segment", "counts"])
 
     return map_arrow(df.select(text), run, "segment int, counts binary")
@@ -374,11 +418,11 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for segment, counts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            own = np.frombuffer(zlib.decompress(counts.as_py()), np.uint32)
+            own = unpacked_counts(counts.as_py())
             if segment != current:
                 if current is not None:
                     yield close()
-                current, total = segment, own.astype(np.int64)
+                current, total = segment, own
             else:
                 total += own
     if current is not None:
@@ -414,8 +458,10 @@ def _less_one() -> tuple[np.ndarray, np.ndarray]:
 
 
 LOGITS_LESS, LEVELS_LESS = _less_one()
-#: [place of a predictor's bin in a cell][choice, level, logit in steps]: what it adds to the cell, once one count of the choice is taken out.
-CELLS_LESS = [np.ascontiguousarray(BINS.take(LOGITS_LESS.view(np.uint8)).reshape(16, 2, 256).swapaxes(0, 1)).ravel() << 4 * k for k in range(K)]
+#: [choice, or 2 where it wasn't counted][level, logit in steps]: the logit once that choice's count is taken out.
+LOGITS_TOLD = np.concatenate([LOGITS_LESS.reshape(16, 2, 256).swapaxes(0, 1).ravel(), np.tile(np.arange(256, dtype=np.uint8).view(np.int8), 16)])
+#: [level, logit in steps]: the bins of the logit once a zero and once a one is taken out, and the level then, in 4 bits each.
+LESS = np.bitwise_or.reduce([*(BINS.take(LOGITS_LESS.view(np.uint8)).reshape(16, 2, 256) << np.array([0, 4])[:, None]).swapaxes(0, 1), np.repeat(LEVELS_LESS.astype(int) << 8, 256).reshape(16, 256)]).astype(np.uint16).ravel()
 
 
 def without_own(held: np.ndarray, levels: np.ndarray, told: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -429,10 +475,13 @@ def without_own(held: np.ndarray, levels: np.ndarray, told: np.ndarray) -> tuple
 
 
 def one_table(held: np.ndarray, levels: np.ndarray) -> np.ndarray:
-    """Levels and logits of slots side by side, so that a choice finds both at one place in memory."""
-    both = levels.astype(np.uint16)
-    both <<= 8
-    both |= held.view(np.uint8)
+    """What ``LESS`` says of each slot, so that a choice finds all it needs at one place in memory."""
+    both = np.empty(len(held), np.uint16)
+    for i in range(0, len(both), ADDED):
+        at = levels[i : i + ADDED].astype(np.intp)
+        at <<= 8
+        at += held[i : i + ADDED].view(np.uint8)
+        LESS.take(at, out=both[i : i + ADDED], mode="clip")
     return both
 
 
@@ -441,19 +490,23 @@ def fit_into(cells: np.ndarray, static: np.ndarray, held: np.ndarray, levels: np
 
     Each choice's own count is taken out of what the tables tell of it. ``both``: their ``one_table``, if it is there already.
     """
-    where, code, last = Tables(bits, stream.narrower), stream.code, len(stream.bases) - 1
+    where, last = Tables(bits, stream.narrower), len(stream.bases) - 1
     both = one_table(held, levels) if both is None else both
     found: list[np.ndarray] = []
     for i in range(0, len(stream.symbols), CACHED_TOKENS):
-        lengths, begins, at = code.of(stream.symbols[i : i + CACHED_TOKENS])
-        nodes, told, cell, seen = code.nodes.take(at), code.bits.take(at).astype(np.uint16), static.take(at), []
-        told <<= 12
+        owners, begins, at = stream.code.of(stream.symbols[i : i + CACHED_TOKENS])
+        own = static.take(at)
+        nodes, cell = own.astype(np.uint32), (own >> 32).astype(np.int32)
+        told, bins, seen = ((cell >> 10) & 4).astype(np.uint16), np.zeros(len(at), np.uint16), []
         for k in range(last + 1):
-            index = both.take(where.of(k, np.repeat(stream.bases[k][i : i + CACHED_TOKENS], lengths), nodes))
-            seen.append(LEVELS_LESS.take(index[begins] >> 8))
-            index |= told
-            cell += CELLS_LESS[last - k].take(index)
-        cell += np.repeat(gates_of(*seen[-2:]).astype(np.int32) * (PLACES << 13), lengths)
+            slot = both.take(where.of(k, stream.bases[k][i : i + CACHED_TOKENS].take(owners), nodes))
+            seen.append(slot.take(begins) >> 8)
+            slot >>= told
+            slot &= 15
+            bins <<= 4
+            bins |= slot
+        cell += bins
+        cell += (gates_of(*seen[-2:]).astype(np.int32) * (PLACES << 13)).take(owners)
         found.append(cell)
         if len(found) * CACHED_TOKENS >= 4 * COUNTED_TOKENS:
             cells += np.bincount(np.concatenate(found), minlength=CELLS)
@@ -463,8 +516,11 @@ def fit_into(cells: np.ndarray, static: np.ndarray, held: np.ndarray, levels: np
 
 
 def static_cells(code: Code, plain: bool) -> np.ndarray:
-    """What place, choice and the logits of choices alone add to a cell."""
-    return ((code.places.astype(np.int32) << 13) | (code.bits.astype(np.int32) << 12)) + ((BINS.take(code.plain.view(np.uint8)) << 8) if plain else 0)
+    """What place, choice and the logits of choices alone add to a cell, in the upper 32 bits; the choice's node below."""
+    cell = (code.places.astype(np.int64) << 13) | (code.bits.astype(np.int64) << 12)
+    if plain:
+        cell |= BINS.take(code.plain.view(np.uint8)) << 8
+    return (cell << 32) | code.nodes
 
 
 def first_weights(cell: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -495,7 +551,7 @@ def fitted(df: DataFrame, vocabulary, held: np.ndarray, levels: np.ndarray, bits
         both = one_table(held, levels)
         for piece in pieces(batches, SCORED_CHARS // 8 if spelling else SCORED_CHARS):
             texts = piece.column(0)
-            fit_into(cells, static, held, levels, bits, Spelled(texts.cast(pa.binary()).to_pylist(), own) if spelling else Stream(texts, own), both)
+            fit_into(cells, static, held, levels, bits, Spelled(texts, own) if spelling else Stream(texts, own), both)
         used = np.flatnonzero(cells)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(cells[used])], names=["cell", "n"])
 
@@ -513,30 +569,41 @@ class Spelling:
     """How rare words are spelled."""
 
     def __init__(self, vocabulary: Vocabulary, held: np.ndarray, levels: np.ndarray, bits: int, weights: np.ndarray):
-        self.own, self.held, self.levels, self.bits, self.weights = vocabulary, held, levels, bits, _in_steps(weights)
+        self.own, self.bits, self.weights = vocabulary, bits, _in_steps(weights)
+        self.both = levels.astype(np.uint16)
+        self.both <<= 8
+        self.both |= held.view(np.uint8)
 
-    def scores(self, words: list[bytes], counted: np.ndarray) -> np.ndarray:
+    @property
+    def held(self) -> np.ndarray:
+        return self.both.astype(np.uint8).view(np.int8)
+
+    @property
+    def levels(self) -> np.ndarray:
+        return (self.both >> 8).astype(np.uint8)
+
+    def scores(self, words: list[bytes] | pa.Array, counted: np.ndarray) -> np.ndarray:
         """log10 of each word's probability among all strings; where it was counted, as if it had not been."""
         out = [self._scores(words[i : i + SPELLED], counted[i : i + SPELLED]) for i in range(0, len(words), SPELLED)]
         return np.concatenate([np.empty(0), *out])
 
-    def _scores(self, words: list[bytes], counted: np.ndarray) -> np.ndarray:
+    def _scores(self, words: list[bytes] | pa.Array, counted: np.ndarray) -> np.ndarray:
         stream, where = Spelled(words, self.own), Tables(self.bits, SPELLING_TABLES)
         code = stream.code
-        lengths, begins, choices = code.of(stream.symbols)
+        owners, begins, choices = code.of(stream.symbols)
         nodes, told = code.nodes.take(choices), code.bits.take(choices)
-        known, every = np.repeat(np.repeat(counted, stream.sizes), lengths), counted.all()
+        known = np.repeat(counted, stream.sizes)
+        plane = told.astype(np.uint16)
+        plane[~known.take(owners)] = 2
+        plane <<= 12
         x, seen = [], []
         for k in range(K):
-            slots = where.of(k, np.repeat(stream.bases[k], lengths), nodes)
-            held, levels = self.held[slots], self.levels[slots]
-            if every:
-                held, levels = without_own(held, levels, told)
-            else:
-                held[known], levels[known] = without_own(held[known], levels[known], told[known])
-            x.append(held.astype(np.float32))
-            seen.append(levels[begins])
-        rows = np.repeat(gates_of(*seen[1:]).astype(np.int64) * PLACES, lengths)
+            found = self.both.take(where.of(k, stream.bases[k].take(owners), nodes))
+            levels = (found.take(begins) >> 8).astype(np.uint8)
+            seen.append(np.where(known, LEVELS_LESS.take(levels), levels))
+            found |= plane
+            x.append(LOGITS_TOLD.take(found).astype(np.float32))
+        rows = (gates_of(*seen[1:]).astype(np.int64) * PLACES).take(owners)
         rows += code.places.take(choices)
         logit = self.weights[:, K].take(rows)
         for k in range(K):
@@ -576,15 +643,16 @@ class Model:
             at = at.ravel()
             if not valid.all():
                 at, text = at[valid], text[valid]
-            lengths, begins, choices = code.of(stream.symbols[at])
-            nodes = code.nodes.take(choices)
-            x, seen = [code.plain.take(choices).astype(np.float32)], []
+            owners, begins, choices = code.of(stream.symbols[at])
+            own = code.packed.take(choices)
+            nodes, told, places = own.astype(np.uint32), own.view(np.uint8)[5::8], own.view(np.uint8)[6::8]
+            x, seen = [own.view(np.int8)[4::8].astype(np.float32)], []
             for k in range(len(stream.bases)):
-                slots = where.of(k, np.repeat(stream.bases[k][at], lengths), nodes)
+                slots = where.of(k, stream.bases[k][at].take(owners), nodes)
                 x.append(self.held.take(slots).astype(np.float32))
                 seen.append(self.levels.take(slots.take(begins)))
-            rows = np.repeat((text * GATES + gates_of(*seen)) * PLACES, lengths)
-            rows += code.places.take(choices)
+            rows = ((text * GATES + gates_of(*seen)) * PLACES).take(owners)
+            rows += places
             logit = weights[K].take(rows)
             for k in range(K):
                 logit += weights[k].take(rows) * x[k]
@@ -593,7 +661,7 @@ class Model:
             np.exp(logit, out=logit)
             logit += 1
             np.reciprocal(logit, out=logit)
-            error = code.bits.take(choices) - logit
+            error = told - logit
             out[at] = np.add.reduceat(np.log(1 - np.abs(error)), begins)
             size = m * sets
             for k in range(K):
@@ -628,8 +696,7 @@ def spelled(words: DataFrame, spelling) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = spelling.value
         for batch in batches:
-            names = [w.encode() for w in batch.column(0).to_pylist()]
-            scores = own.scores(names, np.ones(len(names), bool))
+            scores = own.scores(batch.column(0), np.ones(batch.num_rows, bool))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores)], names=["word", "n", "spelled"])
 
     return map_arrow(words.select("word", "n"), run, "word string, n long, spelled double")
