@@ -51,3 +51,32 @@ def test_junk_of_letters_has_no_support():
 def test_words_split_at_changes_of_script():
     assert [p.decode() for p in langid.pieces("abcпривет漢字かな".encode())] == ["abc", "привет", "漢字", "かな"]
     assert langid.pieces("déjà".encode()) == ["déjà".encode()]
+
+
+def test_rows_of_many_words_are_those_of_each_ngram_in_order():
+    own = model()
+    words = [*ENGLISH, *GERMAN, "我们今天去学校", "x", "é", "th\u0000e q", " theq\u0000uic", "straße"]
+    rows, sizes = own._rows(words)
+    ends = sizes.cumsum()
+    for x, end, n in zip(words, ends.tolist(), sizes.tolist(), strict=True):
+        grams = langid.ngrams(x)
+        assert n == len(grams)
+        for g, row in zip(grams, rows[end - n : end].tolist(), strict=True):
+            known = own.logs[row].any() or row < len(own.logs) - 1
+            assert known == any(g in langid.ngrams(w) for counts in (ENGLISH, GERMAN) for w in counts) or any(c > "　" for c in g)
+
+
+def test_words_of_several_texts_are_scored_together(monkeypatch):
+    texts = [" ".join(ENGLISH), " ".join(GERMAN), "12 3a4 b", "", "我们今天去学校读书" * 9, "der,die déjà " * 9]
+    alone, together, calls = model(), model(), []
+    lists = [t.encode().translate(langid.ALNUM_BYTES).split() for t in texts]
+    monkeypatch.setattr(langid, "LEARNED", 7)
+    together.meet(lists)
+    monkeypatch.setattr(together, "_learn", lambda words: calls.append([w for w in words if b"\0" not in w and w.isascii()]))
+    assert list(map(alone.predict, texts))[:4] == list(map(together.told, lists[:4])) and not any(calls)
+    monkeypatch.undo()
+    assert list(map(alone.predict, texts)) == list(map(together.told, lists))
+    assert list(map(alone.support, texts)) == list(map(together.support, texts))
+    monkeypatch.setattr(langid, "MAX_WORDS", 5)
+    together.meet(lists)
+    assert list(map(alone.predict, texts)) == list(map(together.told, lists))

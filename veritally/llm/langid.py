@@ -18,6 +18,7 @@ import unicodedata
 from bisect import bisect_right
 from collections import Counter, defaultdict
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -38,6 +39,8 @@ WORD_CAP = 8.0
 STRETCH, WHOLE = 16, 40
 UNSPACED = {"han", "kana", "thai", "other"}
 MAX_WORDS = 250_000
+#: Words whose n-grams are looked up at once.
+LEARNED = 4_096
 #: Share of labelled texts under whose support the floor is set, and at what part of it.
 OUTLIERS, FLOOR = 0.001, 0.5
 
@@ -147,9 +150,12 @@ class Model:
             grams.append(Counter(dict(own.most_common(KEPT_NGRAMS))))
         self.scripts = dict(self.scripts)
         totals = [max(1, g.total()) for g in grams]
-        self.table = {g: i for i, g in enumerate(sorted(set().union(*grams)))}
-        logs = np.log(np.array([[own[g] + 0.5 for g in self.table] for own in grams]).reshape(len(grams), len(self.table)).T / (np.array(totals) + 0.5))
-        self.logs = (logs - logs.max(axis=1, initial=-np.inf, keepdims=True)).astype(np.float32)
+        table = {g: i for i, g in enumerate(sorted(set().union(*grams)))}
+        logs = np.log(np.array([[own[g] + 0.5 for g in table] for own in grams]).reshape(len(grams), len(table)).T / (np.array(totals) + 0.5))
+        self.logs = np.zeros((len(table) + 1, len(grams)), np.float32)  # the last is that of what no language has
+        self.logs[:-1] = logs - logs.max(axis=1, initial=-np.inf, keepdims=True)
+        self.whole = {g[1:]: i for g, i in table.items() if g[0] == "="}
+        self._index({g: i for g, i in table.items() if g[0] != "="})
         self.floor = 0.0
         self.words: dict[bytes, int] = {}  # -1: a word in pieces
         self.pieces: dict[bytes, list[bytes]] = {}
@@ -163,17 +169,67 @@ class Model:
         self.weights = np.zeros(1024, np.float32)
         self.grams = np.zeros((1024, 2), np.float32)  # n-grams of each word, and those that any language has
 
+    def _index(self, table: dict[str, int]) -> None:
+        """Characters as numbers from 1 on; by size, n-grams and beginnings of longer ones as sorted keys, and their rows.
+
+        A key is the place of all characters but the last among the shorter keys, and the last character's number.
+        """
+        letters = sorted(set().union(*table))
+        self.numbers = np.zeros(ord(letters[-1]) + 2 if letters else 1, np.int64)
+        self.numbers[[ord(c) for c in letters]] = range(1, len(letters) + 1)
+        self.base = len(letters) + 1
+        places = {c: i for i, c in enumerate(letters, 1)}
+        self.keys: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for n in NGRAM_SIZES:
+            known = {g[:n]: places[g[: n - 1]] * self.base + self.numbers[ord(g[n - 1])] for g in table if len(g) >= n}
+            own = sorted(known, key=known.get)
+            places = {g: i for i, g in enumerate(own)}
+            self.keys[n] = np.array([known[g] for g in own], np.int64), np.array([table.get(g, len(self.logs) - 1) for g in own] + [len(self.logs) - 1], np.int64)
+
+    def _rows(self, features: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of ``logs`` of all ``ngrams`` of several words, in their order, and how many each word has."""
+        parts = [x.partition("\0") for x in features]
+        padded = [core + after if cut else f" {core} " for core, cut, after in parts]
+        sizes = np.array(list(map(len, padded)))
+        starts = np.array([len(core) if cut else n for (core, cut, _), n in zip(parts, sizes.tolist(), strict=True)])
+        codes = np.frombuffer("".join(padded).encode("utf-32-le"), np.uint32)
+        numbers = self.numbers.take(np.minimum(codes, len(self.numbers) - 1))
+        begins = np.cumsum(sizes) - sizes
+        owners = np.repeat(np.arange(len(sizes)), sizes)
+        inside = np.arange(len(codes)) - begins.take(owners)
+        left = np.where(inside < starts.take(owners), sizes.take(owners) - inside, 0)
+        counts = [np.maximum(np.minimum(starts, sizes - n + 1), 0) for n in NGRAM_SIZES] + [np.array([not cut for _, cut, _ in parts], np.int64)]
+        first = np.cumsum(sum(counts)) - sum(counts)
+        rows, before = np.empty(int(sum(counts).sum()), np.int64), numbers
+        for n, count in zip(NGRAM_SIZES, counts, strict=False):
+            keys, own = self.keys[n]
+            at = np.flatnonzero(left >= n)
+            asked = before[at] * self.base + numbers[at + n - 1]
+            found = np.searchsorted(keys, asked)
+            if len(keys):
+                found[keys.take(np.minimum(found, len(keys) - 1)) != asked] = len(keys)
+            before = np.zeros(len(codes), np.int64)
+            before[at] = found
+            rows[(first.take(owners[at]) + inside[at])] = own.take(found)
+            first = first + count
+        none = len(self.logs) - 1
+        rows[first[counts[-1] > 0]] = [self.whole.get(core, none) for core, cut, _ in parts if not cut]
+        return rows, sum(counts)
+
     def _learn(self, words: list[bytes]) -> None:
         """Score new words."""
         for w in words:
-            if b"\0" not in w and (own := pieces(w)) != [w]:
+            if not (w.isascii() and len(w) <= WHOLE) and b"\0" not in w and (own := pieces(w)) != [w]:
                 self.words[w] = -1
                 self.pieces[w] = own
-        words = [w for w in words if w not in self.pieces]
+        if self.pieces:
+            words = [w for w in words if w not in self.pieces]
+        for i in range(0, len(words), LEARNED):
+            self._score(words[i : i + LEARNED])
+
+    def _score(self, words: list[bytes]) -> None:
         first, n = self.scored, len(words)
         self.scored += n
-        if not n:
-            return
         while first + n > len(self.scores):
             self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
             self.weights = np.concatenate([self.weights, np.zeros_like(self.weights)])
@@ -181,24 +237,36 @@ class Model:
         letters = [features_of(w) for w in words]
         self.words.update(zip(words, range(first, first + n), strict=True))
         self.weights[first : first + n] = list(map(weight_of, letters))
-        if not self.languages:
+        some = [i for i, x in enumerate(letters) if x]
+        if not self.languages or not some:
             return
-        get = self.table.get
-        every = [list(map(get, ngrams(x))) if x else [] for x in letters]
-        rows = [[i for i in r if i is not None] for r in every]
-        sizes = np.array(list(map(len, rows)))
-        self.grams[first : first + n, 0], self.grams[first : first + n, 1] = list(map(len, every)), sizes
+        rows, sizes = self._rows([letters[i] for i in some])
+        at, own = np.cumsum(sizes) - sizes, np.array(some) + first
+        filled = sizes > 0
+        self.grams[own, 0] = sizes
+        self.grams[own[filled], 1] = np.add.reduceat((rows < len(self.logs) - 1).astype(np.int64), at[filled])
         sums = np.zeros((n, len(self.languages)), np.float64)
-        if sizes.any():
-            at = np.concatenate([[0], np.cumsum(sizes[sizes > 0])[:-1]])
-            sums[sizes > 0] = np.add.reduceat(self.logs[[i for r in rows for i in r]], at, axis=0)
+        sums[own[filled] - first] = np.add.reduceat(self.logs.take(rows, axis=0), at[filled], axis=0)
         sums = np.maximum(sums - sums.max(axis=1, keepdims=True), -WORD_CAP)
         scripts = {k: np.where(v, 0.0, -np.inf) for k, v in self.scripts.items()}
-        for i, x in enumerate(letters):
+        latin = np.array([x.isascii() and "\0" not in x for x in letters]) & (self.weights[first : first + n] > 0)
+        if "latin" in scripts:
+            sums[latin] = np.maximum(sums[latin] + scripts["latin"], -WORD_CAP)
+        for i in np.flatnonzero(~latin).tolist():
+            x = letters[i]
             if x and (allowed := scripts.get(script(x.partition("\0")[0].strip(" ") or x))) is not None:
                 sums[i] = np.maximum(sums[i] + allowed, -WORD_CAP)
         self.scores[first : first + n] = sums
 
+    def meet(self, lists: list[list[bytes]]) -> None:
+        """Score the new words of several texts together."""
+        words = dict.fromkeys(chain.from_iterable(lists))
+        new = [w for w in words if w not in self.words]
+        if len(self.words) + len(new) > MAX_WORDS and self.words:
+            self._clear()
+            new = list(words)
+        self._learn(new)
+
     def numbered(self, words: list[bytes]) -> np.ndarray:
         known = list(map(self.words.get, words))
         if None in known:
@@ -239,7 +307,11 @@ class Model:
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """The language with most letters in the labelled spans, and its share of all letters."""
-        labels, weights = self.label((text or "").encode().translate(ALNUM_BYTES).split())
+        return self.told((text or "").encode().translate(ALNUM_BYTES).split())
+
+    def told(self, words: list[bytes]) -> tuple[str, float]:
+        """What ``predict`` says of a text with these words."""
+        labels, weights = self.label(words)
         total = float(weights.sum())
         if not total or not self.languages:
             return UNKNOWN, 0.0
@@ -317,7 +389,9 @@ def identify(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def work(keys: list, texts: list[str | None]) -> dict[str, list]:
-        found = [shared.value.predict(t) for t in texts]
+        lists = [(t or "").encode().translate(ALNUM_BYTES).split() for t in texts]
+        shared.value.meet(lists)
+        found = list(map(shared.value.told, lists))
         return {key: keys, "lang_pred": [lang for lang, _ in found], "score": [share for _, share in found]}
 
     return map_texts(df, work, f"`{key}` {df.schema[key].dataType.simpleString()}, lang_pred string, score double", key, text)
